@@ -12,6 +12,7 @@ from . import bpe, langid
 from .common import table
 from .exact import exact_dedup
 from .packing import pack
+from .substring import remove_repeated_bytes, remove_repeated_words
 from .tokens import count_tokens, token_pieces
 
 
@@ -30,6 +31,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_words(table(spark, sf_dir, "documents"), 35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"), 200)
+    n_spans = (F.size("removed") / 2).cast("long").alias("n_spans")
+    return out.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
     return pack(pieces, 2048)
@@ -44,7 +56,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_language_mixture": op3_language_mixture,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
