@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, langid, licenses, sketches
 from .common import table
 from .exact import exact_dedup
+from .minhash import near_duplicates
 from .packing import pack
 from .substring import remove_repeated_bytes, remove_repeated_words
 from .tokens import count_tokens, token_pieces
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -31,6 +36,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_words(table(spark, sf_dir, "documents"), 35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -42,6 +52,22 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketches.fingerprints(table(spark, sf_dir, "documents"))
+    mine, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        sketches.text_of("sketch").alias("fingerprint"),
+        sketches.text_of("edited_sketch").alias("edited_fingerprint"),
+        sketches.resemblance(mine, edited).alias("near_edited"),
+        sketches.resemblance(mine, following).alias("near_next"),
+        sketches.distinct_shingles(mine).alias("n_shingles_estimate"),
+        sketches.containment(edited, mine).alias("edited_contained"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
     return pack(pieces, 2048)
@@ -53,16 +79,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_language_mixture": op3_language_mixture,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.oracle_sql(),
     "op4_exact_dedup": """
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
