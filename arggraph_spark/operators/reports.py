@@ -112,6 +112,22 @@ def scc_arguments(corpus: Corpus, components: DataFrame) -> DataFrame:
     return inside.groupBy("doc_id", "comp", "arg_ord", "arg_id").agg((F.count(F.lit(1)) == F.first("all")).alias("internal"))
 
 
+def identities(corpus: Corpus) -> DataFrame:
+    """(doc_id, report): all identities of a document as JSON; a statement on a cycle has its component's members as scc."""
+
+    def kernel(doc: dict):
+        net = Net(doc)
+        prop, just, hashes, rings = net.identities()
+        comps = net.components()
+        statements = []
+        for i, s in enumerate(net.statements):
+            ring = {"scc": net.ids(comps[net.comp_of[i]])} if net.comp_of[i] in rings else {}
+            statements.append({"id": s["id"], "prop_id": prop[i], "just_id": just[i], **ring})
+        yield doc["doc_id"], _dump({"statements": statements, "arguments": [{"id": a["id"], "arg_hash": h} for a, h in zip(net.arguments, hashes, strict=True)]})
+
+    return per_document(corpus.nested(), kernel, graph._schema(corpus, "report string"))
+
+
 # Lints.
 
 
@@ -159,7 +175,7 @@ def lint_all(corpus: Corpus) -> DataFrame:
         ought = lambda s: net.statements[s]["mode"] == "ought"
         yield doc["doc_id"], _dump({
             "well_founded": {"foundations": net.ids(i for i in n if not net.incoming[i]), "grounded": net.ids(i for i in n if i in done), "ungrounded": net.ids(i for i in n if i not in done)},
-            "duplicates": [{"prop_id": p, "text": canon_py(net.statements[g[0]]["text"]), "statements": net.ids(g)} for p, g in props.items() if len(g) > 1],
+            "duplicates": [{"prop_id": p, "text": canon_py(net.statements[g[0]]["text"]), "mode": net.statements[g[0]]["mode"], "ids": net.ids(g)} for p, g in props.items() if len(g) > 1],
             "unused": net.ids(i for i in n if not net.incoming[i] and not net.outgoing[i]),
             "empty_justifications": [a["id"] for a in net.arguments if not canon_py(a["justification"])],
             "is_ought_gaps": [

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import canon, netstring, netstrings
-from ..sources.corpus import Corpus
+from ..sources.corpus import Corpus, per_document
+from ..sources.documents import ARGUMENT_FIELDS, STATEMENT_FIELDS, as_item, to_json
 from . import identity
+from .graph import _schema
 
 
 def _match(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -59,6 +61,41 @@ def diff_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def diff_report(a: Corpus, b: Corpus) -> DataFrame:
+    """(doc_id, report): the difference of each document's two versions as JSON, lists in order."""
+    ia, ib = identity.statement_ids(a), identity.statement_ids(b)
+    of = lambda t, s, *cols: t.select("doc_id", F.col("id").alias(f"id_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in cols))
+    s = diff_statements(a, b, ia, ib).join(of(ia, "a", "just_id", "prop_id"), ["doc_id", "id_a"], "left")
+    for t, n in ((a, "a"), (b, "b")):
+        s = s.join(of(t.statements, n, "text", "mode"), ["doc_id", f"id_{n}"], "left")
+    h = diff_arguments(a, b).join(of(identity.argument_hashes(a), "a", "arg_hash"), ["doc_id", "id_a"], "left")
+    for t, n in ((a, "a"), (b, "b")):
+        h = h.join(of(t.arguments, n, "premises", "conclusions"), ["doc_id", f"id_{n}"], "left")
+    gather = lambda t, n: t.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in t.columns if c != "doc_id"))).alias(n))
+    both = a.docs.select("doc_id").union(b.docs.select("doc_id")).distinct()
+    frame = both.join(gather(s, "s"), "doc_id", "left").join(gather(h, "h"), "doc_id", "left")
+
+    def kernel(row: dict):
+        rows = {n: sorted(row[n] or [], key=lambda r: (r["seq"], r["rank"])) for n in "sh"}
+        of = lambda n, status: [r for r in rows[n] if r["status"] == status]
+        pick = lambda r, n, *keys: {"id": r[f"id_{n}"], **{k: r[f"{k}_{n}"] for k in keys}}
+        statements = {
+            "identical": [{"a": r["id_a"], "b": r["id_b"], "just_id": r["just_id_a"]} for r in of("s", "identical")],
+            "rejustified": [{"a": r["id_a"], "b": r["id_b"], "prop_id": r["prop_id_a"], "text": r["text_b"]} for r in of("s", "rejustified")],
+            "added": [pick(r, "b", "text", "mode") for r in of("s", "added")],
+            "removed": [pick(r, "a", "text", "mode") for r in of("s", "removed")],
+        }
+        arguments = {
+            "identical": [{"a": r["id_a"], "b": r["id_b"], "arg_hash": r["arg_hash_a"]} for r in of("h", "identical")],
+            "added": [pick(r, "b", "premises", "conclusions") for r in of("h", "added")],
+            "removed": [pick(r, "a", "premises", "conclusions") for r in of("h", "removed")],
+        }
+        sizes = {k: {n: len(v) for n, v in t.items()} for k, t in (("statements", statements), ("arguments", arguments))}
+        yield row["doc_id"], json.dumps({"statements": statements, "arguments": arguments, "summary": sizes}, ensure_ascii=False)
+
+    return per_document(frame, kernel, _schema(a, "report string"))
+
+
 def _freeze(x):
     """A value by which JSON values compare: key order aside, true as 1 and 1.0, and an empty object as an empty list."""
     if isinstance(x, dict):
@@ -173,3 +210,42 @@ def merge(base: Corpus, ours: Corpus, theirs: Corpus, plain: bool = False) -> tu
     heads = h.select("doc_id", F.explode(F.filter(F.array(*clash), lambda c: c.isNotNull())).alias("c"))
     heads = heads.select("doc_id", F.lit(3).alias("kind_rank"), F.lit("header").alias("kind"), F.col("c.id").alias("id"), F.lit("kept ours").alias("resolution"), struct.alias("seq"), F.lit(None).cast("array<string>").alias("missing"))
     return Corpus(docs, statements, arguments), conflicts(s, a).unionByName(heads)
+
+
+def merge_report(base: Corpus, ours: Corpus, theirs: Corpus) -> DataFrame:
+    """(doc_id, report): merged document, conflicts in order, and tallies, as JSON."""
+    s, a = merge_items(base, ours, theirs)
+    merged, clashes = merge(base, ours, theirs)
+    sides = F.struct("row_b", "row_o", "row_t", "row")
+    shown = lambda t, kind: t.select("doc_id", F.lit(kind).alias("kind"), "id", sides.alias(kind))
+    rows = clashes.join(shown(s, "statement"), ["doc_id", "kind", "id"], "left").join(shown(a, "argument"), ["doc_id", "kind", "id"], "left")
+    rows = rows.join(a.select("doc_id", "id", F.lit("dangling").alias("kind"), F.col("row").alias("dropped")), ["doc_id", "kind", "id"], "left")
+    rows = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "doc_id"))).alias("conflicts"))
+    heads = lambda c, n: c.docs.select("doc_id", F.struct("name", "description", "meta_json", "ext_json").alias(f"head_{n}"))
+    frame = to_json(merged, None).join(rows, "doc_id", "left")
+    for c, n in ((base, "b"), (ours, "o"), (theirs, "t")):
+        frame = frame.join(heads(c, n), "doc_id")
+    for t, n in ((s, "tally_s"), (a, "tally_a")):
+        counted = tallies(t)
+        frame = frame.join(counted.select("doc_id", F.struct(*(c for c in counted.columns if c != "doc_id")).alias(n)), "doc_id", "left")
+
+    def kernel(d: dict):
+        out = []
+        for c in sorted(d["conflicts"] or [], key=lambda c: (c["kind_rank"], c["seq"]["part"], c["seq"]["ord"] or 0)):
+            one = {"kind": c["kind"], "id": c["id"]}
+            if c["kind"] == "dangling":
+                one |= {"missing": c["missing"], "argument": as_item(c["dropped"] | {"id": c["id"]}, ARGUMENT_FIELDS)}
+            elif c["kind"] == "header":
+                key = c["id"]
+                value = lambda h, key=key: h[key] if key in h else (json.loads(h[f"{key}_json"]) if h[f"{key}_json"] is not None else None)
+                one |= {"base": value(d["head_b"]), "ours": value(d["head_o"]), "theirs": value(d["head_t"])}
+            else:
+                fields = STATEMENT_FIELDS if c["kind"] == "statement" else ARGUMENT_FIELDS
+                both = c[c["kind"]]
+                one |= {n: as_item(both[r] | {"id": c["id"]}, fields) if both[r] else None for n, r in (("base", "row_b"), ("ours", "row_o"), ("theirs", "row_t"))}
+            out.append(one | {"resolution": c["resolution"]})
+        none = dict.fromkeys(("kept", "added_ours", "added_theirs", "added_both", "removed", "changed"), 0)
+        summary = {"statements": d["tally_s"] or none, "arguments": d["tally_a"] or none}
+        yield d["doc_id"], json.dumps({"merged": json.loads(d["json"]), "conflicts": out, "summary": summary}, ensure_ascii=False)
+
+    return per_document(frame, kernel, _schema(base, "report string"))

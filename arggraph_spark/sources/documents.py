@@ -254,26 +254,28 @@ def read(spark: SparkSession, paths: str | list[str], strict: bool = False, perm
     return corpus
 
 
+def as_item(x: dict, fields: list[str]) -> dict:
+    """A table's row as an object of the format: absent keys absent, meta and ext parsed."""
+    out = {}
+    for f in fields:
+        if f in ("meta", "ext"):
+            if x[f"{f}_json"] is not None:
+                out[f] = json.loads(x[f"{f}_json"])
+        elif x[f] is not None:
+            out[f] = x[f]
+    return out
+
+
 def to_json(corpus: Corpus, indent: int | None = 2) -> DataFrame:
     """(doc_id, json): documents as they were read, keys in the format's order, absent keys absent, meta and ext verbatim in value."""
     s = corpus.statements.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "text", "mode", "meta_json", "ext_json"))).alias("statements"))
     a = corpus.arguments.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "premises", "conclusions", "justification", "rule", "meta_json", "ext_json"))).alias("arguments"))
     frame = corpus.docs.join(s, "doc_id", "left").join(a, "doc_id", "left")
 
-    def item(x: dict, fields: list[str]) -> dict:
-        out = {}
-        for f in fields:
-            if f in ("meta", "ext"):
-                if x[f"{f}_json"] is not None:
-                    out[f] = json.loads(x[f"{f}_json"])
-            elif x[f] is not None:
-                out[f] = x[f]
-        return out
-
     def kernel(d: dict):
-        out = {"format": FORMAT, **item(d, ["version", "name", "description", "meta", "ext"])}
-        out["statements"] = [item(x, STATEMENT_FIELDS) for x in d["statements"] or []]
-        out["arguments"] = [item(x, ARGUMENT_FIELDS) for x in d["arguments"] or []]
+        out = {"format": FORMAT, **as_item(d, ["version", "name", "description", "meta", "ext"])}
+        out["statements"] = [as_item(x, STATEMENT_FIELDS) for x in d["statements"] or []]
+        out["arguments"] = [as_item(x, ARGUMENT_FIELDS) for x in d["arguments"] or []]
         yield d["doc_id"], json.dumps(out, ensure_ascii=False, indent=indent) + ("\n" if indent else "")
 
     schema = T.StructType([corpus.docs.schema["doc_id"], T.StructField("json", T.StringType())])
