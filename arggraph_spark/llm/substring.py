@@ -57,12 +57,13 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, columns: list[str]
     return with_spans(docs, spans, columns, id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 200, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", gram: int = 24, hot_runs: int = HOT_RUNS, shard_symbols: int = SHARD_SYMBOLS, names: tuple[str, ...] = ("n_bytes", "n_removed", "kept_bytes", "removed")) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 200, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", gram: int = 24, hot_runs: int = HOT_RUNS, shard_symbols: int = SHARD_SYMBOLS, names: tuple[str, ...] = ("n_bytes", "n_removed", "kept_bytes", "removed"), as_text: bool = False) -> DataFrame:
     """``columns`` of every row with the byte count, the number removed, the remaining bytes and the removed ranges [s0, e0, ...].
 
     A byte of the UTF-8 text goes if a string of ``window`` bytes that covers it starts in another place too, in the
     same text or another; strings are those of the input. Null counts as empty. Repeated rows are texts like any
-    others. What remains may cut a character. An empty table gives an empty one.
+    others. What remains may cut a character; ``as_text`` gives a string without such fragments instead of binary. An
+    empty table gives an empty one.
     """
     columns = columns or [id_col]
     spans = repeated_windows(docs, octets, suffixes.repeats, window, gram, 1, id_col, text_col, hot_runs, shard_symbols)
@@ -77,11 +78,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, columns: list[str]
                 kept = data[offs[i] : offs[i + 1]][~g]
                 out["n"].append(len(g))
                 out["r"].append(len(g) - len(kept))
-                out["bytes"].append(kept.tobytes())
+                out["bytes"].append(kept.tobytes().decode("utf-8", "ignore") if as_text else kept.tobytes())
                 out["ranges"].append(_ranges(g).ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out["n"], pa.int64()), pa.array(out["r"], pa.int64()), pa.array(out["bytes"], pa.binary()), pa.array(out["ranges"], pa.list_(pa.int32()))], [*columns, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out["n"], pa.int64()), pa.array(out["r"], pa.int64()), pa.array(out["bytes"], pa.string() if as_text else pa.binary()), pa.array(out["ranges"], pa.list_(pa.int32()))], [*columns, *names])
 
-    fields = [*(docs.schema[c] for c in columns), *(T.StructField(k, t) for k, t in zip(names, (T.LongType(), T.LongType(), T.BinaryType(), T.ArrayType(T.IntegerType())), strict=True))]
+    fields = [*(docs.schema[c] for c in columns), *(T.StructField(k, t) for k, t in zip(names, (T.LongType(), T.LongType(), T.StringType() if as_text else T.BinaryType(), T.ArrayType(T.IntegerType())), strict=True))]
     return with_spans(docs, spans, columns, id_col, text_col).mapInArrow(run, T.StructType(fields))
 
 

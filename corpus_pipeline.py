@@ -36,9 +36,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     names = ("_bytes", "_removed", "_kept", "_ranges")
     columns = [c for c in docs.columns if c != "text"]
-    out = remove_repeated_bytes(docs, 200, columns=[*columns, "text"], names=names)
-    text = F.when(F.col("_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode(F.try_to_binary(F.hex("_kept"), F.lit("hex")), "utf-8"), "�", ""))
-    out = out.withColumn("text", text)
+    out = remove_repeated_bytes(docs, 200, columns=columns, names=names, as_text=True).withColumnRenamed("_kept", "text")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
