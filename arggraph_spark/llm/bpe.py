@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ DICTIONARY_WORDS, WORD_BYTES = 1 << 18, 48
 #: A word counts as one that recurs if the part of the texts that one task reads has it so many times.
 RECURS = 4
 #: Chunks whose encoding a task holds at once.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 300_000
 #: Buckets of the literal rank map: a map literal is searched from end to end, so each is kept small.
 BUCKETS = 8192
 
@@ -140,6 +141,74 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Folder:
+    """Ranked merges of many words at once: each round merges the leftmost pair of lowest rank in every word that has one."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = [(ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.keys, self.made = table[:, 0].copy(), table[:, 1].copy()
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], _NONE)
+
+    def fold(self, words: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
+        for i, w in enumerate(words):
+            if len(w) > 64 or w in self.ranks:
+                out[i] = fold(w, self.ranks)
+        left = np.array([i for i, w in enumerate(words) if not out[i] and w], np.int64)
+        if not len(left):
+            return out
+        n = np.array([len(words[i]) for i in left.tolist()], np.int64)
+        ids = self.bytes[np.frombuffer(b"".join([words[i] for i in left.tolist()]), np.uint8)]
+        of = np.repeat(np.arange(len(left)), n)
+        last = np.append(of[1:] != of[:-1], True)
+        r = np.where(last, _NONE, self.rank(ids, np.append(ids[1:], 0)))
+        while len(ids):
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            least = np.minimum.reduceat(r, first)
+            size = np.diff(np.append(first, len(ids)))
+            done = least == _NONE
+            if done.any():
+                ended = np.repeat(done, size)
+                flat, cut = ids[ended].tolist(), np.append(0, np.cumsum(size[done])).tolist()
+                for k, i in enumerate(left[of[first[done]]].tolist()):
+                    out[i] = flat[cut[k] : cut[k + 1]]
+                go = ~ended
+                ids, of, r, least, size = ids[go], of[go], r[go], least[~done], size[~done]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(r == np.repeat(least, size))
+            hit = hit[np.append(True, of[hit[1:]] != of[hit[:-1]])]  # the leftmost of each word
+            ids[hit] = least
+            # The pair's second half goes; what it began now begins at the merged piece.
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            ids, of, r = ids[stay], of[stay], r[stay]
+            hit -= np.arange(len(hit))
+            after = np.append(of[1:] == of[:-1], False)
+            follows = after[hit]
+            r[hit] = np.where(follows, self.rank(ids[hit], ids[np.minimum(hit + 1, len(ids) - 1)]), _NONE)
+            before = hit[(hit > 0) & after[np.maximum(hit - 1, 0)]] - 1
+            r[before] = self.rank(ids[before], ids[before + 1])
+        return out
+
+
+#: A chunk that the pattern cuts into one run of letters and one of other marks.
+_SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+
+
+def words_of(chunk: str, find) -> list[str]:
+    if m := _SIMPLE.fullmatch(chunk):
+        return [m[1], m[2]] if m[2] else [m[1]]
+    return find(chunk)
+
+
 def chunks_of(text: str) -> list[str]:
     """Cuts a text where no word of the pattern crosses; each chunk but the first begins with a space."""
     cut = _SAFE.split(text) if _ODD.search(text) or text[:1].isspace() else text.split(" ")
@@ -188,7 +257,7 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
             least = n + 1
             break
     coded = encode_words(words.filter(F.col("n") >= least).select("word").repartition(12), ranks)
-    return {r[0]: r[1] for r in coded.toLocalIterator()}
+    return dict(materialize(coded.select("word", "ids")).collect())  # at most ``most`` rows
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY_WORDS, with_ids: bool = False) -> DataFrame:
@@ -198,38 +267,39 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     ``with_ids`` adds the ids and the bytes they decode to. Other columns aren't read; repeated rows give repeated
     results.
     """
+    from public_tokenizers import PATTERN as public_pattern  # the one for which words_of and chunks_of have shortcuts
+
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks, dictionary(docs, ranks, pattern, text_col, most)))
 
     def run(batches):
         import regex
 
+        simple = pattern == public_pattern
         find = regex.compile(pattern).findall
         rank, common = shared.value
+        folder = Folder(rank)
         pieces = {i: p for p, i in rank.items()}
-        known: dict[str, tuple[list[int], str]] = {}
-
-        class Ids(dict):
-            def __missing__(self, chunk: str) -> list[int]:
-                ids = []
-                for w in find(chunk):
-                    ids += common.get(w) or fold(w.encode(), rank)
-                self[chunk] = ids
-                return ids
-
-        known = Ids()
+        known: dict[str, tuple[int, str, bytes, list[int]]] = {}  # of a chunk: ids, as text, as bytes
         for b in slices(batches, text_col, 1 << 20):
             if len(known) > CACHE_CHUNKS:
                 known.clear()
+            split = [chunks_of(t) if t else [] for t in b.column(text_col).to_pylist()]
+            new = {c: words_of(c, find) if simple else find(c) for c in set(chain.from_iterable(split)) if c not in known}
+            rare = list({w for ws in new.values() for w in ws if w not in common})
+            coded = dict(zip(rare, folder.fold([w.encode() for w in rare]), strict=True))
+            for c, ws in new.items():
+                ids = [i for w in ws for i in common.get(w) or coded[w]]
+                known[c] = (len(ids), " ".join(map(str, ids)), b"".join([pieces[i] for i in ids]), ids if with_ids else [])
             cols = {k: [] for k in ("n", "ids_sha", "sha", "ids", "bytes")}
-            for t in b.column(text_col).to_pylist():
-                ids = list(chain.from_iterable(map(known.__getitem__, chunks_of(t)))) if t else []
-                back = b"".join(map(pieces.__getitem__, ids))
-                cols["n"].append(len(ids))
-                cols["ids_sha"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            for s in split:
+                rows = [r for r in map(known.__getitem__, s) if r[0]]
+                back = b"".join([r[2] for r in rows])
+                cols["n"].append(sum([r[0] for r in rows]))
+                cols["ids_sha"].append(hashlib.sha256(" ".join([r[1] for r in rows]).encode()).hexdigest())
                 cols["sha"].append(hashlib.sha256(back).hexdigest())
                 if with_ids:
-                    cols["ids"].append(ids)
+                    cols["ids"].append([i for r in rows for i in r[3]])
                     cols["bytes"].append(back)
             arrays = [b.column(id_col), pa.array(cols["n"], pa.int64()), pa.array(cols["ids_sha"], pa.string()), pa.array(cols["sha"], pa.string())]
             arrays += [pa.array(cols["ids"], pa.list_(pa.int32())), pa.array(cols["bytes"], pa.binary())] if with_ids else []

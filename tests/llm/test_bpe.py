@@ -59,6 +59,13 @@ def test_fold_against_the_library(ranks, library, n):
         assert bpe.fold(word.encode(), ranks) == library.encode_ordinary(word)
 
 
+def test_folding_many_at_once(ranks):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeinrst éßñ") for _ in range(rng.randrange(1, 70))).encode() for _ in range(400)]
+    words += [b"", b"a", b"aaaaaaaa", b"the", bytes(range(256)), b"\xff\xfe" * 9]
+    assert bpe.Folder(ranks).fold(words) == [bpe.fold(w, ranks) if w else [] for w in words]
+
+
 def test_query_over_the_small_table(spark, library):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
