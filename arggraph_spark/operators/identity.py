@@ -49,11 +49,11 @@ def layered_identities(corpus: Corpus, layer_of: DataFrame, layers: int) -> tupl
     ``layer_of`` (doc_id, id, layer): every argument's premises lie in lower layers than its conclusions. For documents
     too large for one task; hashes of arguments don't depend on ids of their conclusions, so each is made once.
     """
-    statements = corpus.statements.select("doc_id", "id", prop_id(F.col("text"), F.col("mode")).alias("prop")).join(layer_of, ["doc_id", "id"])
-    concluded = corpus.conclusions.select("doc_id", F.col("arg_id").alias("arg"), F.col("stmt_id").alias("id")).join(statements, ["doc_id", "id"])
+    statements = corpus.statements.select("doc_id", "id", prop_id(F.col("text"), F.col("mode")).alias("prop")).join(layer_of, ["doc_id", "id"]).persist()
+    concluded = corpus.conclusions.select("doc_id", F.col("arg_id").alias("arg"), F.col("stmt_id").alias("id")).join(statements, ["doc_id", "id"]).persist()
     ends = concluded.groupBy("doc_id", "arg").agg(F.sort_array(F.collect_list("prop")).alias("props"), F.max("layer").alias("layer"))
     why = corpus.arguments.select("doc_id", F.col("id").alias("arg"), canon(F.col("justification")).alias("why"))
-    args = why.join(ends, ["doc_id", "arg"])
+    args = why.join(ends, ["doc_id", "arg"]).persist()
     premises = corpus.premises.select("doc_id", F.col("arg_id").alias("arg"), F.col("stmt_id").alias("id"))
     from .fixpoint import cut
 
