@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,10 +78,15 @@ def normalised(sentence: str) -> str:
     return " ".join(filter(None, (re.sub("[^A-Za-z0-9]+", " ", p).strip().lower() for p in parts)))
 
 
-def _quick() -> str:
-    """A pattern that every text with a known sentence matches: the sentences' first words, however spaced."""
-    heads = sorted({" ".join(normalised(s).split()[:2]) for s in SENTENCES.values()})
-    return "(?i)(" + "|".join(h.replace(" ", "[^A-Za-z0-9]+") for h in heads) + ")"
+def telling_words() -> list[str]:
+    """Few words of which every known sentence contains one; texts with none of them have no known sentence."""
+    left = {normalised(s) for s in SENTENCES.values()}
+    chosen = []
+    while left:
+        best = max(sorted({w for s in left for w in s.split()}), key=lambda w: (sum(w in s for s in left) if len(w) > 6 else 0, len(w)))
+        chosen.append(best)
+        left = {s for s in left if best not in s}
+    return chosen
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list | None = None) -> DataFrame:
@@ -94,7 +101,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normalised(s), k)))
     parts = F.split(F.regexp_replace(F.col(text_col), _END, "\n"), "\n")
     parts = F.filter(F.transform(parts, lambda p: F.lower(F.trim(F.regexp_replace(p, "[^A-Za-z0-9]+", " ")))), lambda p: p != "")
-    rows = docs.select(id_col, F.when(F.col(text_col).rlike(_quick()), parts).alias("_p"))
+    low = docs.select(id_col, text_col, F.lower(text_col).alias("_low"))
+    telling = reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in telling_words()))
+    rows = low.select(id_col, F.when(telling, parts).alias("_p"))
     longest = max(len(normalised(s)) for s in SENTENCES.values())
 
     def at(p: Column, i: Column) -> Column:
