@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, buffers, materialize, mix, prefix, slices, span_hash
+from .common import buffers, materialize, mix, prefix, slices, span_hash
 
 #: Different runs of one anchor beyond which its windows are spread by their own hashes.
 HOT_RUNS = 2048
@@ -100,8 +100,9 @@ def _ranges(flags: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(pairs, pa.int32()))
 
 
-def _small(right: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(right) if size <= BROADCAST_BYTES else right.hint("merge")
+def _met(right: DataFrame) -> DataFrame:
+    """All these sides grow with the corpus, so they are shuffled at every size."""
+    return right.hint("merge")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -127,12 +128,12 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, kernel: Kernel, window:
 
     found = materialize(rows.mapInArrow(find, "_id string, _tx long, a long, h long, s int, n int"))
     again = materialize(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
-    some = found.join(_small(again, again.count() * 16), "a", "left_semi")
+    some = found.join(_met(again), "a", "left_semi")
     groups = materialize(some.groupBy("a", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_tx", "s", "n")).alias("at")))
     kinds = materialize(groups.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"))
-    several = groups.join(_small(kinds, kinds.count() * 24), "a").select("a", "h", F.col("d") > hot_runs, "at.*").toDF("a", "h", "hot", "_id", "_tx", "s", "n")
+    several = groups.join(_met(kinds), "a").select("a", "h", F.col("d") > hot_runs, "at.*").toDF("a", "h", "hot", "_id", "_tx", "s", "n")
     by_text = materialize(several.groupBy("_id", "_tx").agg(F.collect_list(F.struct("a", "h", "hot", "s", "n")).alias("runs")))
-    n_runs, n_symbols = by_text.select(F.explode("runs").alias("r")).agg(F.count(F.lit(1)), F.sum(F.col("r.n") + window - 1)).first()
+    n_symbols = several.agg(F.sum(F.col("n") + window - 1)).first()[0]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text", 1 << 18):
@@ -149,7 +150,7 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, kernel: Kernel, window:
                 content = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(part.astype(kind)))])
                 yield pa.RecordBatch.from_arrays([*(r.field(k)[i : i + 2048] for k in ("a", "h", "hot")), content], ["a", "h", "hot", "content"])
 
-    texts = rows.join(_small(by_text, (n_runs or 0) * 40), ["_id", "_tx"]).mapInArrow(cut, "a long, h long, hot boolean, content binary")
+    texts = rows.join(_met(by_text), ["_id", "_tx"]).mapInArrow(cut, "a long, h long, hot boolean, content binary")
     shards = max(spark.sparkContext.defaultParallelism, -(-(n_symbols or 0) // (4 * shard_symbols)))
 
     def flat(content: list) -> tuple[np.ndarray, np.ndarray]:
@@ -196,22 +197,20 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, kernel: Kernel, window:
     if kinds.filter(F.col("d") > hot_runs).limit(1).count():
         hot = materialize(hot)
         twice = materialize(hot.groupBy("w", "v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", "v"))
-        nths = hot.join(_small(twice, twice.count() * 32), ["w", "v"], "left_semi").groupBy("a", "h").agg(F.flatten(F.collect_list(F.array(F.col("nth"), F.col("nth") + 1))).alias("spans"))
+        nths = hot.join(_met(twice), ["w", "v"], "left_semi").groupBy("a", "h").agg(F.flatten(F.collect_list(F.array(F.col("nth"), F.col("nth") + 1))).alias("spans"))
         settled = settled.unionByName(nths)
     same = groups.filter("c > 1").select("a", "h", F.array(F.lit(0), F.col("at.n")).alias("spans"))
     # A run that is repeated as a whole needs no more than that.
     partly = settled.filter(F.size("spans") > 0).join(same.select("a", "h").hint("merge"), ["a", "h"], "left_anti")
     spans = materialize(same.unionByName(partly))
-    size = spans.select(F.sum(F.size("spans") * 4 + 40)).first()[0] or 0
-    back = found.join(_small(spans, size), ["a", "h"]).select("_id", "_tx", F.transform("spans", lambda x: x + F.col("s")).alias("spans"))
+    back = found.join(_met(spans), ["a", "h"]).select("_id", "_tx", F.transform("spans", lambda x: x + F.col("s")).alias("spans"))
     return materialize(back.groupBy("_id", "_tx").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``columns`` of every row with _text and the spans of its repeated windows (null if it has none)."""
-    size = spans.select(F.sum(F.size("spans") * 4 + 40)).first()[0] or 0
     rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.xxhash64(text_col).alias("_tx"), F.col(text_col).alias("_text"))
-    return rows.join(_small(spans, size), ["_id", "_tx"], "left").select(*(F.col(f"`{c}`") for c in columns), "_text", "spans")
+    return rows.join(_met(spans), ["_id", "_tx"], "left").select(*(F.col(f"`{c}`") for c in columns), "_text", "spans")
 
 
 def covered(spans: pa.Array, offs: np.ndarray, window: int) -> np.ndarray:
