@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ CALL_BYTES = 1 << 18
 _SAFE = re.compile(r"(?<=[^ ]) ")
 #: White space that the word tokenizer drops; no word crosses it.
 _BLANK = re.compile(r"[ \t\n\r]+")
+#: What str.split() takes for white space and the tokenizer doesn't.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Chunks that the word tokenizer cuts into one run of letters and one of other marks; letters that are NFC already.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
 
 def calls(chunks: list[str], limit: int = CALL_BYTES):
@@ -64,7 +69,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             split = [t.split(" ") if "  " not in t and t[:1] != " " else _SAFE.split(t) for t in texts]
             if len(known) > CACHE_CHUNKS:
                 known.clear()
-            new = list(set().union(*split) - known.keys())
+            new = [c for c in set().union(*split) if c not in known]
             for group in calls(new):
                 known.update(zip(group, map(len, sp.encode(group, num_threads=1)), strict=True))
             known[""] = 1  # only the space itself, at a text's end
@@ -76,26 +81,75 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def blank(text: str) -> list[str]:
+    """The chunks between white space."""
+    if any(c in text for c in _CONTROLS):
+        return [c for c in _BLANK.split(text) if c]
+    return text.split()
+
+
+class Numbers(dict):
+    """Numbers chunks as they are met; ``new`` has those not encoded yet, in order."""
+
+    def __init__(self):
+        super().__init__({"": 0})  # chunk 0 ends a text
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        n = self[chunk] = len(self)
+        return n
+
+
 class ChunkIds:
-    """Token ids of chunks, held flat; ``gather`` gives the ids of many chunks in order."""
+    """Token ids of chunks, held flat; ``gather`` gives the ids of many chunks in order.
+
+    The tokenizer drops white space, lower-cases, cuts letters from other marks and encodes each by itself. So a chunk
+    of letters and then marks is encoded from its parts, which are far fewer than the chunks; its letters go straight to
+    the BPE model. Other chunks go through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer, end_id: int):
         self.tokenizer, self.end_id = tokenizer, end_id
+        self.bytes: dict[int, str] = {}  # the byte-level spelling of letters beyond ASCII
         self.clear()
 
     def clear(self) -> None:
-        self.number = {"": 0}  # chunk 0 ends a text
+        self.number = Numbers()
+        self.parts: dict[str, list[int]] = {"": []}
         self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
 
-    def add(self, chunks: list[str]) -> None:
-        flat, lengths = [self.flat], [self.lengths]
-        for group in calls(chunks):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
-            n = len(self.number)
-            self.number.update(zip(group, range(n, n + len(group)), strict=True))
-            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flat.append(np.array([i for g in got for i in g], np.uint32))
-        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+    def letters(self, word: str) -> list[int]:
+        if not word.isascii():
+            for c in word:
+                if ord(c) not in self.bytes:
+                    self.bytes[ord(c)] = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
+            word = word.translate(self.bytes)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def catch_up(self) -> None:
+        """Encodes the chunks that were numbered since."""
+        chunks, self.number.new = self.number.new, []
+        if not chunks:
+            return
+        parts, got, whole = self.parts, [], []
+        for c in chunks:
+            if m := _SIMPLE.fullmatch(c):
+                word, marks = m[1].lower(), m[2]
+                if (ids := parts.get(word)) is None:
+                    ids = parts[word] = self.letters(word)
+                if (more := parts.get(marks)) is None:
+                    more = parts[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+                got.append(ids + more if more else ids)
+            else:
+                whole.append(len(got))
+                got.append(c)
+        for group in calls([got[i] for i in whole]):
+            for i, e in zip(whole[: len(group)], self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                got[i] = e.ids
+            whole = whole[len(group) :]
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), np.int64, len(got))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
         self.starts = np.cumsum(self.lengths) - self.lengths
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,15 +175,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
 
         vocab = ChunkIds(Tokenizer.from_file(tokenizer), end_id)
         for b in slices(batches, text_col, 1 << 20):
-            split = [[c for c in _BLANK.split(t) if c] if t else [] for t in b.column(text_col).to_pylist()]
+            split = [blank(t) if t else [] for t in b.column(text_col).to_pylist()]
             if len(vocab.number) > CACHE_CHUNKS:
                 vocab.clear()
-            if new := list(set().union(*split) - vocab.number.keys()):
-                vocab.add(new)
-            number = vocab.number
-            codes = np.array([number[c] for s in split for c in (*s, "")], np.int64)
+            for s in split:
+                s.append("")
+            codes = np.fromiter(map(vocab.number.__getitem__, chain.from_iterable(split)), np.int64)
+            vocab.catch_up()
             ids, ends = vocab.gather(codes)
-            doc_ends = ends[np.cumsum([len(s) + 1 for s in split]) - 1]
+            doc_ends = ends[np.cumsum([len(s) for s in split]) - 1]
             rows = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
             s = 0
             for r, e in enumerate(doc_ends.tolist()):

@@ -48,6 +48,17 @@ def test_pieces_are_the_librarys(spark, documents, odd_texts):
     assert {k: sorted(v) for k, v in got.items()} == {i: pieces_of(tokenizer, t, 64) for i, t in enumerate(odd_texts)}
 
 
+def test_chunks_of_letters_and_marks(spark, documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD)
+    texts = ["Éire, ÀÉÎõü!! straße. Þorn;", "a,b c.. d|e |", "ÿÀ× ÷x ªº µm", "it's don't! 'tis", "WORD, word word! Word?", "x1 1x ,,x e\u0301a", "\u2028a\u2003b\x85c", "<|endoftext|>, <|startoftext|>x"]
+    got = defaultdict(list)
+    for r in token_pieces(documents(texts), WORD, 64).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    assert dict(got) == {i: pieces_of(tokenizer, t, 64) for i, t in enumerate(texts)}
+
+
 def check_packed(rows, capacity):
     bins = defaultdict(list)
     for r in rows:
