@@ -7,151 +7,208 @@ their rank among the rows of equal length, without any of them meeting in one ta
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_bounded, materialize
 
-#: Up to so many sizes the fillings around a largest item are all enumerated, within a number of nodes; of more sizes, those
-#: that end in the two best items. So many plans are completed before the search ends.
-FEW_SIZES, FILLING_NODES, PLANS = 48, 20_000, 8
+#: The search for fewer sequences ends after so many fillings; the first plans are always completed.
+NODES = 20_000
+
+#: (index of a size, number) of a filling's items, larger sizes first.
+Items = tuple[tuple[int, int], ...]
 
 
-def fillings(room: int, sizes: list[int], count: dict[int, int], most_waste: int, want: int = 1) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to ``want`` fillings of ``room`` as (waste, sizes), least waste first and of equal waste those of larger items.
+class Sums:
+    """The items left, as counts of sizes, and the sums that they can reach, by which fillings are enumerated.
 
-    Depth-first, larger items first. A filling is dominated when one more item would fit; those aren't listed. A
-    branch is left when even the room it has left can't come under the waste of the incumbent.
+    ``reach[i]`` has bit t if items of ``sizes[i:]`` (descending) can sum to t; so no branch of an enumeration ends
+    without a filling, whatever the number of sizes. Only tables of sizes from one whose count changed are made anew.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    sizes = [s for s in sizes if s <= room]  # descending
-    nodes = 0
-    bound = most_waste
 
-    def visit(left: int, at: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal nodes, bound
-        nodes += 1
-        if left == 0 or not sizes or left < sizes[-1] or not any(s <= left and count[s] > chosen.count(s) for s in sizes[at:]):
-            # Undominated only if no available item of any size fits.
-            if left <= bound and not any(s <= left and count[s] > chosen.count(s) for s in sizes):
-                found.append((left, chosen))
-                found.sort(key=lambda f: f[0])
-                del found[want:]
-                if len(found) == want:
-                    bound = found[-1][0] - 1
-            return bool(found) and len(found) == want and found[-1][0] == 0
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s > left or count[s] <= chosen.count(s):
-                continue
-            if nodes > FILLING_NODES and found:
-                return True
-            if visit(left - s, i, (*chosen, s)):
-                return True
-        return False
-
-    visit(room, 0, ())
-    return found
-
-
-def paired(room: int, sizes: list[int], count: dict[int, int], most_waste: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The least wasteful of the fillings that take the largest items that fit, as many as one likes, and then the best one or two others."""
-    asc = np.array(sizes[::-1], np.int64)
-    have = np.fromiter((count[s] for s in sizes[::-1]), np.int64, len(asc))
-    best: tuple[int, tuple[int, ...]] | None = None
-    chosen: list[int] = []
-    left = room
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.capacity, self.mask = capacity, (1 << (capacity + 1)) - 1
+        self.sizes = sorted((s for s, n in histogram.items() if n), reverse=True)
+        self.count = [histogram[s] for s in self.sizes]
+        self.reach = [1] * (len(self.sizes) + 1)
+        self.valid = len(self.sizes)
+        self.seen = 0
+
+    def change(self, items: Items, times: int) -> None:
+        for i, n in items:
+            most, before = self.capacity // self.sizes[i], self.count[i]
+            self.count[i] += n * times
+            if min(before, most) != min(self.count[i], most):
+                self.valid = max(self.valid, i + 1)
+
+    def _tables(self, at: int) -> None:
+        for i in range(self.valid - 1, at - 1, -1):
+            s, sums = self.sizes[i], self.reach[i + 1]
+            left, step = min(self.count[i], self.capacity // s), 1
+            while left > 0:
+                step = min(step, left)
+                sums |= (sums << (step * s)) & self.mask
+                left -= step
+                step *= 2
+            self.reach[i] = sums
+        self.valid = min(self.valid, at)
+
+    def _exactly(self, t: int, at: int, after: Items | None) -> Iterator[Items]:
+        """Fillings from ``sizes[at:]`` that sum to ``t``, larger items first; those that come after ``after`` only."""
+        if not t:
+            if after is None:
+                yield ()
+            return
+        at = max(at, bisect_left(self.sizes, -t, key=lambda s: -s))
+        if after and after[0][0] >= at:
+            at = after[0][0]
+        else:
+            after = None
+        for i in range(at, len(self.sizes)):
+            if not self.reach[i] >> t & 1:
+                return
+            s, rest = self.sizes[i], self.reach[i + 1]
+            most = min(self.count[i], t // s)
+            if after and i == at:
+                n = after[0][1]
+                if n <= most and rest >> (t - n * s) & 1:
+                    for more in self._exactly(t - n * s, i + 1, after[1:]):
+                        yield ((i, n), *more)
+                most = min(most, n - 1)
+            for n in range(most, 0, -1):
+                if rest >> (t - n * s) & 1:
+                    for more in self._exactly(t - n * s, i + 1, None):
+                        yield ((i, n), *more)
+
+    def filling(self, first: int, most_waste: int, after: tuple[int, Items] | None = None, limit: int | None = None) -> tuple[int, Items] | None:
+        """The (waste, others) next to ``after`` of the undominated fillings around an item of size ``first``, the largest.
+
+        They come least waste first and of equal waste those of larger items first. A filling is dominated when one
+        more item would fit. None if there are no more, or ``limit`` fillings were seen.
+        """
+        self.change(((first, 1),), -1)
+        self._tables(first)
+        room = self.capacity - self.sizes[first]
+        try:
+            for waste in range(after[0] if after else 0, min(most_waste, room) + 1):
+                if not self.reach[first] >> (room - waste) & 1:
+                    continue
+                for others in self._exactly(room - waste, first, after[1] if after and waste == after[0] else None):
+                    self.seen += 1
+                    taken = dict(others)
+                    fitting = range(max(first, bisect_left(self.sizes, -waste, key=lambda s: -s)), len(self.sizes))
+                    if not any(self.count[i] > taken.get(i, 0) for i in reversed(fitting)):
+                        return waste, others
+                    if limit is not None and self.seen >= limit:
+                        return None
+            return None
+        finally:
+            self.change(((first, 1),), 1)
+
+    def best_fit(self, first: int) -> Items:
+        """The filling that takes the largest item that fits, again and again."""
+        room, items = self.capacity, []
+        for i in range(first, len(self.sizes)):
+            if n := min(room // self.sizes[i], self.count[i]):
+                items.append((i, n))
+                room -= n * self.sizes[i]
+        return tuple(items)
+
+    def around(self, first: int, others: Items) -> Items:
+        return ((first, 1 + others[0][1]), *others[1:]) if others and others[0][0] == first else ((first, 1), *others)
+
+    def pattern(self, items: Items) -> tuple[int, ...]:
+        return tuple(self.sizes[i] for i, n in items for _ in range(n))
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any plan needs: by the total, and with items that can't share one counted apart (Martello and Toth's L2)."""
+    sizes = np.array(sorted(s for s, n in histogram.items() if n), np.int64)
+    if not len(sizes):
+        return 0
+    count = np.array([histogram[int(s)] for s in sizes], np.int64)
+    n, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(sizes * count)])
+    half = np.searchsorted(sizes, capacity // 2, "right")
+    small = np.concatenate([[0], sizes[:half]])
+    low, high = np.searchsorted(sizes, small, "left"), np.searchsorted(sizes, capacity - small, "right")
+    high = np.maximum(high, half)
+    apart, middle = n[-1] - n[high], n[high] - n[half]
+    free = middle * capacity - (total[high] - total[half])
+    rest = np.maximum(total[half] - total[np.minimum(low, half)] - free, 0)
+    return max(int(np.max(apart + middle + -(-rest // capacity))), -(-int(total[-1]) // capacity))
+
+
+def descend(histogram: dict[int, int], capacity: int, greedy: int) -> list[tuple[int, tuple[int, ...]]]:
+    """A plan without a search: ``greedy`` sequences by best fit, then least wasteful fillings as often as the items last."""
+    left, made, first = Sums(histogram, capacity), [], 0
     while True:
-        fits = int(np.searchsorted(asc, left, "right"))
-        if not fits:
-            break
-        a, free = asc[:fits], have[:fits].copy()
-        for s in set(chosen):
-            if s <= left:
-                free[np.searchsorted(a, s)] -= chosen.count(s)
-        a, free = a[free > 0], free[free > 0]
-        if not len(a):
-            break
-        # With each first item the largest second one that fits; an item needs two of a kind to be both.
-        at = np.searchsorted(a, left - a, "right") - 1
-        same = (at >= 0) & (at == np.arange(len(a))) & (free < 2)
-        at = np.where(same, at - 1, at)
-        waste = left - a - np.where(at >= 0, a[at], 0)
-        k = len(a) - 1 - int(np.argmin(waste[::-1]))
-        if waste[k] <= most_waste and (best is None or waste[k] < best[0]):
-            best = (int(waste[k]), (*chosen, *sorted((int(a[k]), *([int(a[at[k]])] if at[k] >= 0 else [])), reverse=True)))
-            if not best[0]:
-                break
-        chosen.append(int(a[-1]))
-        left -= chosen[-1]
-    return [best] if best else []
-
-
-def best_fit(room: int, sizes: list[int], count: dict[int, int]) -> tuple[int, tuple[int, ...]]:
-    """The filling that takes the largest item that fits, again and again."""
-    chosen: list[int] = []
-    for s in sizes:
-        if s <= room and (n := min(room // s, count[s])):
-            chosen += [s] * n
-            room -= n * s
-    return room, tuple(chosen)
+        while first < len(left.sizes) and not left.count[first]:
+            first += 1
+        if first == len(left.sizes):
+            return made
+        items = left.best_fit(first) if len(made) < greedy else left.around(first, left.filling(first, capacity)[1])
+        times = 1 if len(made) < greedy else min(left.count[i] // n for i, n in items)
+        left.change(items, -times)
+        made.append((times, left.pattern(items)))
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """(times, sizes) of the patterns that pack all items, in as few sequences as the search finds.
 
-    Branch and bound: around the largest item left, the least wasteful completion is followed as often as the items
-    last; the plan is an incumbent, and ends the search if it meets the lower bound ceil(total / capacity). Else the
-    search goes back to the choices with a second filling and follows those, leaving a branch whose waste exceeds
-    that of the incumbent.
+    Branch and bound: the least wasteful fillings around the largest items left make a plan, as do those after 1, 2, 4,
+    ... sequences by best fit; the best is the incumbent, and ends the search if it meets the lower bound. Else a filling
+    is followed as often as the items last, then one time less, and then the next one, leaving a branch whose waste
+    exceeds that of the incumbent. Fillings around equal items follow in the order of their enumeration. The search is
+    exhaustive unless it ends at ``NODES`` fillings.
     """
-    total = sum(s * n for s, n in histogram.items())
-    least = -(-total // capacity)
-    best: list[tuple[int, tuple[int, ...]]] | None = None
-    most = None
-    start = {s: n for s, n in histogram.items() if n}
-    stack = [([], start, 0)]
-    done = 0
-    while stack and done < PLANS:
-        made, count, waste = stack.pop()
-        count = dict(count)
-        sizes = sorted(count, reverse=True)
-        allowed = None if most is None else (most - 1) * capacity - total
-        while sizes:
-            if allowed is not None and waste > allowed:
+    total, least = sum(s * n for s, n in histogram.items()), lower_bound(histogram, capacity)
+    best, most, greedy = [], total + 1, 0
+    while most > least and greedy < min(most, 4096):
+        made = descend(histogram, capacity, greedy)
+        if sum(n for n, _ in made) < most:
+            best, most = made, sum(n for n, _ in made)
+        greedy = max(1, 2 * greedy)
+    if most <= least:
+        return best
+    left = Sums(histogram, capacity)
+    path: list[tuple[int, int, Items, Items, int]] = []  # index of the largest size, waste, others, all items, times
+    waste = nodes = 0
+    while nodes + left.seen < NODES:
+        top = path[-1][0] if path else 0
+        first = next((i for i in range(top, len(left.sizes)) if left.count[i]), None)
+        if first is None:
+            best, most = [(n, left.pattern(items)) for *_, items, n in path], sum(p[4] for p in path)
+            if most <= least:
                 break
-            s = sizes[0]
-            count[s] -= 1
-            best_waste, chosen = best_fit(capacity - s, sizes, count)
-            options = [(best_waste, chosen)]
-            if best_waste:
-                few = len(sizes) <= FEW_SIZES
-                better = fillings(capacity - s, sizes, count, best_waste - 1, 2) if few else paired(capacity - s, sizes, count, best_waste - 1)
-                options = better + options if better else options
-            count[s] += 1
-            if len(options) > 1 and len(stack) < PLANS:
-                stack.append(([*made, (1, (s, *options[1][1]))], {k: v for k, n in count.items() if (v := n - ((s, *options[1][1]).count(k)))}, waste + options[1][0]))
-            pattern = (s, *options[0][1])
-            used = {k: pattern.count(k) for k in set(pattern)}
-            times = min(count[k] // n for k, n in used.items())
-            made = [*made, (times, pattern)]
-            waste += times * options[0][0]
-            for k, n in used.items():
-                count[k] -= times * n
-                if not count[k]:
-                    del count[k]
-            sizes = [k for k in sizes if k in count]
-        else:
-            done += 1
-            bins = sum(t for t, _ in made)
-            if most is None or bins < most:
-                best, most = made, bins
-            if most == least:
+        after = path[-1][1:3] if path and path[-1][0] == first else None
+        while True:
+            allowed = (most - 1) * capacity - total - waste
+            found = left.filling(first, allowed, after, NODES - nodes) if first is not None and allowed >= 0 else None
+            if found:
+                items = left.around(first, found[1])
+                times = min(left.count[i] // n for i, n in items)
+                if found[0]:
+                    times = min(times, allowed // found[0])
                 break
-            continue
-        done += 1
-    return best or []
+            if not path:
+                return best
+            first, lost, others, items, times = path.pop()
+            left.change(items, times)
+            waste -= lost * times
+            found, times = (lost, others), times - 1
+            if times:
+                break
+            after = found
+        path.append((first, *found, items, times))
+        left.change(items, -times)
+        waste += found[0] * times
+        nodes += 1
+    return best
 
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:

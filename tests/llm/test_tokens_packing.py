@@ -113,6 +113,23 @@ def test_plans_against_exhaustive_search(seed):
     assert sum(t for t, _ in made) == exhaustive(items, 20)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_planted_optimum_of_many_sizes(seed):
+    """Triples that fill 2048 exactly: only plans without any waste are best."""
+    rng = random.Random(seed)
+    items = []
+    while len(items) < 60:
+        a, b = rng.randint(520, 1000), rng.randint(520, 1000)
+        if 520 <= 2048 - a - b <= 1000:
+            items += [a, b, 2048 - a - b]
+    histogram = Counter(items)
+    assert len(histogram) > 48
+    made = packing.plan(histogram, 2048)
+    assert all(sum(p) <= 2048 for _, p in made)
+    assert Counter(s for t, p in made for s in p for _ in range(t)) == histogram
+    assert sum(t for t, _ in made) == 20
+
+
 def test_pack_ties_repeats_and_empty(spark):
     same = spark.createDataFrame([(1, 0, 7)] * 50 + [(None, 0, 3)] * 50, "doc_id long, piece int, length long").repartition(5)
     rows = packing.pack(same, 10).collect()
