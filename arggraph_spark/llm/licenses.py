@@ -6,7 +6,7 @@ import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Sentences of public licences and of notices that name them, by identifier.
@@ -68,9 +68,10 @@ RULES = [
     ("unlicense-text", "Unlicense", ["unlicense-grant"]),
 ]
 
-#: A sentence may be spread over so many lines or parts.
+#: The SQL finds sentences spread over so many lines or parts; ``scan`` over any number.
 PARTS = 10
 _END = "[.;!?]+([ \\t\\r\\n]|$)"
+_STOP = "[.;:!?]+[ \\t\\r\\n]"
 
 
 def normalised(sentence: str) -> str:
@@ -92,25 +93,23 @@ def telling_words() -> list[str]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list | None = None) -> DataFrame:
     """(id, n_sentences, sentence_ids, rules, licenses) for every row.
 
-    A text's parts end at [.;!?] before white space and at line ends; a part is its letters and digits A-Z, a-z, 0-9 in
-    lower case, joined by spaces. Known sentences are found among runs of up to ``PARTS`` non-empty parts; sentence_ids
-    are theirs in order, and a rule matches if its identifiers follow one another there. Lists are joined by commas,
-    rules in the order of the table. Null and empty texts have none; repeated rows give repeated results.
+    A text's parts end at [.;:!?] before white space and at line ends; a part is its letters and digits A-Z, a-z, 0-9 in
+    lower case, joined by spaces. Known sentences are found wherever they start and end with a part, over any number of
+    parts; sentence_ids are theirs in order, of those that start together the shortest, and a rule matches if its
+    identifiers follow one another there. Lists are joined by commas, rules in the order of the table. Null and empty
+    texts have none; repeated rows give repeated results.
     """
     rules = RULES if rules is None else rules
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normalised(s), k)))
-    parts = F.split(F.regexp_replace(F.col(text_col), _END, "\n"), "\n")
-    parts = F.filter(F.transform(parts, lambda p: F.lower(F.trim(F.regexp_replace(p, "[^A-Za-z0-9]+", " ")))), lambda p: p != "")
+    # Words with a space between them, or a bar where a part ends.
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.col(text_col), F.lit("\n")), _STOP, "\n")
+    words = F.lower(F.regexp_replace(F.regexp_replace(lines, "[^A-Za-z0-9\n]+", " "), " ?\n[ \n]*", "|"))
     low = docs.select(id_col, text_col, F.lower(text_col).alias("_low"))
     telling = reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in telling_words()))
-    rows = low.select(id_col, F.when(telling, parts).alias("_p"))
-    longest = max(len(normalised(s)) for s in SENTENCES.values())
-
-    def at(p: Column, i: Column) -> Column:
-        runs = [F.array_join(F.slice(F.col("_p"), i + 1, F.lit(j)), " ") for j in range(1, PARTS + 1)]
-        return F.coalesce(*(F.when(F.length(r) <= longest, F.element_at(known, r)) for r in runs))
-
-    ids = F.filter(F.transform("_p", at), lambda x: x.isNotNull())
+    rows = low.select(id_col, F.when(telling, words).alias("_w"))
+    sentences = "|".join(n.replace(" ", "[ |]") for n in sorted({normalised(s) for s in SENTENCES.values()}, key=len))
+    found = F.regexp_extract_all("_w", F.lit(f"[|](?=({sentences})[|])"), F.lit(1))
+    ids = F.transform(found, lambda f: F.element_at(known, F.translate(f, "|", " ")))
     rows = rows.select(id_col, F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
     line = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
     found = [F.when(F.contains(line, F.lit("," + ",".join(seq) + ",")), F.struct(F.lit(name).alias("rule"), F.lit(key).alias("license"))) for name, key, seq in rules]

@@ -133,3 +133,17 @@ def test_every_sentence_is_found_and_every_rule_matches(spark, documents):
     assert [r.sentence_ids for r in rows[: len(by_id)]] == list(by_id)
     for r, (name, key, _) in zip(rows[len(by_id) :], licenses.RULES, strict=True):
         assert name in r.rules.split(",") and key in r.licenses.split(",")
+
+
+def test_licences_of_any_layout(spark, documents):
+    import textwrap
+
+    mit = " ".join(MIT.replace("#", "").split()[3:])
+    by_id = licenses.SENTENCES
+    bsd = f"{by_id['bsd-grant']} 1. {by_id['bsd-source']}. 2. {by_id['bsd-binary']}. 3. {by_id['bsd-endorse']}. THIS SOFTWARE"
+    texts = [mit, bsd, *(textwrap.fill(x, w, initial_indent="// ", subsequent_indent="// ", break_long_words=False) for w in (44, 30, 9) for x in (mit, bsd))]
+    rows = [r for r in sorted(licenses.scan(documents(texts)).collect())]
+    for r in rows[::2]:
+        assert (r.sentence_ids, r.rules) == ("mit-grant,mit-condition,mit-as-is", "mit-text")
+    for r in rows[1::2]:
+        assert (r.sentence_ids, r.rules) == ("bsd-grant,bsd-source,bsd-binary,bsd-endorse", "bsd-2-text,bsd-3-text")
