@@ -117,8 +117,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     lower-cased. component_id is the least id that links reach, the row's own included; kept says whether it is the
     row's own; first whether the row is the one of least id and text of its component. Null and empty texts and those
     without words have an empty set and are linked with nothing. Repeated rows are linked with each other. Null ids
-    are never a component_id unless the component has no other. An empty table gives an empty one.
+    are never a component_id unless the component has no other. An empty table gives an empty one. ``percent`` must be
+    80 to 100, as the bands miss pairs of less similarity.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must be 80 to 100")
     rows = materialize(signatures(docs, size, id_col, text_col))
     sets = rows.filter("n_shingles > 0").groupBy("f", "g").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_tx").alias("tx"))).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(sets.withColumn("node", F.monotonically_increasing_id()))

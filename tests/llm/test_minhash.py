@@ -101,3 +101,8 @@ def test_query_over_the_small_table(spark):
     want = brute(texts, 4)
     got = {r.doc_id: tuple(r) for r in queries.op5_minhash_near_dedup(spark, sf).collect()}
     assert got == {i: (i, n, c, c == i) for i, (n, c) in want.items()}
+
+
+def test_similarities_that_the_bands_miss_are_refused(documents):
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(documents(["a b c"]), percent=79)
