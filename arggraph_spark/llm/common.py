@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +31,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder named by spark.checkpoint.dir. Only a local master may do without: it gets a folder of its own."""
     sc = spark.sparkContext
     got = sc._jsc.sc().getCheckpointDir()
     if not got.isDefined():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arggraph-"))
         got = sc._jsc.sc().getCheckpointDir()
     return got.get()
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` with underscores put before each until it clashes with no column (names are compared without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -114,21 +133,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-# 64-bit hashing of sequences, vectorised over a slice.
-
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(kind: str, n: int) -> np.ndarray:
-    got = _POWERS.get(kind)
-    if got is None or len(got) < n:
-        m = 1 << max(16, int(n - 1).bit_length())
-        p = np.full(m, _BASE if kind == "up" else _INV, np.uint64)
-        p[0] = 1
-        got = _POWERS[kind] = np.cumprod(p, dtype=np.uint64)
-    return got[:n]
+# Hashes. Those that decide a result are 128 bits of BLAKE2; 64-bit mixes only route, band and sort.
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -140,47 +145,79 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values * base**position (modulo 2**64), from 0."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers("up", len(values)), out=out[1:])
-    return out
-
-
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Position-free hashes of the spans [start, end) of the sequence whose ``prefix`` is ``pre``."""
-    h = (pre[end] - pre[start]) * _powers("down", len(pre))[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-#: A fixed random value for each byte.
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-
-#: Bytes that separate words: the space and \x09 to \x0D.
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-
+def window_hash(values: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """A hash of each ``length`` neighbouring values: halves are mixed like a tree, so no sum over places can cancel out."""
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    left, right = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+    part, span, out, done = mix(values ^ mix(np.array([seed], np.uint64) + left)), 1, None, 0
+    while True:
+        if length & span:
+            here = part[done : done + n]
+            out = here if out is None else mix(out * left + here)
+            done += span
+        if span * 2 > length:
+            return out
+        part = mix(part[:-span] * right + part[span:])
+        span *= 2
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digests (n x 2, int64) of the rows [start, end) of ``data``."""
+    view = memoryview(np.ascontiguousarray(data)).cast("B") if data.size else memoryview(b"")
+    width = data.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    hashed = [blake2b(view[s:e], digest_size=16).digest() for s, e in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)]
+    return np.frombuffer(b"".join(hashed), np.int64).reshape(-1, 2)
+
+
+class WordHashes(dict):
+    """Words by number, each with 128 bits of BLAKE2; emptied by ``rows`` when it holds ``most`` words."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most, self.held, self.table = most, [], np.zeros((0, 2), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.held.append(blake2b(word, digest_size=16).digest())
+        n = self[word] = len(self)
+        return n
+
+    def rows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes (words x 2) of texts given as words, and the number of words before each text."""
+        if len(self) > self.most:
+            self.clear()
+            self.held, self.table = [], np.zeros((0, 2), np.uint64)
+        at = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(at[-1]))
+        if self.held:
+            self.table = np.concatenate([self.table, np.frombuffer(b"".join(self.held), np.uint64).reshape(-1, 2)])
+            self.held = []
+        return self.table[codes], at
+
+
+def words_of(col: pa.Array, lower: bool = False) -> list[list[bytes]]:
+    """Each text's words ``[^\\x20\\x09-\\x0D]+`` (bytes.split cuts at just these), A-Z lower-cased on demand; null has none."""
+    return [(t.lower() if lower else t).split() if t else [] for t in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
+
+
+def frugal(run):
+    """Wraps a function of record batches: what a task of it held goes back to the system when it ends."""
+
+    @wraps(run)
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each text the number of its first word (and the total)."""
-    word = ~SPACE[data]
-    if not len(data):
-        e = np.zeros(0, np.int64)
-        return e, e, np.zeros(len(offs), np.int64)
-    inner = offs[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    before = np.empty(len(data), bool)
-    before[0] = False
-    before[1:] = word[:-1]
-    before[inner] = False
-    after = np.empty(len(data), bool)
-    after[-1] = False
-    after[:-1] = word[1:]
-    after[inner - 1] = False
-    starts = np.flatnonzero(word & ~before)
-    ends = np.flatnonzero(word & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offs)
+    return wrapped
 
 
-def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+def release() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

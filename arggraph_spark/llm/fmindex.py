@@ -7,9 +7,11 @@ of the shorter match. The length of a match, capped at the threshold, is the mat
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 
-from .common import mix, prefix, span_hash
+from .common import window_hash
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -84,10 +86,9 @@ class FMIndex:
 
     def shorter(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix, by rank, the interval of those that share its first ``length`` symbols."""
-        pre = prefix(mix(self.codes.astype(np.uint64) + np.uint64(1)))
         n = len(self.order)
         whole = self.order + length <= n
-        h = span_hash(pre, self.order, np.minimum(self.order + length, n))
+        h = np.append(window_hash(self.codes.astype(np.uint64), length, secrets.randbits(64)), np.zeros(min(length - 1, n), np.uint64))[self.order]
         new = np.ones(n + 1, bool)
         new[1:-1] = (h[1:] != h[:-1]) | ~whole[1:] | ~whole[:-1]
         edges = np.flatnonzero(new)

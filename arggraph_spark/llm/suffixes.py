@@ -7,9 +7,11 @@ class are merged, so that there are logarithmically many and each suffix is move
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 
-from .common import BYTE_VALUES, prefix, span_hash
+from .common import window_hash
 
 #: Bytes of a batch.
 BATCH_BYTES = 1 << 18
@@ -24,7 +26,7 @@ class Family:
         self.window = window
         self.n = len(data)
         self.keys = np.ndarray((max(len(data) - 7, 0),), ">u8", np.ascontiguousarray(data), strides=(1,))
-        self.pre = prefix(BYTE_VALUES[data])
+        self.whole = window_hash(data.astype(np.uint64), window, secrets.randbits(64))  # keyed anew for each family
         self.depths = [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]
         self.levels: list[tuple[int, np.ndarray]] = []  # (size class, suffixes in order)
 
@@ -32,7 +34,7 @@ class Family:
         return self.keys[at].astype(np.uint64)
 
     def same(self, at: np.ndarray) -> np.ndarray:
-        return span_hash(self.pre, at, at + self.window)
+        return self.whole[at]
 
     def array(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix array of a batch and, for each of its places, whether the suffix equals a neighbour's over the window."""

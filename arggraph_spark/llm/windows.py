@@ -6,7 +6,8 @@ occurrences of a window have one anchor. Neighbouring windows of a text with one
 as one piece of text. Anchors that occur once can't hold a repeated window. Runs that are equal as a whole are counted
 where they are read and stand for each other, so copies of whole texts cost one run. What is left - different runs
 under one anchor - is settled by an index over the runs of a shard, which the caller brings as ``kernel``. Anchors with
-very many different runs would load one shard; their windows are spread by their own hashes and counted, exactly.
+very many different runs would load one shard; their windows are spread by their own digests and counted. Runs and
+windows that stand for each other are equal in 128 bits of BLAKE2 over their whole content; shorter hashes only route.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, materialize, mix, prefix, slices, span_hash
+from .common import WordHashes, buffers, digests, frugal, materialize, slices, window_hash, words_of
 
 #: Different runs of one anchor beyond which its windows are spread by their own hashes.
 HOT_RUNS = 2048
 #: Symbols of one index.
 SHARD_SYMBOLS = 1 << 20
+#: Symbols of a long text that are handled at once.
+SPLIT_BYTES = 1 << 20
 
-#: text bytes and offsets -> symbols (uint64 hashes, or bytes as uint64) and offsets in symbols
-Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: A column of texts -> symbols (bytes, or rows of 128-bit hashes of words) and the offsets of the texts among them.
+Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 #: (symbols of the runs, offsets, window) -> for each run's window, in order, whether it occurs in another place
 Kernel = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -50,20 +53,27 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
+def octets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return buffers(col)
+
+
+def words(known: WordHashes) -> Symbols:
+    return lambda col: known.rows(words_of(col))
+
+
+def first_lane(symbols: np.ndarray) -> np.ndarray:
+    return symbols[:, 0].copy() if symbols.ndim > 1 else symbols.astype(np.uint64)
+
+
 def runs(symbols: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first window's start within the text, windows, anchor hash, content hash) of every run."""
+    """(text, first window's start within the text, windows, anchor hash, content digest (n x 2)) of every run."""
     none = np.zeros(0, np.int64)
-    if len(symbols) < window:
-        return none, none, none, none, none
-    pre = prefix(symbols)
-    grams = len(symbols) - gram + 1
-    # Hashes of grams, by position; the inverse powers make them position-free.
-    h = span_hash(pre, np.arange(grams), np.arange(gram, grams + gram))
-    at = leftmost_least((h >> np.uint64(32)).astype(np.uint32), window - gram + 1)
     n = np.maximum(np.diff(offs) - window + 1, 0)  # windows of each text
+    if not n.sum():
+        return none, none, none, none, none.reshape(0, 2)
+    h = window_hash(first_lane(symbols), gram)
+    at = leftmost_least((h >> np.uint64(32)).astype(np.uint32), window - gram + 1)
     text = np.repeat(np.arange(len(n)), n)
-    if not len(text):
-        return none, none, none, none, none
     first = np.cumsum(n) - n
     start = np.arange(len(text)) + np.repeat(offs[:-1] - first, n)
     anchor = at[start]
@@ -73,8 +83,23 @@ def runs(symbols: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple
     lead = np.flatnonzero(new)
     count = np.diff(np.append(lead, len(text)))
     s = start[lead]
-    whole = span_hash(pre, s, s + count + window - 1) ^ mix((anchor[lead] - s).astype(np.uint64))
-    return text[lead], s - offs[text[lead]], count, h[anchor[lead]].view(np.int64), whole.view(np.int64)
+    return text[lead], s - offs[text[lead]], count, h[anchor[lead]].view(np.int64), digests(symbols, s, s + count + window - 1)
+
+
+def parts_of(b: pa.RecordBatch, symbols: Symbols, window: int, size: int = SPLIT_BYTES) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """The rows with their symbols and offsets; a text of more than ``size`` bytes in parts that share window - 1 symbols.
+
+    Yields (rows, symbols before the part in its text, symbols, offsets). The parts of a text hold every window once.
+    A run that a cut divides becomes two, with one anchor; both are settled by content, so results don't depend on it.
+    """
+    if b.num_rows > 1 or b.column("_text")[0].as_py() is None or len(b.column("_text")[0].as_buffer()) <= size:
+        yield (b, 0, *symbols(b.column("_text")))
+        return
+    values, offs = symbols(b.column("_text"))
+    step = max(size, 2 * window)
+    for at in range(0, max(int(offs[-1]) - window + 1, 1), step):
+        part = values[at : at + step + window - 1]
+        yield b, at, part, np.array([0, len(part)])
 
 
 def _taken(values: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +135,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.xxhash64(text_col).alias("_tx"), F.col(text_col).alias("_text"))
 
 
-def repeated_windows(docs: DataFrame, symbols: Symbols, kernel: Kernel, window: int, gram: int, width: int, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
+def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Kernel, window: int, gram: int, width: int, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = HOT_RUNS, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """(_id, _tx, spans): for each text that has repeated windows the ranges [s0, e0, s1, e1, ...] of their starts.
 
     ``width``: bytes of a symbol in which runs are sent to their shard (1 or 8). Materialized; keys as in ``keyed``.
@@ -118,68 +143,74 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, kernel: Kernel, window:
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
 
+    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text", 1 << 18):
-            data, offs = buffers(b.column("_text"))
-            text, s, n, a, h = runs(*symbols(data, offs), window, gram)
-            if len(text):
-                t = pa.array(text, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("_id").take(t), b.column("_tx").take(t), pa.array(a, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())], ["_id", "_tx", "a", "h", "s", "n"])
-
-    found = materialize(rows.mapInArrow(find, "_id string, _tx long, a long, h long, s int, n int"))
+        cut_up = symbols()
+        for rows_ in slices(batches, "_text", 1 << 18):
+            for b, before, values, offs in parts_of(rows_, cut_up, window):
+                text, s, n, a, h = runs(values, offs, window, gram)
+                if len(text):
+                    t = pa.array(text, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column("_id").take(t), b.column("_tx").take(t), pa.array(a, pa.int64()), *(pa.array(h[:, k].copy(), pa.int64()) for k in (0, 1)), pa.array(s + before, pa.int32()), pa.array(n, pa.int32())], ["_id", "_tx", "a", "h", "k", "s", "n"])
+
+    found = materialize(rows.mapInArrow(find, "_id string, _tx long, a long, h long, k long, s int, n int"))
     again = materialize(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
-    some = found.join(_met(again), "a", "left_semi")
-    groups = materialize(some.groupBy("a", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_tx", "s", "n")).alias("at")))
+    # The runs of an anchor are dealt anew by their content, so that the join may split an anchor of very many.
+    some = found.join(_met(again), "a", "left_semi").repartition("h", "k")
+    groups = materialize(some.groupBy("a", "h", "k").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_tx", "s", "n")).alias("at")))
     kinds = materialize(groups.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"))
-    several = groups.join(_met(kinds), "a").select("a", "h", F.col("d") > hot_runs, "at.*").toDF("a", "h", "hot", "_id", "_tx", "s", "n")
-    by_text = materialize(several.groupBy("_id", "_tx").agg(F.collect_list(F.struct("a", "h", "hot", "s", "n")).alias("runs")))
-    n_symbols = several.agg(F.sum(F.col("n") + window - 1)).first()[0]
+    several = groups.join(_met(kinds), "a").select("a", "h", "k", F.col("d") > hot_runs, "at.*").toDF("a", "h", "k", "hot", "_id", "_tx", "s", "n")
+    by_text = materialize(several.groupBy("_id", "_tx").agg(F.collect_list(F.struct("a", "h", "k", "hot", "s", "n")).alias("runs")))
+    n_symbols = by_text.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda x, r: x + r["n"] + window - 1))).first()[0]
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_up = symbols()
         for b in slices(batches, "_text", 1 << 18):
-            data, offs = buffers(b.column("_text"))
-            values, starts = symbols(data, offs)
+            values, starts = cut_up(b.column("_text"))
+            values = first_lane(values) if width > 1 else values
             held = b.column("runs")
             text = np.repeat(np.arange(len(held)), np.diff(np.asarray(held.offsets)))
             r = held.flatten()
             s = np.asarray(r.field("s")).astype(np.int64) + starts[text]
             n = np.asarray(r.field("n")).astype(np.int64) + window - 1
-            kind = np.uint8 if width == 1 else np.uint64
             for i in range(0, len(s), 2048):
                 part, at = _taken(values, s[i : i + 2048], n[i : i + 2048])
-                content = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(part.astype(kind)))])
-                yield pa.RecordBatch.from_arrays([*(r.field(k)[i : i + 2048] for k in ("a", "h", "hot")), content], ["a", "h", "hot", "content"])
+                content = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(part))])
+                yield pa.RecordBatch.from_arrays([*(r.field(k)[i : i + 2048] for k in ("a", "h", "k", "hot")), content], ["a", "h", "k", "hot", "content"])
 
-    texts = rows.join(_met(by_text), ["_id", "_tx"]).mapInArrow(cut, "a long, h long, hot boolean, content binary")
+    texts = rows.join(_met(by_text), ["_id", "_tx"]).mapInArrow(cut, "a long, h long, k long, hot boolean, content binary")
     shards = max(spark.sparkContext.defaultParallelism, -(-(n_symbols or 0) // (4 * shard_symbols)))
 
     def flat(content: list) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(c) for c in content], np.int64) // width
-        return np.frombuffer(b"".join(content), np.uint8 if width == 1 else np.uint64).astype(np.uint64), np.append(0, np.cumsum(size))
+        return np.frombuffer(b"".join(content), np.uint8 if width == 1 else np.uint64), np.append(0, np.cumsum(size))
 
+    @frugal
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def settle() -> pa.RecordBatch:
-            values, offs = flat([x[2] for x in held])
+            values, offs = flat([x[3] for x in held])
             n = np.diff(offs) - window + 1
             flags = kernel(values, offs, window)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), _ranges(flags, np.append(0, np.cumsum(n)))], ["a", "h", "spans"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in held], pa.int64()) for k in range(3)), _ranges(flags, np.append(0, np.cumsum(n)))], ["a", "h", "k", "spans"])
 
         for b in batches:
-            for x in zip(*(b.column(k).to_pylist() for k in ("a", "h", "content")), strict=True):
+            for x in zip(*(b.column(k).to_pylist() for k in ("a", "h", "k", "content")), strict=True):
                 if size >= shard_symbols and x[0] != held[-1][0]:
                     yield settle()
                     held, size = [], 0
                 held.append(x)
-                size += len(x[2]) // width
+                size += len(x[3]) // width
         if held:
             yield settle()
 
     parted = materialize(texts)
-    settled = parted.filter("not hot").select("a", "h", "content").repartition(shards, "a").sortWithinPartitions("a").mapInArrow(index, "a long, h long, spans array<int>")
+    settled = parted.filter("not hot").select("a", "h", "k", "content").repartition(shards, "a").sortWithinPartitions("a").mapInArrow(index, "a long, h long, k long, spans array<int>")
 
+    @frugal
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -189,28 +220,29 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, kernel: Kernel, window:
                 text = np.repeat(np.arange(len(n)), n)
                 nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
                 s = nth + offs[:-1][text]
-                two = [span_hash(prefix(v), s, s + window).view(np.int64) for v in (values, mix(values + np.uint64(77)))]
+                two = digests(values, s, s + window)
                 t = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column("a").take(t), part.column("h").take(t), pa.array(nth, pa.int32()), *map(pa.array, two)], ["a", "h", "nth", "w", "v"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(t) for c in ("a", "h", "k")), pa.array(nth, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["a", "h", "k", "nth", "w", "v"])
 
-    hot = parted.filter("hot").select("a", "h", "content").mapInArrow(spread, "a long, h long, nth int, w long, v long")
+    hot = parted.filter("hot").select("a", "h", "k", "content").mapInArrow(spread, "a long, h long, k long, nth int, w long, v long")
     if kinds.filter(F.col("d") > hot_runs).limit(1).count():
         hot = materialize(hot)
         twice = materialize(hot.groupBy("w", "v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", "v"))
-        nths = hot.join(_met(twice), ["w", "v"], "left_semi").groupBy("a", "h").agg(F.flatten(F.collect_list(F.array(F.col("nth"), F.col("nth") + 1))).alias("spans"))
+        nths = hot.join(_met(twice), ["w", "v"], "left_semi").groupBy("a", "h", "k").agg(F.flatten(F.collect_list(F.array(F.col("nth"), F.col("nth") + 1))).alias("spans"))
         settled = settled.unionByName(nths)
-    same = groups.filter("c > 1").select("a", "h", F.array(F.lit(0), F.col("at.n")).alias("spans"))
+    same = groups.filter("c > 1").select("a", "h", "k", F.array(F.lit(0), F.col("at.n")).alias("spans"))
     # A run that is repeated as a whole needs no more than that.
-    partly = settled.filter(F.size("spans") > 0).join(same.select("a", "h").hint("merge"), ["a", "h"], "left_anti")
+    partly = settled.filter(F.size("spans") > 0).join(same.select("a", "h", "k").hint("merge"), ["a", "h", "k"], "left_anti")
     spans = materialize(same.unionByName(partly))
-    back = found.join(_met(spans), ["a", "h"]).select("_id", "_tx", F.transform("spans", lambda x: x + F.col("s")).alias("spans"))
+    back = found.join(_met(spans), ["a", "h", "k"]).select("_id", "_tx", F.transform("spans", lambda x: x + F.col("s")).alias("spans"))
     return materialize(back.groupBy("_id", "_tx").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``columns`` of every row with _text and the spans of its repeated windows (null if it has none)."""
-    rows = docs.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.xxhash64(text_col).alias("_tx"), F.col(text_col).alias("_text"))
-    return rows.join(_met(spans), ["_id", "_tx"], "left").select(*(F.col(f"`{c}`") for c in columns), "_text", "spans")
+    """``columns`` of every row, as c0, c1, ..., with _text and the spans of its repeated windows (null if it has none)."""
+    names = [f"c{i}" for i in range(len(columns))]  # the caller's names could clash with those used here
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), F.xxhash64(text_col).alias("_tx"), F.col(text_col).alias("_text"))
+    return rows.join(_met(spans), ["_id", "_tx"], "left").select(*names, "_text", "spans")
 
 
 def covered(spans: pa.Array, offs: np.ndarray, window: int) -> np.ndarray:

@@ -64,14 +64,48 @@ def test_against_all_pairs(spark, documents, odd_texts, seed, size):
 
 
 def test_many_in_one_bucket_not_alike(spark, documents, monkeypatch):
-    # With one band of one bin, buckets hold texts that aren't alike; stars alone would lose links.
-    n = minhash.BANDS
-    monkeypatch.setattr(minhash, "bands", lambda sets: np.zeros((len(sets), n), np.uint64))
+    # All texts share every bucket of the first bands, which aren't alike; one star alone would lose links.
+    real = minhash.bands
+    monkeypatch.setattr(minhash, "bands", lambda sets, count=minhash.BANDS, *more: real(sets, count, *more) if more else np.zeros((len(sets), count), np.uint64))
     texts = variants(7, 40)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(texts), 4).collect()}
     assert got == brute(dict(enumerate(texts)), 4)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_whose_polynomial_hashes_agree(documents):
+    # Sums over places modulo 2**64 can't tell these two words apart, whatever the base.
+    rows = minhash.near_duplicates(documents([thue_morse(1024), thue_morse(1024, "b", "a"), thue_morse(1024)], ids=[1, 2, 3]), 4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 2), (3, 1)]
+    w = [f"w{i}" for i in range(60)]
+    texts = [" ".join([thue_morse(1024, *x), *w[:3]]) for x in ("ab", "ba")]
+    assert all(r.kept for r in minhash.near_duplicates(documents(texts), 4).collect())
+
+
+def test_a_large_group_of_near_copies_and_its_neighbours(documents):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(texts), 4).collect()}
+    want = brute(dict(enumerate(texts)), 4)
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_columns_with_the_names_used_inside(spark, documents):
+    t = " ".join(f"w{i}" for i in range(30))
+    docs = documents([t, t + " x", None]).selectExpr("*", "'mine' as _id", "1 as _tx", "true as _first", "2 as _n", "3 as w")
+    kept = minhash.keep_documents(docs, 4).collect()
+    assert [(r.doc_id, r._id, r._tx, r._first, r._n, r.w) for r in sorted(kept, key=lambda r: r.doc_id)] == [(0, "mine", 1, True, 2, 3), (2, "mine", 1, True, 2, 3)]
+
+
 def test_densified_bins_estimate_similarity():
     rng = np.random.default_rng(3)
     for n in (5, 40, 1000):

@@ -115,3 +115,39 @@ def test_queries_over_the_small_table(spark):
     for i, w, g in zip(texts, raw, brute(raw, 200), strict=True):
         want[i] = (i, len(w), int(g.sum()), len(edges(g)) // 2, hashlib.sha256(np.frombuffer(w, np.uint8)[~g].tobytes()).hexdigest())
     assert {r.doc_id: tuple(r) for r in queries.op9_suffix_array_dedup(spark, sf).collect()} == want
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_contents_whose_polynomial_hashes_agree(documents):
+    # Sums over places modulo 2**64 can't tell these apart, whatever the base: as words, as runs of words and as bytes.
+    w = [f"w{i}" for i in range(8)]
+    texts = [" ".join([*w, thue_morse(1024, *x)]) for x in ("ab", "ba")]
+    assert [r.n_removed for r in remove_repeated_words(documents(texts), 9, gram=3).collect()] == [0, 0]
+    texts = [" ".join(thue_morse(1024, *x)) for x in ("ab", "ba")]
+    got = {r.doc_id: r for r in remove_repeated_words(documents(texts), 9, gram=3).collect()}
+    for i, g in enumerate(brute([t.split() for t in texts], 9)):
+        assert got[i].removed == edges(g)
+    texts = [thue_morse(2048, *x) for x in ("ab", "ba")]
+    for hot_runs in (2048, 1):
+        got = {r.doc_id: r for r in remove_repeated_bytes(documents(texts), 700, gram=24, hot_runs=hot_runs).collect()}
+        for i, g in enumerate(brute([t.encode() for t in texts], 700)):
+            assert got[i].removed == edges(g)
+
+
+def test_long_texts_are_taken_in_parts(documents):
+    rng = random.Random(8)
+    long_ = " ".join(str(rng.randrange(10**9)) for _ in range(400_000))  # about 4 MB
+    passage = long_[1_048_400:1_048_900]
+    got = {r.doc_id: r for r in remove_repeated_bytes(documents([long_, "before " + passage + " after", "x" * 3_000_000]), 200).collect()}
+    at = long_.index(passage)
+    assert got[0].removed[0] in range(at - 9, at + 1) and got[0].n_removed in range(500, 520) and len(got[0].removed) == 2
+    assert got[2].n_removed == 3_000_000
+
+
+def test_any_names_of_columns(documents):
+    docs = documents([None, "a b c " * 30]).selectExpr("*", "'i' as _id", "'t' as _tx", "'x' as _text", "'s' as spans")
+    got = remove_repeated_bytes(docs, 20, columns=["doc_id", "_id", "_tx", "_text", "spans"], gram=8).collect()
+    assert sorted((r.doc_id, r._id, r._tx, r._text, r.spans, r.n_removed) for r in got) == [(0, "i", "t", "x", "s", 0), (1, "i", "t", "x", "s", 180)]
