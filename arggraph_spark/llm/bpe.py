@@ -1,19 +1,19 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words with higher-order functions.
 
-A text is cut into words by the tokenizer's pattern; what a word becomes doesn't depend on its surroundings. The words
-that recur are counted, encoded once each by the fold below, and handed to the tasks as a dictionary of bounded size;
-the words beyond it are folded by the same rule where they are met. Decoding concatenates the bytes of the ids.
+A text is cut into words by the tokenizer's pattern; what a word becomes doesn't depend on its surroundings. Texts are
+taken in blocks, each with a dictionary of its own words, and become numbers in it. The words of all dictionaries are
+grouped, each distinct word is encoded once by the fold below, and its ids go back to the blocks that have it, where
+they take the place of the numbers. So neither driver nor any task holds the words of the corpus, and no text moves.
+Decoding concatenates the binary pieces of the ids, in the plan.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 import re
 import zlib
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -22,16 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import frugal, materialize, slices
+from .tokens import Numbers
 
-#: Words of the dictionary at most, and the bytes of each of them at most.
-DICTIONARY_WORDS, WORD_BYTES = 1 << 18, 48
-#: A word counts as one that recurs if the part of the texts that one task reads has it so many times.
-RECURS = 4
-#: Chunks whose encoding a task holds at once.
-CACHE_CHUNKS = 300_000
+#: Bytes of text in a block.
+BLOCK_BYTES = 32 << 20
+#: Longer words are folded with a heap outside the plan: the fold over an array takes time by the square of its length.
+FOLD_BYTES = 1024
+#: Words put together at once.
+STEP = 1 << 19
 #: Buckets of the literal rank map: a map literal is searched from end to end, so each is kept small.
-BUCKETS = 8192
+BUCKETS = 16384
 
 #: A token never holds a space that stands after a visible character, other than at its start.
 _SAFE = re.compile(r"(?<=\S) ")
@@ -54,48 +55,69 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))
 
 
-def encode_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
-    """``words`` with ids array<int>: each word's token ids, in DataFrame functions alone.
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    Pieces are held as hex with the rank of each neighbouring pair; each step of the fold merges the leftmost pair of
-    lowest rank and looks up the two pairs that this makes. A null or empty word gets no ids.
-    """
-    table = rank_map(ranks)
-
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), piece), F.lit(_NONE))
-
-    def merge(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
-        best = F.array_min(r)
-        at = F.array_position(r, best).cast("int")  # from 1
-        joined = F.concat(F.get(p, at - 1), F.get(p, at))
-        pieces = F.concat(F.slice(p, 1, at - 1), F.array(joined), F.slice(p, at + 2, F.greatest(F.size(p) - at - 1, F.lit(0))))
-        left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), joined)))).otherwise(F.array().cast("array<int>"))
-        right = F.when(at + 1 < F.size(p), F.array(rank(F.concat(joined, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-        pairs = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.greatest(F.size(r) - at - 1, F.lit(0))))
-        return F.when(best < _NONE, F.struct(pieces.alias("p"), pairs.alias("r"))).otherwise(state)
-
-    code = F.hex(F.coalesce(F.col(word_col), F.lit("")).cast("binary"))
-    n = (F.length(code) / 2).cast("int")
-    out = words.withColumn("_hex", code).withColumn("_p", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("_hex"), i * 2 + 1, F.lit(2)))).otherwise(F.array().cast("array<string>")))
-    pair = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: rank(F.concat(F.get("_p", i - 1), F.get("_p", i))))
-    out = out.withColumn("_r", F.when(F.size("_p") > 1, pair).otherwise(F.array().cast("array<int>")))
-    steps = F.when(F.size("_p") > 1, F.sequence(F.lit(1), F.size("_p") - 1)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(steps, F.struct(F.col("_p").alias("p"), F.col("_r").alias("r")), merge, lambda s: s["p"])
-    # A word that is a token is that token, whatever the merges would give.
-    whole = rank(F.col("_hex"))
-    ids = F.when(F.size("_p") == 0, F.array().cast("array<int>")).when(whole < _NONE, F.array(whole)).otherwise(F.transform(folded, rank))
-    return out.withColumn("ids", ids).drop("_hex", "_p", "_r")
 
+def word_ids(word: Column, ranks: dict[bytes, int]) -> Column:
+    """A word's token ids. Pieces are held as hex with the rank of each neighbouring pair; each step of the fold merges
+    the leftmost pair of lowest rank and looks up the two pairs that this makes. A null or empty word gets no ids; a
+    word that is a token is that token, whatever the merges would give."""
+    none = F.array().cast("array<int>")
 
-def decode_ids(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """``rows`` with bytes binary: the pieces of the ids, one after another."""
+    def with_table(table: Column) -> Column:
+        def rank(piece: Column) -> Column:
+            return F.coalesce(F.element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), piece), F.lit(_NONE))
+
+        def merge(state: Column, _: Column) -> Column:
+            p, r = state["p"], state["r"]
+
+            def at_pair(at: Column) -> Column:  # from 1; 0 if no pair is left to merge
+                def with_joined(joined: Column) -> Column:
+                    left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), joined)))).otherwise(none)
+                    right = F.when(at < F.size(r), F.array(rank(F.concat(joined, F.get(p, at + 1))))).otherwise(none)
+                    pieces = F.concat(F.slice(p, 1, at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
+                    pairs = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
+                    return F.struct(pieces.alias("p"), pairs.alias("r"))
+
+                return F.when(at > 0, let(F.concat(F.get(p, at - 1), F.get(p, at)), with_joined)).otherwise(state)
+
+            lowest = let(F.array_min(r), lambda least: F.when(least < _NONE, F.array_position(r, least)).otherwise(F.lit(0).cast("long")))
+            return let(lowest.cast("int"), at_pair)
+
+        def of_pieces(p: Column) -> Column:
+            pair = F.transform(F.slice(p, 2, F.size(p)), lambda x, i: rank(F.concat(F.get(p, i), x)))
+            folded = F.aggregate(F.slice(p, 2, F.size(p)), F.struct(p.alias("p"), pair.alias("r")), merge, lambda s: s["p"])
+            return F.transform(folded, rank)
+
+        def of_hex(code: Column) -> Column:
+            pieces = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda i: F.substring(code, i * 2 + 1, F.lit(2)))
+            folded = let(rank(code), lambda whole: F.when(whole < _NONE, F.array(whole)).otherwise(let(pieces, of_pieces)))
+            return F.when(F.length(code) == 0, none).otherwise(folded)
+
+        return let(F.hex(F.coalesce(word, F.lit("")).cast("binary")), of_hex)
+
+    return let(rank_map(ranks), with_table)
+
+
+def encode_words(words: DataFrame, ranks: dict[bytes, int], word_col: str = "word") -> DataFrame:
+    """``words`` with ids array<int>: each word's token ids, in DataFrame functions alone."""
+    return words.withColumn("ids", word_ids(F.col(word_col), ranks))
+
+
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The binary pieces of the ids, one after another."""
     pieces = [""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex().upper()
     table = F.from_json(F.lit(json.dumps(pieces)), T.ArrayType(T.StringType()))
-    return rows.withColumn("bytes", F.unhex(F.array_join(F.transform(F.col(ids_col), lambda i: F.get(table, i)), "")))
+    return let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+
+
+def decode_ids(rows: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
+    """``rows`` with bytes binary: what the ids decode to."""
+    return rows.withColumn("bytes", decoded(F.col(ids_col), ranks))
 
 
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -141,64 +163,6 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Folder:
-    """Ranked merges of many words at once: each round merges the leftmost pair of lowest rank in every word that has one."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = [(ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
-        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.keys, self.made = table[:, 0].copy(), table[:, 1].copy()
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], _NONE)
-
-    def fold(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        for i, w in enumerate(words):
-            if len(w) > 64 or w in self.ranks:
-                out[i] = fold(w, self.ranks)
-        left = np.array([i for i, w in enumerate(words) if not out[i] and w], np.int64)
-        if not len(left):
-            return out
-        n = np.array([len(words[i]) for i in left.tolist()], np.int64)
-        ids = self.bytes[np.frombuffer(b"".join([words[i] for i in left.tolist()]), np.uint8)]
-        of = np.repeat(np.arange(len(left)), n)
-        last = np.append(of[1:] != of[:-1], True)
-        r = np.where(last, _NONE, self.rank(ids, np.append(ids[1:], 0)))
-        while len(ids):
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            least = np.minimum.reduceat(r, first)
-            size = np.diff(np.append(first, len(ids)))
-            done = least == _NONE
-            if done.any():
-                ended = np.repeat(done, size)
-                flat, cut = ids[ended].tolist(), np.append(0, np.cumsum(size[done])).tolist()
-                for k, i in enumerate(left[of[first[done]]].tolist()):
-                    out[i] = flat[cut[k] : cut[k + 1]]
-                go = ~ended
-                ids, of, r, least, size = ids[go], of[go], r[go], least[~done], size[~done]
-                if not len(ids):
-                    break
-            hit = np.flatnonzero(r == np.repeat(least, size))
-            hit = hit[np.append(True, of[hit[1:]] != of[hit[:-1]])]  # the leftmost of each word
-            ids[hit] = least
-            # The pair's second half goes; what it began now begins at the merged piece.
-            stay = np.ones(len(ids), bool)
-            stay[hit + 1] = False
-            ids, of, r = ids[stay], of[stay], r[stay]
-            hit -= np.arange(len(hit))
-            after = np.append(of[1:] == of[:-1], False)
-            follows = after[hit]
-            r[hit] = np.where(follows, self.rank(ids[hit], ids[np.minimum(hit + 1, len(ids) - 1)]), _NONE)
-            before = hit[(hit > 0) & after[np.maximum(hit - 1, 0)]] - 1
-            r[before] = self.rank(ids[before], ids[before + 1])
-        return out
-
-
 #: A chunk that the pattern cuts into one run of letters and one of other marks.
 _SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
@@ -215,97 +179,147 @@ def chunks_of(text: str) -> list[str]:
     return [cut[0], *(" " + c for c in cut[1:])] if len(cut) > 1 else cut
 
 
-def recurring_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """(word, n): words that recur in one task's share of the texts, with their count over those tasks.
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers in as few bytes as each needs, seven bits a byte, the highest first and the last byte below 128; compressed."""
+    size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14) + (codes >= 1 << 21) + (codes >= 1 << 28)
+    last = np.cumsum(size) - 1
+    out = np.zeros(int(last[-1]) + 1 if len(last) else 0, np.uint8)
+    for k in range(5):
+        some = size > k
+        out[last[some] - k] = codes[some] >> 7 * k & 127 | (128 if k else 0)
+    return len(out).to_bytes(8, "little") + pa.compress(out.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    last = np.flatnonzero(out < 128)
+    size = np.diff(last, prepend=-1)
+    codes = out[last].astype(np.int64)
+    for k in range(1, int(size.max(initial=0))):
+        some = size > k
+        codes[some] |= (out[last[some] - k].astype(np.int64) & 127) << 7 * k
+    return codes
+
+
+def taken(flat: np.ndarray, offs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``flat`` that the codes name, one after another, and their offsets."""
+    n = offs[codes + 1] - offs[codes]
+    ends = np.append(0, np.cumsum(n))
+    return flat[np.repeat(offs[codes] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+class Block:
+    """Texts as numbers of the block's own words."""
+
+    def __init__(self, find, simple: bool):
+        self.find, self.simple = find, simple
+        self.chunks, self.words = Numbers(), Numbers()  # in both, 0 is the empty string
+        self.flat, self.lengths = [], [0]
+        self.codes: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.keys: list[pa.Array] = []
+        self.bytes = 0
+
+    def add(self, keys: pa.Array, texts: list) -> None:
+        split = [chunks_of(t) if t else [] for t in texts]
+        self.codes.append(np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(split)), np.int32))
+        self.sizes.append(np.array([len(s) for s in split], np.int64))
+        self.keys.append(keys)
+        self.bytes += sum(len(t) for t in texts if t)
+        new, self.chunks.new = self.chunks.new, []
+        for c in new:
+            found = words_of(c, self.find) if self.simple else self.find(c)
+            self.lengths.append(len(found))
+            self.flat.extend(map(self.words.__getitem__, found))
+
+    def row(self, block: int) -> pa.RecordBatch:
+        offs = np.append(0, np.cumsum(self.lengths))
+        codes, ends = taken(np.array(self.flat, np.int64), offs, np.concatenate(self.codes))
+        n = np.diff(ends[np.append(0, np.cumsum(np.concatenate(self.sizes)))])
+        # The commonest words get the least numbers.
+        order = np.argsort(-np.bincount(codes, minlength=len(self.words))[1:], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        words = list(self.words)[1:]
+        keys = pa.concat_arrays(self.keys)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (keys, pa.array(n, pa.int64()), pa.array([words[i] for i in order.tolist()], pa.string()))]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), lists[0], lists[1], pa.array([packed(place[codes - 1])], pa.binary()), lists[2]], ["block", "keys", "n", "codes", "words"])
+
+
+def blocks_of(docs: DataFrame, pattern: str, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(block, keys, n, codes, words): for each block of texts their ids, their numbers of words, the words' numbers and the words."""
+    from public_tokenizers import PATTERN as public_pattern  # the one for which words_of and chunks_of have shortcuts
 
-    Only the dictionary depends on it: a word that it misses is encoded where it is met.
-    """
+    simple = pattern == public_pattern
 
     def run(batches):
         import regex
+        from pyspark import TaskContext
 
-        find = regex.compile(pattern).findall
-        seen: Counter[str] = Counter()
-        words: Counter[str] = Counter()
-        for b in slices(batches, text_col, 1 << 20):
-            for t in b.column(text_col).to_pylist():
-                if t:
-                    cut = t.split(" ")
-                    seen[cut[0]] += 1
-                    seen.update(map(" ".__add__, cut[1:]))
-            if len(seen) > CACHE_CHUNKS * 2:
-                seen = Counter({c: n for c, n in seen.items() if n >= RECURS})
-        for c, n in seen.items():
-            if n >= RECURS:
-                for w in find(c):
-                    words[w] += n
-        got = [(w, n) for w, n in words.items() if len(w.encode()) <= WORD_BYTES]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["word", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", most: int = DICTIONARY_WORDS) -> dict[str, list[int]]:
-    """The encodings of at most ``most`` recurring words, the commonest; this bounds what is sent to the tasks."""
-    from .common import materialize
-
-    words = materialize(recurring_words(docs, pattern, text_col))
-    total, least = 0, 1
-    for n, k in words.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
-        total += k
-        if total > most:
-            least = n + 1
-            break
-    coded = encode_words(words.filter(F.col("n") >= least).select("word").repartition(12), ranks)
-    return dict(materialize(coded.select("word", "ids")).collect())  # at most ``most`` rows
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY_WORDS, with_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every whole text.
+        find, part, nth, block = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0, None
+        for b in slices(batches, "_text", 1 << 20):
+            block = block or Block(find, simple)
+            block.add(b.column("_key"), b.column("_text").to_pylist())
+            if block.bytes >= size:
+                yield block.row(part << 32 | nth)
+                nth, block = nth + 1, None
+        if block:
+            yield block.row(part << 32 | nth)
+
+    key = T.ArrayType(docs.schema[id_col].dataType)
+    fields = [T.StructField("block", T.LongType()), T.StructField("keys", key), T.StructField("n", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]
+    return materialize(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).mapInArrow(frugal(run), T.StructType(fields)))
 
-    Each match of ``pattern`` is encoded on its own; special tokens aren't known. Null and empty texts have no tokens.
-    ``with_ids`` adds the ids and the bytes they decode to. Other columns aren't read; repeated rows give repeated
-    results.
-    """
-    from public_tokenizers import PATTERN as public_pattern  # the one for which words_of and chunks_of have shortcuts
 
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, dictionary(docs, ranks, pattern, text_col, most)))
+def dictionaries(blocks: DataFrame, ranks: dict[bytes, int], fold_bytes: int = FOLD_BYTES) -> DataFrame:
+    """(block, nth, ids): the token ids of each word of each block; each distinct word is encoded once.
+
+    The blocks of 1024 tasks are grouped together, which bounds the list of those that share a word.
+    """
+    at = blocks.select("block", F.posexplode("words").alias("nth", "word"))
+    words = at.groupBy("word", F.shiftright("block", 42).alias("part")).agg(F.collect_list(F.struct("block", "nth")).alias("at"))
+    spread = ["block", "nth", "ids"]
+    folded = encode_words(words.filter(F.octet_length("word") <= fold_bytes), ranks)
+    shared = blocks.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
 
     def run(batches):
-        import regex
+        for b in batches:
+            ids = [fold(w.encode(), shared.value) for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(ids, pa.list_(pa.int32()))], ["at", "ids"])
+
+    kind = words.schema["at"].dataType
+    long_ = words.filter(F.octet_length("word") > fold_bytes).select("word", "at").mapInArrow(run, T.StructType([T.StructField("at", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return folded.select("at", "ids").unionByName(long_).select(F.explode("at").alias("at"), "ids").select("at.block", "at.nth", "ids").select(*spread)
 
-        simple = pattern == public_pattern
-        find = regex.compile(pattern).findall
-        rank, common = shared.value
-        folder = Folder(rank)
-        pieces = {i: p for p, i in rank.items()}
-        known: dict[str, tuple[int, str, bytes, list[int]]] = {}  # of a chunk: ids, as text, as bytes
-        for b in slices(batches, text_col, 1 << 20):
-            if len(known) > CACHE_CHUNKS:
-                known.clear()
-            split = [chunks_of(t) if t else [] for t in b.column(text_col).to_pylist()]
-            new = {c: words_of(c, find) if simple else find(c) for c in set(chain.from_iterable(split)) if c not in known}
-            rare = list({w for ws in new.values() for w in ws if w not in common})
-            coded = dict(zip(rare, folder.fold([w.encode() for w in rare]), strict=True))
-            for c, ws in new.items():
-                ids = [i for w in ws for i in common.get(w) or coded[w]]
-                known[c] = (len(ids), " ".join(map(str, ids)), b"".join([pieces[i] for i in ids]), ids if with_ids else [])
-            cols = {k: [] for k in ("n", "ids_sha", "sha", "ids", "bytes")}
-            for s in split:
-                rows = [r for r in map(known.__getitem__, s) if r[0]]
-                back = b"".join([r[2] for r in rows])
-                cols["n"].append(sum([r[0] for r in rows]))
-                cols["ids_sha"].append(hashlib.sha256(" ".join([r[1] for r in rows]).encode()).hexdigest())
-                cols["sha"].append(hashlib.sha256(back).hexdigest())
-                if with_ids:
-                    cols["ids"].append([i for r in rows for i in r[3]])
-                    cols["bytes"].append(back)
-            arrays = [b.column(id_col), pa.array(cols["n"], pa.int64()), pa.array(cols["ids_sha"], pa.string()), pa.array(cols["sha"], pa.string())]
-            arrays += [pa.array(cols["ids"], pa.list_(pa.int32())), pa.array(cols["bytes"], pa.binary())] if with_ids else []
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    fields = [docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())] if with_ids else []
-    names = [f.name for f in fields]
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fold_bytes: int = FOLD_BYTES) -> DataFrame:
+    """(id, ids) of every whole text.
+
+    Each match of ``pattern`` is encoded on its own; special tokens aren't known. Null and empty texts have no tokens.
+    Other columns aren't read, so their names can't clash; repeated rows give repeated results; an empty table gives an
+    empty one. A text is whole in one block, however long, and takes about ten times its size there.
+    """
+    blocks = blocks_of(docs, pattern, id_col, text_col, block_bytes)
+    key = docs.schema[id_col].dataType
+
+    def assemble(block: pa.Table, dictionary: pa.Table) -> pa.Table:
+        out = []
+        lists = dictionary.column("ids").combine_chunks() if dictionary.num_rows else pa.array([], pa.list_(pa.int32()))
+        nth = dictionary.column("nth").to_numpy()
+        if len(nth):
+            lists = lists.take(pa.array(np.argsort(nth)))
+        flat, offs = np.asarray(lists.flatten()).astype(np.int32), np.append(0, np.cumsum(np.asarray(pa.compute.list_value_length(lists))))
+        for keys, n, codes in zip(*(block.column(c) for c in ("keys", "n", "codes")), strict=True):
+            codes, ends = unpacked(codes.as_py()), np.append(0, np.cumsum(np.asarray(n.values)))
+            s = 0
+            while s < len(ends) - 1:
+                e = max(s + 1, int(np.searchsorted(ends, ends[s] + STEP, side="right")) - 1)
+                ids, at = taken(flat, offs, codes[ends[s] : ends[e]])
+                rows = pa.ListArray.from_arrays(pa.array(at[ends[s : e + 1] - ends[s]], pa.int32()), pa.array(ids, pa.int32()))
+                out.append(pa.RecordBatch.from_arrays([keys.values.slice(s, e - s), rows], ["key", "ids"]))
+                s = e
+        return pa.Table.from_batches(out)
+
+    schema = T.StructType([T.StructField("key", key), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    coded = dictionaries(blocks, ranks, fold_bytes)
+    return blocks.select("block", "keys", "n", "codes").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema).select(F.col("key").alias(id_col), "ids")

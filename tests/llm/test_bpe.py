@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -29,14 +30,28 @@ def expected(library, text):
     return (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
-@pytest.mark.parametrize("most", [0, 1 << 18])
-def test_against_the_library(spark, documents, odd_texts, ranks, library, most):
-    texts = [*odd_texts, *WHITE, *(["the same words again and again "] * 8)]
-    got = {r[0]: r for r in bpe.encode(documents(texts, extra=True), ranks, PATTERN, most=most, with_ids=True).collect()}
+@pytest.mark.parametrize("block, fold", [(32 << 20, 1024), (40, 1024), (2000, 8)])
+def test_against_the_library(spark, documents, odd_texts, ranks, library, block, fold):
+    texts = [*odd_texts, *WHITE, *(["the same words again and again "] * 8), "y" * 3000 + " z" * 300]
+    coded = bpe.encode(documents(texts, extra=True), ranks, PATTERN, block_bytes=block, fold_bytes=fold)
+    got = {r.doc_id: r for r in bpe.decode_ids(coded, ranks).collect()}
+    assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        assert tuple(got[i][1:4]) == expected(library, t), t
-        assert got[i].decoded == (t or "").encode()
-        assert got[i].ids == library.encode_ordinary(t or "")
+        assert got[i].ids == library.encode_ordinary(t or ""), t
+        assert bytes(got[i].bytes) == (t or "").encode()
+
+
+def test_ids_may_be_null_repeated_or_text(documents, ranks, library):
+    docs = documents(["a b", "a b", "c"], ids=[1, 1, None]).selectExpr("cast(doc_id as string) as doc_id", "text", "1 as _key", "2 as _text", "3 as block")
+    got = bpe.encode(docs, ranks, PATTERN).collect()
+    assert sorted((r.doc_id or "", r.ids) for r in got) == [("", library.encode_ordinary("c")), *[("1", library.encode_ordinary("a b"))] * 2]
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        codes = (2 ** rng.uniform(0, 31, n)).astype(np.int64) - 1
+        assert (bpe.unpacked(bpe.packed(codes)) == codes).all()
 
 
 def test_native_fold_and_decoding(spark, ranks, library):
@@ -59,13 +74,6 @@ def test_fold_against_the_library(ranks, library, n):
         assert bpe.fold(word.encode(), ranks) == library.encode_ordinary(word)
 
 
-def test_folding_many_at_once(ranks):
-    rng = random.Random(9)
-    words = ["".join(rng.choice("aeinrst éßñ") for _ in range(rng.randrange(1, 70))).encode() for _ in range(400)]
-    words += [b"", b"a", b"aaaaaaaa", b"the", bytes(range(256)), b"\xff\xfe" * 9]
-    assert bpe.Folder(ranks).fold(words) == [bpe.fold(w, ranks) if w else [] for w in words]
-
-
 def test_query_over_the_small_table(spark, library):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
