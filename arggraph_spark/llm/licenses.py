@@ -37,15 +37,49 @@ SENTENCES = {
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0",
     "cc0-notice": "Licensed under CC0 1.0",
     "unlicense-grant": "This is free and unencumbered software released into the public domain",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "lgpl2.1-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-grant": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "agpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "psf-parties": 'This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using this software ("Python") in source or binary form and its associated documentation',
+    "cc0-deed": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "cc-by-deed": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-deed": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-deed": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nd-deed": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-sa-deed": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
     "spdx-mit": "SPDX-License-Identifier: MIT",
     "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
     "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-gpl3-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx-gpl2": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx-gpl2-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-lgpl2.1": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-lgpl3": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "spdx-agpl3": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "spdx-mpl2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-epl2": "SPDX-License-Identifier: EPL-2.0",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
     "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-zlib": "SPDX-License-Identifier: Zlib",
+    "spdx-cc0": "SPDX-License-Identifier: CC0-1.0",
 }
 
 #: Rule name, licence, and the identifiers that must follow one another among a text's known sentences.
 RULES = [
     ("apache-2.0-notice", "Apache-2.0", ["apache-notice"]),
+    ("apache-2.0-notice-the", "Apache-2.0", ["apache-notice-the"]),
     ("apache-2.0-header", "Apache-2.0", ["apache-notice-the", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"]),
     ("apache-2.0-spdx", "Apache-2.0", ["spdx-apache"]),
     ("mit-notice", "MIT", ["mit-notice"]),
@@ -66,10 +100,34 @@ RULES = [
     ("cc-by-sa-notice", "CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("cc0-notice", "CC0-1.0", ["cc0-notice"]),
     ("unlicense-text", "Unlicense", ["unlicense-grant"]),
+    ("gpl-3-spdx-only", "GPL-3.0", ["spdx-gpl3-only"]),
+    ("gpl-2-spdx", "GPL-2.0", ["spdx-gpl2"]),
+    ("gpl-2-spdx-only", "GPL-2.0", ["spdx-gpl2-only"]),
+    ("lgpl-2.1-header", "LGPL-2.1", ["lgpl2.1-grant", "lgpl-hope"]),
+    ("lgpl-2.1-spdx", "LGPL-2.1", ["spdx-lgpl2.1"]),
+    ("lgpl-3-header", "LGPL-3.0", ["lgpl3-grant", "lgpl-hope"]),
+    ("lgpl-3-spdx", "LGPL-3.0", ["spdx-lgpl3"]),
+    ("agpl-3-header", "AGPL-3.0", ["agpl3-grant", "gpl-hope"]),
+    ("agpl-3-spdx", "AGPL-3.0", ["spdx-agpl3"]),
+    ("mpl-2-header", "MPL-2.0", ["mpl2-notice", "mpl2-copy"]),
+    ("mpl-2-spdx", "MPL-2.0", ["spdx-mpl2"]),
+    ("epl-2-notice", "EPL-2.0", ["epl2-notice"]),
+    ("epl-2-spdx", "EPL-2.0", ["spdx-epl2"]),
+    ("bsd-2-spdx", "BSD-2-Clause", ["spdx-bsd2"]),
+    ("isc-spdx", "ISC", ["spdx-isc"]),
+    ("zlib-text", "Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
+    ("zlib-spdx", "Zlib", ["spdx-zlib"]),
+    ("bsl-1.0-text", "BSL-1.0", ["bsl-grant"]),
+    ("psf-2.0-text", "PSF-2.0", ["psf-parties"]),
+    ("cc0-deed", "CC0-1.0", ["cc0-deed"]),
+    ("cc0-spdx", "CC0-1.0", ["spdx-cc0"]),
+    ("cc-by-deed", "CC-BY-4.0", ["cc-by-deed"]),
+    ("cc-by-sa-deed", "CC-BY-SA-4.0", ["cc-by-sa-deed"]),
+    ("cc-by-nc-deed", "CC-BY-NC-4.0", ["cc-by-nc-deed"]),
+    ("cc-by-nd-deed", "CC-BY-ND-4.0", ["cc-by-nd-deed"]),
+    ("cc-by-nc-sa-deed", "CC-BY-NC-SA-4.0", ["cc-by-nc-sa-deed"]),
 ]
 
-#: The SQL finds sentences spread over so many lines or parts; ``scan`` over any number.
-PARTS = 10
 _END = "[.;!?]+([ \\t\\r\\n]|$)"
 _STOP = "[.;:!?]+[ \\t\\r\\n]"
 
@@ -90,32 +148,47 @@ def telling_words() -> list[str]:
     return chosen
 
 
+def patterns() -> str:
+    """A regular expression of all known sentences, the longest first; between words is a space, or a bar where a part ends."""
+    return "|".join(n.replace(" ", "[ |]") for n in sorted({normalised(s) for s in SENTENCES.values()}, key=lambda n: (-len(n), n)))
+
+
+def longer(seq: list[str], rules: list) -> list[list[str]]:
+    """The rules' sequences of which ``seq`` is a part, the longest first."""
+    k = len(seq)
+    return sorted((s for _, _, s in rules if len(s) > k and any(s[i : i + k] == seq for i in range(len(s) - k + 1))), key=len, reverse=True)
+
+
+def marked(seq: list[str]) -> str:
+    return "".join(f"<{i}>" for i in seq)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list | None = None) -> DataFrame:
     """(id, n_sentences, sentence_ids, rules, licenses) for every row.
 
     A text's parts end at [.;:!?] before white space and at line ends; a part is its letters and digits A-Z, a-z, 0-9 in
     lower case, joined by spaces. Known sentences are found wherever they start and end with a part, over any number of
-    parts; sentence_ids are theirs in order, of those that start together the shortest, and a rule matches if its
-    identifiers follow one another there. Lists are joined by commas, rules in the order of the table. Null and empty
-    texts have none; repeated rows give repeated results.
+    parts; sentence_ids are theirs in order, of those that start together the longest, and a rule matches if its
+    identifiers follow one another there, other than inside a longer rule's. Lists are joined by commas, rules in the
+    order of the table. Null and empty texts have none; repeated rows give repeated results; an empty table gives an
+    empty one; other columns aren't read, so their names can't clash. A text takes few times its size, however long.
     """
     rules = RULES if rules is None else rules
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normalised(s), k)))
     # Words with a space between them, or a bar where a part ends.
-    lines = F.regexp_replace(F.concat(F.lit("\n"), F.col(text_col), F.lit("\n")), _STOP, "\n")
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.col("_text"), F.lit("\n")), _STOP, "\n")
     words = F.lower(F.regexp_replace(F.regexp_replace(lines, "[^A-Za-z0-9\n]+", " "), " ?\n[ \n]*", "|"))
-    low = docs.select(id_col, text_col, F.lower(text_col).alias("_low"))
+    low = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
     telling = reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in telling_words()))
-    rows = low.select(id_col, F.when(telling, words).alias("_w"))
-    sentences = "|".join(n.replace(" ", "[ |]") for n in sorted({normalised(s) for s in SENTENCES.values()}, key=len))
-    found = F.regexp_extract_all("_w", F.lit(f"[|](?=({sentences})[|])"), F.lit(1))
+    rows = low.select("_key", F.when(telling, words).alias("_w"))
+    found = F.regexp_extract_all("_w", F.lit(f"[|](?=({patterns()})[|])"), F.lit(1))
     ids = F.transform(found, lambda f: F.element_at(known, F.translate(f, "|", " ")))
-    rows = rows.select(id_col, F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
-    line = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
-    found = [F.when(F.contains(line, F.lit("," + ",".join(seq) + ",")), F.struct(F.lit(name).alias("rule"), F.lit(key).alias("license"))) for name, key, seq in rules]
-    rows = rows.withColumn("_found", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    rows = rows.select("_key", F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
+    rows = rows.withColumn("_line", F.when(F.size("_ids") > 0, F.concat(F.lit("<"), F.array_join("_ids", "><"), F.lit(">"))).otherwise(""))
+    matches = [F.when(F.contains(reduce(lambda c, s: F.replace(c, F.lit(marked(s)), F.lit("<>")), longer(seq, rules), F.col("_line")), F.lit(marked(seq))), F.struct(F.lit(name).alias("rule"), F.lit(key).alias("license"))) for name, key, seq in rules]
+    rows = rows.withColumn("_found", F.when(F.col("_line") != "", F.filter(F.array(*matches), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<rule:string,license:string>>")))
     return rows.select(
-        id_col,
+        F.col("_key").alias(id_col),
         F.size("_ids").cast("long").alias("n_sentences"),
         F.array_join("_ids", ",").alias("sentence_ids"),
         F.array_join(F.col("_found.rule"), ",").alias("rules"),
@@ -124,20 +197,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 
 def oracle_sql() -> str:
+    """The same over all texts: every part that starts like a sentence is compared with all sentences, as far as the longest reaches."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(normalised(s))}, {quote(k)})" for k, s in SENTENCES.items())
-    rules = ", ".join(f"({i}, {quote(n)}, {quote(k)}, {quote(',' + ','.join(seq) + ',')})" for i, (n, k, seq) in enumerate(RULES))
+    names = {normalised(s): k for k, s in SENTENCES.items()}
+    known = ", ".join(f"({quote(n)}, {quote(k)})" for n, k in names.items())
+    first, most = sorted({n.split()[0] for n in names}), max(map(len, names))
+    tests = []
+    for i, (name, key, seq) in enumerate(RULES):
+        line = reduce(lambda c, s: f"replace({c}, {quote(marked(s))}, '<>')", longer(seq, RULES), "line")
+        tests.append(f"select doc_id, {i} as nth, {quote(name)} as rule, {quote(key)} as license from seqs where contains({line}, {quote(marked(seq))})")
     return f"""
 with known(sentence, id) as (values {known}),
-rules(nth, rule, license, seq) as (values {rules}),
-parts as (
-  select doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[.;!?]+([ \\t\\r\\n]|$)', chr(10), 'g'), chr(10)),
-    lambda p: lower(trim(regexp_replace(p, '[^A-Za-z0-9]+', ' ', 'g')))), lambda p: p <> '') as p from documents),
-runs as (select doc_id, i, j, array_to_string(list_slice(p, i, i + j - 1), ' ') as run from parts, unnest(range(1, len(p) + 1)) as a(i), unnest(range(1, {PARTS} + 1)) as b(j)),
-hits as (select doc_id, i, arg_min(id, j) as id from runs join known on run = sentence group by 1, 2),
-seqs as (select doc_id, count(*) as n, string_agg(id, ',' order by i) as ids from hits group by 1),
-matched as (select doc_id, string_agg(rule, ',' order by nth) as rules, array_to_string(list_sort(list(distinct license)), ',') as licenses
-  from seqs join rules on contains(',' || ids || ',', seq) group by 1)
+texts as (select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(chr(10) || text || chr(10), '[.;:!?]+[ \\t\\r\\n]', chr(10), 'g'),
+  '[^A-Za-z0-9\\n]+', ' ', 'g'), ' ?\\n[ \\n]*', '|', 'g')) as w from documents where text is not null),
+split as (select doc_id, w, unnest(string_split(w, '|')) as part, generate_subscripts(string_split(w, '|'), 1) as nth from texts),
+placed as (select doc_id, w, part, sum(length(part) + 1) over (partition by doc_id order by nth rows unbounded preceding) - length(part) as pos from split),
+starts as (select doc_id, pos, substr(w, pos::bigint, {most + 1}) as part from placed where split_part(part, ' ', 1) in ({", ".join(map(quote, first))})),
+hits as (select doc_id, pos, arg_max(id, length(sentence)) as id from starts join known
+  on starts_with(translate(part, '|', ' '), sentence) and substr(part, length(sentence) + 1, 1) = '|' group by 1, 2),
+seqs as (select doc_id, count(*) as n, string_agg(id, ',' order by pos) as ids, string_agg('<' || id || '>', '' order by pos) as line from hits group by 1),
+found as ({" union all ".join(tests)}),
+matched as (select doc_id, string_agg(rule, ',' order by nth) as rules, array_to_string(list_sort(list(distinct license)), ',') as licenses from found group by 1)
 select d.doc_id, coalesce(n, 0) as n_sentences, coalesce(ids, '') as sentence_ids, coalesce(rules, '') as rules, coalesce(licenses, '') as licenses
 from documents d left join seqs using (doc_id) left join matched using (doc_id)
 """
