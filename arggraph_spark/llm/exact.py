@@ -7,35 +7,30 @@ buckets. Texts move between machines only for digests that more than one row has
 
 from __future__ import annotations
 
-import hashlib
+import string
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import fuse
-from .common import join_bounded, materialize, slices
+from .common import free_names, join_bounded, materialize
 
 #: Distinct digests that a bucket, with its filter, is meant for.
 BUCKET_KEYS = 1 << 19
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(id, digest[, norm]) where norm is the text with A-Z lower-cased, null as empty, and digest its SHA-256."""
+def normal(text_col: str):
+    """The text with A-Z lower-cased, null as empty."""
+    return F.translate(F.coalesce(F.col(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
-    def run(batches):
-        for b in slices(batches, text_col, 8 << 20):
-            norm = pc.ascii_lower(pc.fill_null(b.column(text_col), ""))
-            digest = pa.array([hashlib.sha256(x).digest() for x in norm.cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(id_col), digest, *([norm] if with_text else [])], names)
 
-    fields = [docs.schema[id_col], T.StructField("digest", T.BinaryType()), *([T.StructField("norm", T.StringType())] if with_text else [])]
-    names = [f.name for f in fields]
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """(_key, digest[, norm]) where norm is the normal text and digest its SHA-256."""
+    digest = F.unhex(F.sha2(normal(text_col), 256)).alias("digest")
+    return docs.select(F.col(id_col).alias("_key"), digest, *([normal(text_col).alias("norm")] if with_text else []))
 
 
 def _bucket(buckets: int):
@@ -87,10 +82,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id stays (null ids are smallest; of rows equal in id too, exactly one). ``batches``: as how many arrivals, dealt by
     a hash of the id, the table is taken in; the result doesn't depend on it. Groups of copies are counted where they
     are read before they are shuffled, so one group may hold any share of the rows. An empty table gives an empty one.
+    Other columns aren't read, so their names can't clash. A text is whole in one row, however long.
     """
-    arrival = F.pmod(F.xxhash64(id_col), F.lit(batches)).cast("int")
+    arrival = F.pmod(F.xxhash64("_key"), F.lit(batches)).cast("int")
     rows = materialize(digest_rows(docs, id_col, text_col).withColumn("_batch", arrival).withColumn("_uid", F.monotonically_increasing_id()))
-    single = rows.select("digest", "_batch", F.lit(1).cast("long").alias("n"), F.struct(F.col(id_col).alias("id"), F.col("_uid").alias("uid")).alias("keep"))
+    single = rows.select("digest", "_batch", F.lit(1).cast("long").alias("n"), F.struct(F.col("_key").alias("id"), F.col("_uid").alias("uid")).alias("keep"))
     snapshots: list[Snapshot] = []
     matched: list[DataFrame] = []
     parts: list[DataFrame] = []
@@ -110,9 +106,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if differ.limit(1).count():
         raise RuntimeError("different texts have one SHA-256")
     out = join_bounded(rows, classes, ["digest"], "left", 96)
-    keep = F.coalesce(F.col("keep"), F.struct(F.col(id_col).alias("id"), F.col("_uid").alias("uid")))
+    keep = F.coalesce(F.col("keep"), F.struct(F.col("_key").alias("id"), F.col("_uid").alias("uid")))
     return out.select(
-        id_col,
+        F.col("_key").alias(id_col),
         keep["id"].alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (keep["uid"] == F.col("_uid")).alias("kept"),
@@ -121,20 +117,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of rows equal in id and text, one."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id")
-    found = exact_dedup(docs, id_col, text_col).select(key, F.col("text_sha256").alias("_sha"), "kept")
-    odd = materialize(found.groupBy("_id", "_sha").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("not _kept or _n > 1"))
-
-    def run(batches):
-        for b in slices(batches, text_col, 8 << 20):
-            norm = pc.ascii_lower(pc.fill_null(b.column(text_col), ""))
-            sha = pa.array([hashlib.sha256(x).hexdigest() for x in norm.cast(pa.binary()).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, sha], [*b.schema.names, "_sha"])
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sha", T.StringType())])).withColumn("_id", key)
-    marked = join_bounded(marked, odd, ["_id", "_sha"], "left", 128)
-    kept = marked.filter(F.col("_kept").isNull())
-    if odd.filter("_kept").limit(1).count():
-        kept = kept.unionByName(marked.filter("_kept").dropDuplicates(["_id", "_sha"]))
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of rows equal in id and text, one.
+
+    Null and empty texts are equal; an empty table stays empty; no name of a column can clash; texts may be of any length.
+    """
+    id_, sha, keep, n = free_names(docs.columns, "_id", "_sha", "_kept", "_n")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    found = exact_dedup(docs, id_col, text_col).select(key.alias(id_), F.col("text_sha256").alias(sha), "kept")
+    odd = materialize(found.groupBy(id_, sha).agg(F.max("kept").alias(keep), F.count(F.lit(1)).alias(n)).filter(f"not {keep} or {n} > 1"))
+    marked = join_bounded(docs.withColumns({id_: key, sha: F.sha2(normal(text_col), 256)}), odd, [id_, sha], "left", 128)
+    kept = marked.filter(F.col(keep).isNull())
+    if odd.filter(keep).limit(1).count():
+        kept = kept.unionByName(marked.filter(keep).dropDuplicates([id_, sha]))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
