@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, slices
+from .common import buffers, free_names, frugal, slices
 
 #: Trigrams are hashed into so many buckets, the last 2**BITS numbers of a product.
 BITS = 15
 #: The model is fitted on at most about so many labelled rows, drawn by a hash of their id.
 FIT_ROWS = 20_000
-#: More languages than this aren't accepted, which bounds the model's size.
+#: The commonest languages of the labelled rows, so many at most, are learned; this bounds the model's size.
 MOST_LANGUAGES = 256
+#: A document goes if fewer of its words than this share are likelier in some language than as noise (equal chances for all trigrams).
+KNOWN_SHARE = 0.1
 
 #: Letters in lower case; every other ASCII byte separates words.
 _CLASS = np.full(256, 32, np.uint8)
@@ -60,34 +62,46 @@ def _trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
-    """Counts trigrams of labelled rows (lang not null); of more than ``fit_rows`` such rows, of about that many."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, lang_col, text_col)
-    n = rows.count()
+    """Counts trigrams of labelled rows (lang not null); of more than ``fit_rows`` such rows, of about that many.
+
+    Rows without text or language teach nothing; an empty table gives a model without languages. At most
+    ``MOST_LANGUAGES`` languages are learned, the commonest (of equally common ones the first in the alphabet). Long
+    texts are taken whole. Only the three columns are read.
+    """
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_key"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    by = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"))
+    n = by.agg(F.sum("n")).first()[0] or 0
+    languages = sorted(r[0] for r in by.orderBy(F.desc("n"), "_lang").limit(MOST_LANGUAGES).collect())
     if n > fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "_key"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
+    rows = rows.filter(F.col("_lang").isin(languages))
 
+    @frugal
     def run(batches):
         total: dict[str, np.ndarray] = {}
-        for b in slices(batches, text_col):
-            data, offs = buffers(b.column(text_col))
+        for b in slices(batches, "_text"):
+            data, offs = buffers(b.column("_text"))
             bucket, starts, words = _trigrams(data, offs)
             edge = np.append(starts, len(bucket))[words]
-            for i, lang in enumerate(b.column(lang_col).to_pylist()):
+            for i, lang in enumerate(b.column("_lang").to_pylist()):
                 got = total.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 got += np.bincount(bucket[edge[i] : edge[i + 1]], minlength=1 << BITS)
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
+    def dense(t: pa.Table) -> pa.Table:
+        counts = np.full(1 << BITS, 0.5)
+        counts[t["bucket"].to_numpy()] += t["n"].to_numpy()
+        logs = np.log(counts / counts.sum()).astype(np.float32)
+        return pa.table({"lang": t["lang"].slice(0, 1), "logp": pa.array([logs.tobytes()], pa.binary())})
+
     counts = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in rows.select(lang_col).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.full((1 << BITS, len(languages)), 0.5)
-    number = {g: k for k, g in enumerate(languages)}
-    for r in counts.toLocalIterator():  # at most languages x buckets rows
-        table[r[1], number[r[0]]] += r[2]
-    return Model(languages, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32) if languages else np.zeros((1 << BITS, 0), np.float32))
+    learned = dict(counts.groupBy("lang").applyInArrow(dense, "lang string, logp binary").collect())  # a row for each language
+    # A language of which the drawn rows have no word is as good as unknown: all trigrams are equally likely.
+    blank = np.full(1 << BITS, -BITS * np.log(2), np.float32).tobytes()
+    logs = [np.frombuffer(learned.get(g, blank), np.float32) for g in languages]
+    return Model(languages, np.stack(logs, axis=1) if logs else np.zeros((1 << BITS, 0), np.float32))
 
 
 def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,16 +114,20 @@ def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray, all
     return share, np.add.reduceat(np.log((like * share[doc]).sum(axis=1)), first)
 
 
-def mixtures(data: np.ndarray, offs: np.ndarray, model: Model, rounds: int = 8, penalty: float = 1.0) -> np.ndarray:
-    """Proportions of each text's languages (texts x languages, float64); zero rows for texts without words."""
+def mixtures(data: np.ndarray, offs: np.ndarray, model: Model, rounds: int = 8, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each text's languages (texts x languages, float64), and its share of words likelier in some language
+    than as noise; zeros for texts without words."""
     bucket, starts, words = _trigrams(data, offs)
     k = len(model.languages)
     out = np.zeros((len(offs) - 1, k))
     n = np.diff(words)
     some = np.flatnonzero(n)
+    known = np.zeros(len(n))
     if not k or not len(some):
-        return out
+        return out, known
     logs = np.add.reduceat(model.logp[bucket], starts, axis=0)
+    likely = logs.max(axis=1) > -BITS * np.log(2) * np.diff(np.append(starts, len(bucket)))
+    known[some] = np.add.reduceat(likely.astype(np.float64), words[:-1][some]) / n[some]
     # No word is impossible in any language: the floor keeps one odd word from deciding a text.
     like = np.maximum(np.exp(logs - logs.max(axis=1, keepdims=True), dtype=np.float32), 1e-6)
     n, first = n[some], words[:-1][some]
@@ -135,43 +153,52 @@ def mixtures(data: np.ndarray, offs: np.ndarray, model: Model, rounds: int = 8,
         if not len(going):
             break
     out[some] = chosen
-    return out
+    return out, known
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "mixture")) -> DataFrame:
-    """``keep`` columns of every row, with its main language, that language's share (0 to 1) and the mixture as "en:0.75 fr:0.25".
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score", "mixture", "known")) -> DataFrame:
+    """``keep`` columns of every row, with its main language, that language's share (0 to 1), the mixture as "en:0.75 fr:0.25"
+    and the share of words that are likelier in some language than as noise.
 
-    A null text and one without a letter give ``und``, 0 and an empty mixture, as does a model that learned nothing.
-    Of equal shares the language first in the alphabet wins. Repeated rows give repeated results.
+    A null text and one without a letter give ``und``, 0, an empty mixture and 0, as does a model that learned nothing.
+    Of equal shares the language first in the alphabet wins. Repeated rows give repeated results; an empty table gives
+    an empty one. Names of ``keep`` may be any but ``names``. A long text is a batch of its own, and takes about 20
+    bytes and 8 for each language by byte of its words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES x 2**BITS numbers
+    inner = [f"c{i}" for i in range(len(keep))]
 
+    @frugal
     def run(batches):
         m = shared.value
-        for b in slices(batches, text_col, 1 << 20):
-            data, offs = buffers(b.column(text_col))
-            share = mixtures(data, offs, m)
+        for b in slices(batches, "_text", min(1 << 19, (32 << 20) // max(4 * len(m.languages), 1))):
+            data, offs = buffers(b.column("_text"))
+            share, known = mixtures(data, offs, m)
             letter = np.add.reduceat(np.append(((data | 32) - 97 < 26) & (data < 128), 0).astype(np.int64), offs[:-1]) * (np.diff(offs) > 0) > 0
             for i in np.flatnonzero(~letter & (np.diff(offs) > 0)):
-                letter[i] = any(map(str.isalpha, b.column(text_col)[int(i)].as_py()))
-            share[~letter] = 0
+                letter[i] = any(map(str.isalpha, b.column("_text")[int(i)].as_py()))
+            share[~letter], known[~letter] = 0, 0
             top = share.argmax(axis=1) if share.shape[1] else np.zeros(len(share), np.int64)
             best = share.max(axis=1) if share.shape[1] else np.zeros(len(share))
             pred = [m.languages[t] if s > 0 else "und" for t, s in zip(top.tolist(), best.tolist(), strict=True)]
             mixed = [" ".join(f"{m.languages[j]}:{row[j]:.4f}" for j in np.argsort(-row, kind="stable") if row[j] > 0) for row in share]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(np.minimum(best, 1.0), pa.float64()), pa.array(mixed, pa.string())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(np.minimum(best, 1.0), pa.float64()), pa.array(mixed, pa.string()), pa.array(known, pa.float64())], [*keep, *names])
 
-    fields = [docs.schema[c] for c in keep]
-    fields += [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.StringType())]
-    read = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*(F.col(f"`{c}`") for c in read)).mapInArrow(run, T.StructType(fields))
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
+    fields += [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.StringType(), T.DoubleType()), strict=True)]
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), F.col(text_col).alias("_text")).mapInArrow(run, T.StructType(fields))
 
 
 def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4) == 2
 
 
-def keep_languages(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which a language was recognised, with all their columns; the others (``und``) go."""
-    names = ("_lang_pred", "_lang_score", "_lang_mixture")
-    return predict(docs, model, docs.columns, text_col, names).filter(F.col(names[0]) != "und").drop(*names)
+def keep_languages(docs: DataFrame, model: Model, text_col: str = "text", known_share: float = KNOWN_SHARE) -> DataFrame:
+    """The rows of ``docs`` in which a language was recognised, with all their columns.
+
+    Those without a letter go (null and empty texts among them), and those of which less than ``known_share`` of the
+    words are likelier in some learned language than as noise: text in no learned language. Repeated rows fare alike; an
+    empty table stays empty; no name of a column can clash; for long texts see ``predict``.
+    """
+    names = tuple(free_names(docs.columns, "_lang_pred", "_lang_score", "_lang_mixture", "_lang_known"))
+    return predict(docs, model, docs.columns, text_col, names).filter((F.col(names[0]) != "und") & (F.col(names[3]) >= known_share)).drop(*names)

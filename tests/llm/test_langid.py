@@ -44,7 +44,7 @@ def test_mixture_and_odd_texts(spark, documents, odd_texts):
         assert (rows[i].lang_pred == "und") == (not any(c.isalpha() for c in t or "")), t
         assert 0 <= rows[i].score <= 1
     kept = langid.keep_languages(documents(texts, extra=True), model)
-    assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.lang_pred != "und"}
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.lang_pred != "und" and r.known >= langid.KNOWN_SHARE}
     assert kept.columns == documents(texts, extra=True).columns
 
 
@@ -52,9 +52,9 @@ def test_texts_do_not_influence_each_other(spark, documents):
     model = langid.fit(documents([EN, DE], langs=["en", "de"]))
     texts = [EN, "", DE * 2, "x", EN + DE, "a", None, DE + EN * 2]
     data, offs = buffers(pa.array(texts, pa.string()))
-    together = langid.mixtures(data, offs, model)
+    together, _ = langid.mixtures(data, offs, model)
     for i, t in enumerate(texts):
-        assert np.allclose(together[i], langid.mixtures(*buffers(pa.array([t], pa.string())), model)[0], atol=1e-5)
+        assert np.allclose(together[i], langid.mixtures(*buffers(pa.array([t], pa.string())), model)[0][0], atol=1e-5)
 
 
 def test_nothing_learned_and_empty(spark, documents):
@@ -69,3 +69,19 @@ def test_held_out_accuracy(spark):
     rows = [r for r in queries.op3_language_mixture(spark, sf).collect() if r.held_out]
     assert len(rows) > 150
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows]) > 0.97
+
+
+def test_text_in_no_learned_language_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "lang", "'x' as _lang_pred", "1 as _lang_known")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    some = [r.text for r in docs.filter("lang is not null").orderBy("doc_id").limit(20).collect()]
+    odd = [None, "", "123 --- 45", "Это совсем другой язык, его никто не учил", "日本語の文章です。これは学習されていません。", "qxzj wvkq zzxq jjqx vvwq xkcd qqzx"]
+    rows = [(i, t, None, "x", 1) for i, t in enumerate(some + odd + some[:1])]
+    kept = langid.keep_languages(spark.createDataFrame(rows, docs.schema), model).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(20), 26] and kept[0]._lang_pred == "x"
+
+
+def test_only_the_commonest_languages_are_learned(documents, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    model = langid.fit(documents(["one two"] * 3 + ["un deux"] * 2 + ["eins zwei"], langs=["en"] * 3 + ["fr"] * 2 + ["de"]))
+    assert model.languages == ["en", "fr"]
