@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_bounded, materialize
+from .common import BROADCAST_BYTES, free_names, join_bounded, materialize
 
 #: The search for fewer sequences ends after so many fillings; the first plans are always completed.
 NODES = 20_000
@@ -215,34 +215,37 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
     """``pieces`` with sequence_id and offset: sequences of at most ``capacity``, filled without gaps from 0.
 
     Every row is placed, repeated rows each on their own; rows of equal length take places in the order of ``order``
-    within the partition that wrote them. Lengths must be 1 to ``capacity``. An empty table stays empty. Columns
-    named like the results are replaced.
+    within the partition that wrote them. Lengths must be 1 to ``capacity``; texts aren't read. An empty table stays
+    empty. Columns named like the results are replaced; other names can't clash.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.drop("sequence_id", "offset").withColumn("_part", F.spark_partition_id()))
-    counts = materialize(pieces.groupBy("_part", length).agg(F.count(F.lit(1)).alias("_n")))
-    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum("_n")).collect()}  # at most ``capacity`` rows
-    if any(s is None or not 1 <= s <= capacity for s in histogram):
+    pieces = pieces.drop("sequence_id", "offset")
+    part, nth, count, before, rank, s, low, high, times_, base_, offset_ = free_names([*pieces.columns, "sequence_id", "offset"], "_part", "_in", "_n", "_before", "_rank", "_s", "_from", "_to", "_times", "_base", "_offset")
+    columns = pieces.columns
+    pieces = materialize(pieces.withColumn(part, F.spark_partition_id()))
+    counts = materialize(pieces.groupBy(part, length).agg(F.count(F.lit(1)).alias(count)))
+    histogram = {r[0]: r[1] for r in counts.groupBy(length).agg(F.sum(count)).collect()}  # at most ``capacity`` rows
+    if any(x is None or not 1 <= x <= capacity for x in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
     rows, base, taken = [], 0, dict.fromkeys(histogram, 0)
     for times, pattern in plan(histogram, capacity):
         offset = 0
-        for s in sorted(set(pattern), reverse=True):
-            m = pattern.count(s)
-            rows.append((s, taken[s], taken[s] + m * times, times, base, offset))
-            taken[s] += m * times
-            offset += m * s
+        for x in sorted(set(pattern), reverse=True):
+            m = pattern.count(x)
+            rows.append((x, taken[x], taken[x] + m * times, times, base, offset))
+            taken[x] += m * times
+            offset += m * x
         base += times
-    places = spark.createDataFrame(rows, "_s long, _from long, _to long, _times long, _base long, _offset long")
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(length).orderBy("_part")) - F.col("_n")).drop("_n")
-    ranked = pieces.withColumn("_in", F.row_number().over(Window.partitionBy("_part", length).orderBy(*order)) - 1)
-    ranked = join_bounded(ranked, materialize(before), ["_part", length], "inner", 48).withColumn("_rank", F.col("_in") + F.col("_before"))
-    # The plan has at most capacity patterns of at most sqrt(2 * capacity) sizes each, however many rows there are.
-    on = (F.col(length) == F.col("_s")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    at = F.col("_rank") - F.col("_from")
+    places = spark.createDataFrame(rows, ", ".join(f"`{c}` long" for c in (s, low, high, times_, base_, offset_)))
+    # The plan has about capacity patterns of at most sqrt(2 * capacity) sizes each, however many rows there are.
+    places = F.broadcast(places) if len(rows) * 64 <= BROADCAST_BYTES else places.hint("merge")
+    earlier = counts.withColumn(before, F.sum(count).over(Window.partitionBy(length).orderBy(part)) - F.col(count)).drop(count)
+    ranked = pieces.withColumn(nth, F.row_number().over(Window.partitionBy(part, length).orderBy(*order)) - 1)
+    ranked = join_bounded(ranked, materialize(earlier), [part, length], "inner", 64).withColumn(rank, F.col(nth) + F.col(before))
+    at = F.col(rank) - F.col(low)
     return (
-        ranked.join(F.broadcast(places), on)
-        .withColumn("sequence_id", F.col("_base") + at % F.col("_times"))
-        .withColumn("offset", F.col("_offset") + F.floor(at / F.col("_times")) * F.col(length))
-        .select(*(c for c in pieces.columns if c != "_part"), "sequence_id", F.col("offset").cast("long"))
+        ranked.join(places, (F.col(length) == F.col(s)) & (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high)))
+        .withColumn("sequence_id", F.col(base_) + at % F.col(times_))
+        .withColumn("offset", (F.col(offset_) + F.floor(at / F.col(times_)) * F.col(length)).cast("long"))
+        .select(*(F.col(f"`{c}`") for c in columns), "sequence_id", "offset")
     )

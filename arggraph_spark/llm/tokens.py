@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import frugal, slices
 
 #: Chunks whose encoding a task holds at once.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 120_000
 #: Bytes of text handed to the tokenizer library in one call.
 CALL_BYTES = 1 << 18
 
@@ -35,11 +35,11 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
 
 def calls(chunks: list[str], limit: int = CALL_BYTES):
-    """Groups of chunks of about ``limit`` characters each."""
+    """Groups of chunks of about ``limit`` UTF-8 bytes each."""
     group, size = [], 0
     for c in chunks:
         group.append(c)
-        size += len(c) + 8
+        size += len(c if c.isascii() else c.encode()) + 8
         if size >= limit:
             yield group
             group, size = [], 0
@@ -52,10 +52,11 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     Texts are split where no token can cross (a space after another character), the distinct chunks of about 1 MB of
     text are encoded together, in calls of about ``CALL_BYTES``, and only lengths are kept. Null and empty texts give
-    0 bytes and 0 tokens; repeated rows give repeated results; other columns aren't read, so their names can't clash.
-    Executors read the model at the path ``model``.
+    0 bytes and 0 tokens; repeated rows give repeated results; an empty table gives an empty one; other columns aren't
+    read, so their names can't clash. Executors read the model at the path ``model``.
     """
 
+    @frugal
     def run(batches):
         import sentencepiece
 
@@ -64,7 +65,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"a token of this model crosses a space: {piece!r}")
         known: dict[str, int] = {}
-        for b in slices(batches, text_col, 1 << 20):
+        for b in slices(batches, text_col, 1 << 19):
             texts = [t.replace("▁", " ") if t else "" for t in b.column(text_col).to_pylist()]
             split = [t.split(" ") if "  " not in t and t[:1] != " " else _SAFE.split(t) for t in texts]
             if len(known) > CACHE_CHUNKS:
@@ -164,9 +165,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
 
     Only sequences of more than ``capacity`` ids are cut; the last piece may be shorter. ``ids_crc32`` is that of the
     ids as little-endian unsigned 32-bit numbers. A null or empty text is the one id ``end_id``; repeated rows give
-    repeated pieces; other columns aren't read.
+    repeated pieces; an empty table gives an empty one; other columns aren't read, so their names can't clash. A long
+    text is a batch of its own, cut at white space, which no token crosses.
     """
 
+    @frugal
     def run(batches):
         import os
 
@@ -174,7 +177,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
         from tokenizers import Tokenizer
 
         vocab = ChunkIds(Tokenizer.from_file(tokenizer), end_id)
-        for b in slices(batches, text_col, 1 << 20):
+        for b in slices(batches, text_col, 1 << 19):
             split = [blank(t) if t else [] for t in b.column(text_col).to_pylist()]
             if len(vocab.number) > CACHE_CHUNKS:
                 vocab.clear()
