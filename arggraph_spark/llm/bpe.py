@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, materialize, slices
+from .common import mapped, materialize, slices
 from .tokens import Numbers
 
 #: Bytes of text in a block.
@@ -268,7 +268,7 @@ def blocks_of(docs: DataFrame, pattern: str, id_col: str, text_col: str, size: i
 
     key = T.ArrayType(docs.schema[id_col].dataType)
     fields = [T.StructField("block", T.LongType()), T.StructField("keys", key), T.StructField("n", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]
-    return materialize(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).mapInArrow(frugal(run), T.StructType(fields)))
+    return materialize(mapped(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")), run, T.StructType(fields)))
 
 
 def dictionaries(blocks: DataFrame, ranks: dict[bytes, int], fold_bytes: int = FOLD_BYTES) -> DataFrame:
@@ -288,7 +288,7 @@ def dictionaries(blocks: DataFrame, ranks: dict[bytes, int], fold_bytes: int = F
             yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(ids, pa.list_(pa.int32()))], ["at", "ids"])
 
     kind = words.schema["at"].dataType
-    long_ = words.filter(F.octet_length("word") > fold_bytes).select("word", "at").mapInArrow(run, T.StructType([T.StructField("at", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    long_ = mapped(words.filter(F.octet_length("word") > fold_bytes).select("word", "at"), run, T.StructType([T.StructField("at", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return folded.select("at", "ids").unionByName(long_).select(F.explode("at").alias("at"), "ids").select("at.block", "at.nth", "ids").select(*spread)
 
 

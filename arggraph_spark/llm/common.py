@@ -215,6 +215,18 @@ def frugal(run):
     return wrapped
 
 
+#: Rows of an Arrow batch. Rows hold whole texts here, so Spark's default of 10,000 would make batches of 30 MB and more.
+BATCH_ROWS, _BATCH_ROWS_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` of a ``frugal`` function; the session's batches are made smaller if their size is Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_ROWS_KEY) == "10000":
+        conf.set(_BATCH_ROWS_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(frugal(run), schema)
+
+
 def release() -> None:
     gc.collect()
     try:

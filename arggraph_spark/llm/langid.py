@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, free_names, frugal, slices
+from .common import buffers, free_names, mapped, slices
 
 #: Trigrams are hashed into so many buckets, the last 2**BITS numbers of a product.
 BITS = 15
@@ -76,7 +76,6 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "_key"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     rows = rows.filter(F.col("_lang").isin(languages))
 
-    @frugal
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for b in slices(batches, "_text"):
@@ -96,7 +95,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         logs = np.log(counts / counts.sum()).astype(np.float32)
         return pa.table({"lang": t["lang"].slice(0, 1), "logp": pa.array([logs.tobytes()], pa.binary())})
 
-    counts = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = mapped(rows, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     learned = dict(counts.groupBy("lang").applyInArrow(dense, "lang string, logp binary").collect())  # a row for each language
     # A language of which the drawn rows have no word is as good as unknown: all trigrams are equally likely.
     blank = np.full(1 << BITS, -BITS * np.log(2), np.float32).tobytes()
@@ -167,16 +166,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES x 2**BITS numbers
     inner = [f"c{i}" for i in range(len(keep))]
+    text = inner[keep.index(text_col)] if text_col in keep else "text"
 
-    @frugal
     def run(batches):
         m = shared.value
-        for b in slices(batches, "_text", min(1 << 19, (32 << 20) // max(4 * len(m.languages), 1))):
-            data, offs = buffers(b.column("_text"))
+        for b in slices(batches, text, min(1 << 19, (32 << 20) // max(4 * len(m.languages), 1))):
+            data, offs = buffers(b.column(text))
             share, known = mixtures(data, offs, m)
             letter = np.add.reduceat(np.append(((data | 32) - 97 < 26) & (data < 128), 0).astype(np.int64), offs[:-1]) * (np.diff(offs) > 0) > 0
             for i in np.flatnonzero(~letter & (np.diff(offs) > 0)):
-                letter[i] = any(map(str.isalpha, b.column("_text")[int(i)].as_py()))
+                letter[i] = any(map(str.isalpha, b.column(text)[int(i)].as_py()))
             share[~letter], known[~letter] = 0, 0
             top = share.argmax(axis=1) if share.shape[1] else np.zeros(len(share), np.int64)
             best = share.max(axis=1) if share.shape[1] else np.zeros(len(share))
@@ -186,7 +185,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     fields += [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.StringType(), T.DoubleType()), strict=True)]
-    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)), F.col(text_col).alias("_text")).mapInArrow(run, T.StructType(fields))
+    read = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner, strict=True)] + ([] if text_col in keep else [F.col(text_col).alias(text)])
+    return mapped(docs.select(*read), run, T.StructType(fields))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, free_names, frugal, join_bounded, materialize, mix, slices, window_hash, words_of
+from .common import WordHashes, free_names, join_bounded, mapped, materialize, mix, slices, window_hash, words_of
 
 #: Bands and bins of each: a pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8**5)**36, under one in a million.
 BANDS, ROWS = 36, 5
 #: Those under which what stars left apart is bucketed again: a pair at 0.8 shares none with a chance of 0.03, one at 0.65 with 0.88.
 LONG_BANDS, LONG_ROWS = 128, 16
 #: Shingles of confirmed texts that a task keeps.
-KEPT_SHINGLES = 1 << 20
+KEPT_SHINGLES = 1 << 18
 
 
 def shingle_hashes(hashes: np.ndarray, at: np.ndarray, size: int, texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -85,7 +85,6 @@ def bands(sets: list[np.ndarray], count: int = BANDS, rows: int = ROWS, seed: in
 def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(_key, _tx, n_shingles, f, g, bands) of every row; f and g name its set by 128 bits, bands is null if that is empty."""
 
-    @frugal
     def run(batches):
         known = WordHashes()
         for b in slices(batches, "_text", 1 << 19):
@@ -101,7 +100,7 @@ def signatures(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFr
     rows = docs.select(F.col(id_col).alias("_key"), F.xxhash64(text_col).alias("_tx"), F.col(text_col).alias("_text"))
     fields = [T.StructField("_key", docs.schema[id_col].dataType), *(T.StructField(k, T.LongType()) for k in ("_tx", "n_shingles", "f", "g")), T.StructField("bands", T.ArrayType(T.LongType()))]
     names = [f.name for f in fields]
-    return rows.mapInArrow(run, T.StructType(fields))
+    return mapped(rows, run, T.StructType(fields))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -155,7 +154,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
-    return materialize(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long"))
+    return materialize(mapped(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y"), run, "a long, b long"))
 
 
 def stars(members: DataFrame, hub, percent: int) -> DataFrame:
@@ -214,7 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                 got = bands([u[:, 0] for u in shingle_hashes(*known.rows(words), size, words)], LONG_BANDS, LONG_ROWS, seed)
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(list(got.view(np.int64)), pa.list_(pa.int64()))], ["node", "bands"])
 
-        longer = texts.join(left.select("node"), "node", "left_semi").select("node", "_text").mapInArrow(frugal(again), "node long, bands array<long>")
+        longer = mapped(texts.join(left.select("node"), "node", "left_semi").select("node", "_text"), again, "node long, bands array<long>")
         meeting = shared_buckets(longer.select("node", F.explode("bands").alias("band")))
         sizes = left.groupBy("comp").agg(F.count(F.lit(1)).alias("of"))
         meeting = meeting.join(left.join(sizes, "comp"), "node")

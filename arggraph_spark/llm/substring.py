@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import fmindex, suffixes
-from .common import WordHashes, buffers, frugal, slices, words_of
+from .common import WordHashes, buffers, mapped, slices, words_of
 from .windows import HOT_RUNS, SHARD_SYMBOLS, covered, octets, repeated_windows, with_spans, words
 
 
@@ -31,7 +31,6 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, columns: list[str]
     columns = columns or [id_col]
     spans = repeated_windows(docs, lambda: words(WordHashes()), fmindex.repeats, window, gram, 8, id_col, text_col, hot_runs, shard_symbols)
 
-    @frugal
     def run(batches):
         for b in slices(batches, "_text", 1 << 19):
             texts = words_of(b.column("_text"))
@@ -49,7 +48,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 35, columns: list[str]
 
     fields = [*(docs.schema[c] for c in columns), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.IntegerType()))]
     names = [f.name for f in fields]
-    return with_spans(docs, spans, columns, id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return mapped(with_spans(docs, spans, columns, id_col, text_col), run, T.StructType(fields))
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 200, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", gram: int = 24, hot_runs: int = HOT_RUNS, shard_symbols: int = SHARD_SYMBOLS, names: tuple[str, ...] = ("n_bytes", "n_removed", "kept_bytes", "removed"), as_text: bool = False) -> DataFrame:
@@ -64,7 +63,6 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, columns: list[str]
     columns = columns or [id_col]
     spans = repeated_windows(docs, lambda: octets, suffixes.repeats, window, gram, 1, id_col, text_col, hot_runs, shard_symbols)
 
-    @frugal
     def run(batches):
         for b in slices(batches, "_text", 1 << 19):
             data, offs = buffers(b.column("_text"))
@@ -80,4 +78,4 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, columns: list[str]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(out["n"], pa.int64()), pa.array(out["r"], pa.int64()), pa.array(out["bytes"], pa.string() if as_text else pa.binary()), pa.array(out["ranges"], pa.list_(pa.int32()))], [*columns, *names])
 
     fields = [*(docs.schema[c] for c in columns), *(T.StructField(k, t) for k, t in zip(names, (T.LongType(), T.LongType(), T.StringType() if as_text else T.BinaryType(), T.ArrayType(T.IntegerType())), strict=True))]
-    return with_spans(docs, spans, columns, id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return mapped(with_spans(docs, spans, columns, id_col, text_col), run, T.StructType(fields))

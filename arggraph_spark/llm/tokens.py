@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import frugal, slices
+from .common import mapped, slices
 
 #: Chunks whose encoding a task holds at once.
 CACHE_CHUNKS = 120_000
@@ -56,7 +56,6 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     read, so their names can't clash. Executors read the model at the path ``model``.
     """
 
-    @frugal
     def run(batches):
         import sentencepiece
 
@@ -79,7 +78,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(id_col), size, pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(docs.select(id_col, text_col), run, schema)
 
 
 def blank(text: str) -> list[str]:
@@ -169,7 +168,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     text is a batch of its own, cut at white space, which no token crosses.
     """
 
-    @frugal
     def run(batches):
         import os
 
@@ -204,4 +202,4 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     fields = [docs.schema[id_col], T.StructField("piece", T.IntegerType()), *(T.StructField(k, T.LongType()) for k in ("start", "length", "ids_crc32"))]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
     names = [f.name for f in fields]
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return mapped(docs.select(id_col, text_col), run, T.StructType(fields))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, buffers, digests, frugal, materialize, slices, window_hash, words_of
+from .common import WordHashes, buffers, digests, mapped, materialize, slices, window_hash, words_of
 
 #: Different runs of one anchor beyond which its windows are spread by their own hashes.
 HOT_RUNS = 2048
@@ -143,7 +143,6 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
 
-    @frugal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up = symbols()
         for rows_ in slices(batches, "_text", 1 << 18):
@@ -153,7 +152,7 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
                     t = pa.array(text, pa.int64())
                     yield pa.RecordBatch.from_arrays([b.column("_id").take(t), b.column("_tx").take(t), pa.array(a, pa.int64()), *(pa.array(h[:, k].copy(), pa.int64()) for k in (0, 1)), pa.array(s + before, pa.int32()), pa.array(n, pa.int32())], ["_id", "_tx", "a", "h", "k", "s", "n"])
 
-    found = materialize(rows.mapInArrow(find, "_id string, _tx long, a long, h long, k long, s int, n int"))
+    found = materialize(mapped(rows, find, "_id string, _tx long, a long, h long, k long, s int, n int"))
     again = materialize(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
     # The runs of an anchor are dealt anew by their content, so that the join may split an anchor of very many.
     some = found.join(_met(again), "a", "left_semi").repartition("h", "k")
@@ -163,7 +162,6 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
     by_text = materialize(several.groupBy("_id", "_tx").agg(F.collect_list(F.struct("a", "h", "k", "hot", "s", "n")).alias("runs")))
     n_symbols = by_text.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda x, r: x + r["n"] + window - 1))).first()[0]
 
-    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up = symbols()
         for b in slices(batches, "_text", 1 << 18):
@@ -179,14 +177,13 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
                 content = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(part))])
                 yield pa.RecordBatch.from_arrays([*(r.field(k)[i : i + 2048] for k in ("a", "h", "k", "hot")), content], ["a", "h", "k", "hot", "content"])
 
-    texts = rows.join(_met(by_text), ["_id", "_tx"]).mapInArrow(cut, "a long, h long, k long, hot boolean, content binary")
+    texts = mapped(rows.join(_met(by_text), ["_id", "_tx"]), cut, "a long, h long, k long, hot boolean, content binary")
     shards = max(spark.sparkContext.defaultParallelism, -(-(n_symbols or 0) // (4 * shard_symbols)))
 
     def flat(content: list) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(c) for c in content], np.int64) // width
         return np.frombuffer(b"".join(content), np.uint8 if width == 1 else np.uint64), np.append(0, np.cumsum(size))
 
-    @frugal
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -208,9 +205,8 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
             yield settle()
 
     parted = materialize(texts)
-    settled = parted.filter("not hot").select("a", "h", "k", "content").repartition(shards, "a").sortWithinPartitions("a").mapInArrow(index, "a long, h long, k long, spans array<int>")
+    settled = mapped(parted.filter("not hot").select("a", "h", "k", "content").repartition(shards, "a").sortWithinPartitions("a"), index, "a long, h long, k long, spans array<int>")
 
-    @frugal
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -224,7 +220,7 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
                 t = pa.array(text)
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(t) for c in ("a", "h", "k")), pa.array(nth, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["a", "h", "k", "nth", "w", "v"])
 
-    hot = parted.filter("hot").select("a", "h", "k", "content").mapInArrow(spread, "a long, h long, k long, nth int, w long, v long")
+    hot = mapped(parted.filter("hot").select("a", "h", "k", "content"), spread, "a long, h long, k long, nth int, w long, v long")
     if kinds.filter(F.col("d") > hot_runs).limit(1).count():
         hot = materialize(hot)
         twice = materialize(hot.groupBy("w", "v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", "v"))
