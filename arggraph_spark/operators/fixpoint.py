@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rounds whose rows are gathered into one checkpoint.
+MERGED = 16
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints to the shared folder of spark.checkpoint.dir, so that lost executors cost no recomputation."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arggraph-"))
     return df.checkpoint()
 
@@ -34,4 +40,7 @@ def fixpoint(start: DataFrame, step: Callable[..., DataFrame], keys: list[str],
         new = cut(found.withColumn(number, F.lit(n)) if number else found)
         parts.append(new)
         all_ = all_.unionByName(new)
+        if len(parts) == MERGED:  # so that the plan of all rows stays small over many rounds
+            all_ = cut(all_)
+            parts = [all_]
     return all_

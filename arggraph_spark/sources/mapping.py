@@ -13,8 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def orders_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """A document for each customer; an order argues from the slots of its lines 2 and 3 to that of line 1."""
-    lines = _table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", (F.col("l_partkey") % 40).alias("slot"), "l_linenumber")
+    """A document for each customer; an order argues from the slots of all its other lines to that of line 1.
+
+    Parts are folded to 40 slots so that a customer's orders share statements, which makes cycles.
+    """
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).alias("slot"), "l_linenumber")
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     slots = lambda on: F.array_sort(F.collect_set(F.when(on, F.col("slot"))))
     sides = lines.groupBy("l_orderkey").agg(slots(F.col("l_linenumber") == 1).alias("c"), slots(F.col("l_linenumber") > 1).alias("p")).filter(F.size("c") > 0)
@@ -46,7 +49,7 @@ def orders_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 #: Statements, arguments, incidence (side p or c) and edges of the same corpus, for WITH.
 ORDERS_SQL = """
 wv_lines as (select distinct o.o_custkey as doc_id, o.o_orderkey as arg_key, l.l_partkey % 40 as slot, case when l.l_linenumber = 1 then 'c' else 'p' end as side
-  from orders o join lineitem l on l.l_orderkey = o.o_orderkey where l.l_linenumber <= 3),
+  from orders o join lineitem l on l.l_orderkey = o.o_orderkey),
 wv_arg_keys as (select distinct doc_id, arg_key from wv_lines where side = 'c'),
 incidence as (select x.*, 's' || x.slot as sid, 'a' || x.arg_key as aid from wv_lines x join wv_arg_keys k on x.doc_id = k.doc_id and x.arg_key = k.arg_key),
 statements as (select s.doc_id, s.slot as ord, 's' || s.slot as id,
