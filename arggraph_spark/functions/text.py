@@ -102,6 +102,50 @@ def slugify(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else slug_py(x))
 
 
+@F.pandas_udf(T.StringType())
+def slug_of(s: pd.Series) -> pd.Series:
+    """The slug, or nothing where no letter or digit is left; null stays null."""
+    return s.map(lambda x: None if x is None else slug_py(x, ""))
+
+
+@F.pandas_udf(T.StringType())
+def slug_of_text(s: pd.Series) -> pd.Series:
+    """A slug of the text's first words; null stays null."""
+    return s.map(lambda x: None if x is None else slug_from_text_py(x))
+
+
+def ellipsis(text: Column, most: int = 80) -> Column:
+    """White space made single; a text of more than ``most`` characters is cut to that with a final ellipsis."""
+    flat = F.trim(F.regexp_replace(text, "[\\s\\x{feff}\\x{a0}\\p{Zs}\\x{2028}\\x{2029}]+", " "))
+    return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
+def wrap_lines(text: Column, width: int, most: int) -> Column:
+    """Words put greedily into lines of about ``width``, ``most`` at most; the last one then ends in an ellipsis."""
+    flat = F.trim(F.regexp_replace(text, "[\\s\\x{feff}\\x{a0}\\p{Zs}\\x{2028}\\x{2029}]+", " "))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+
+    def place(acc: Column, word: Column) -> Column:
+        line = acc["line"]
+        fits = F.char_length(line) + 1 + F.char_length(word) <= width
+        full = F.struct(F.array_append(acc["lines"], line).alias("lines"), word.alias("line"))
+        return F.when(line == "", F.struct(acc["lines"].alias("lines"), word.alias("line"))).when(fits, F.struct(acc["lines"].alias("lines"), F.concat(line, F.lit(" "), word).alias("line"))).otherwise(full)
+
+    lines = F.aggregate(F.split(flat, " "), start, place, lambda a: F.when(a["line"] != "", F.array_append(a["lines"], a["line"])).otherwise(a["lines"]))
+    rest = lambda x: ellipsis(F.array_join(F.slice(x, most, F.size(x)), " "), width)
+    return F.get(F.transform(F.array(lines), lambda x: F.when(F.size(x) > most, F.array_append(F.slice(x, 1, most - 1), rest(x))).otherwise(x)), 0)
+
+
+def short_hash(h: Column, n: int = 8) -> Column:
+    return F.substring(h, 1, n)
+
+
+@F.pandas_udf(T.StringType())
+def float_repr(x: pd.Series) -> pd.Series:
+    """The shortest decimal that reads back as the same number, as Python writes it."""
+    return x.map(lambda v: None if v is None or v != v else repr(float(v)))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def wrap(s: pd.Series, width: pd.Series) -> pd.Series:
     """CPython's textwrap with its default options; a blank text is one empty line."""

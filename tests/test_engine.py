@@ -239,12 +239,23 @@ def test_filters_and_search(spark):
 # Extraction.
 
 
-def test_segmentation():
-    assert extraction.segment_of("one\ntwo\n\n  three") == ("untagged", [("p1", "one two", None), ("p2", "three", None)], 0)
-    assert extraction.segment_of("﻿one\r\ntwo\rthree")[1] == [("p1", "one", None), ("p2", "two", None), ("p3", "three", None)]
+def segmented(spark, text):
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    seg = extraction.segmentation(docs).first()
+    rows = extraction.paragraphs(docs).orderBy("idx").collect()
+    assert [r.idx for r in rows] == list(range(seg.paragraphs))
+    return seg.mode, [(r.key, r.text, r.heading) for r in rows], seg.skipped
+
+
+def test_segmentation(spark):
+    assert segmented(spark, "one\ntwo\n\n  three") == ("untagged", [("p1", "one two", None), ("p2", "three", None)], 0)
+    assert segmented(spark, "\ufeffone\r\ntwo\rthree")[1] == [("p1", "one", None), ("p2", "two", None), ("p3", "three", None)]
     tagged = "# Head\n[a.1] first\nline\n[a.1] second\n\nstray\n\n# \n[b]\n\n[c] last"
-    assert extraction.segment_of(tagged) == ("tagged", [("a.1", "first line", "Head"), ("a.1.2", "second", "Head"), ("c", "last", "Head")], 3)
-    assert extraction.segment_of("[a] one\n\nb\n\nc\n\nd")[0] == "untagged"
+    assert segmented(spark, tagged) == ("tagged", [("a.1", "first line", "Head"), ("a.1.2", "second", "Head"), ("c", "last", "Head")], 3)
+    assert segmented(spark, "[a] one\n\nb\n\nc\n\nd")[0] == "untagged"
+    assert [k for k, _, _ in segmented(spark, "[a] x\n[a.2] y\n[a] z\n[a] w")[1]] == ["a", "a.2", "a.3", "a.4"]
+    for text in (None, "", " \n\n\t", "# only"):
+        assert segmented(spark, text) == ("untagged", [], 0)
 
 
 def test_chunks(spark):
@@ -280,18 +291,76 @@ def test_merge_mapping_and_absorption(spark):
     assert {(r.chunk, r.id) for r in seen.collect()} == {(0, "s0"), (0, "s1"), *((9, f"s{i}") for i in range(6))}
 
 
-def test_repair():
+def mend(spark, d, merged=()):
+    s = spark.createDataFrame([("d", x["id"]) for x in d["statements"]], "doc_id string, id string")
+    a = spark.createDataFrame([("d", i, x["id"], x["premises"], x["conclusions"]) for i, x in enumerate(d["arguments"])], "doc_id string, ord int, id string, premises array<string>, conclusions array<string>")
+    m = spark.createDataFrame([("d", *x) for x in merged], "doc_id string, dropped string, kept string") if merged else None
+    out, log = extraction.repaired(s, a, m)
+    return out.orderBy("ord").collect(), [x for r in log.orderBy("ord").collect() for x in r.lines]
+
+
+def test_repair(spark):
     d = doc([("rain", "R"), ("wet", "W"), ("cold", "C")], [
         ("a", ["Rain!", "old", "rain"], ["wet"]), ("b", ["rain", "cold"], ["wet"]), ("a", ["nope"], ["wet", "wet"]), ("c", [], ["nope"]),
     ])
-    out, log = extraction.repair(d, {"old": "older", "older": "cold"})
-    assert [(a["id"], a["premises"], a["conclusions"]) for a in out["arguments"]] == [("a", ["rain", "cold"], ["wet"]), ("a-2", [], ["wet"])]
+    out, log = mend(spark, d, [("old", "older"), ("older", "cold")])
+    assert [(a["id"], a["premises"], a["conclusions"]) for a in out] == [("a", ["rain", "cold"], ["wet"]), ("a-2", [], ["wet"])]
     assert log == [
         "argument a: premise Rain! normalised to rain", "argument a: premise old merged into cold", "argument a: collapsed duplicate ids",
         "argument b: dropped (same premises and conclusions as an earlier argument)",
         "argument a: dropped unknown premise(s) nope", "argument a: collapsed duplicate ids", "argument a: renamed to a-2 (duplicate id)",
         "argument c: dropped unknown conclusion(s) nope", "argument c: dropped (no valid conclusion left)",
     ]
+    assert out[1].repairs == ["dropped unknown premise(s) nope", "collapsed duplicate ids", "renamed from a (duplicate id)"]
+
+
+def test_repeats_on_both_sides_are_told_once_after_the_conclusions(spark):
+    notes = lambda p, c: [x.removeprefix("argument a: ") for x in mend(spark, doc([("x", "X"), ("c", "C")], [("a", p, c)]))[1]]
+    assert notes(["x", "x"], ["c", "C"]) == ["conclusion C normalised to c", "collapsed duplicate ids"]
+    assert notes(["x", "x"], ["c", "zz", "zz"]) == ["collapsed duplicate ids", "dropped unknown conclusion(s) zz, zz"]
+    assert notes(["X!", "x", "y"], ["c"]) == ["premise X! normalised to x", "dropped unknown premise(s) y", "collapsed duplicate ids"]
+    assert notes([], ["c"]) == []
+
+
+def test_chains_and_rings_of_merges(spark):
+    d = doc([("end", "E"), ("b", "B")], [("a", ["one", "Three"], ["end"]), ("x", ["r1"], ["b"])])
+    out, log = mend(spark, d, [("one", "two"), ("two", "three"), ("three", "end"), ("r1", "r2"), ("r2", "r1")])
+    assert [a["premises"] for a in out] == [["end"], []]
+    assert log == ["argument a: premise one merged into end", "argument a: premise Three normalised and merged into end", "argument a: collapsed duplicate ids", "argument x: dropped unknown premise(s) r1"]
+
+
+def test_recording_and_replay(spark):
+    ask = spark.createDataFrame([("d", 0, "h0", "first prompt"), ("d", 1, "h1", "x" * 200)], "doc_id string, call_index int, request_hash string, user string")
+    got = spark.createDataFrame([("d", 0, "m", '{"statements": [1, {"a": "b"}]}', (3, 4)), ("d", 1, "m", "{}", (5, 6))], "doc_id string, call_index int, model string, response string, usage struct<input_tokens: long, output_tokens: long>")
+    lines = extraction.record(ask, got)
+    rows = [json.loads(r.value) for r in lines.orderBy("call_index").collect()]
+    assert rows[0] == {"index": 0, "request_hash": "h0", "model": "m", "user_preview": "first prompt", "usage": {"input_tokens": 3, "output_tokens": 4}, "response": {"statements": [1, {"a": "b"}]}}
+    assert len(rows[1]["user_preview"]) == 160
+    back = extraction.recorded(lines)
+    assert [r.agrees for r in extraction.replay(ask, back, strict=True).collect()] == [True, True]
+    assert extraction.usage(back).first().output_tokens == 10
+    other = ask.withColumn("request_hash", F.lit("other"))
+    assert not any(r.agrees for r in extraction.replay(other, back).collect())
+    for bad, what in ((other, "differs"), (ask.withColumn("call_index", F.lit(7)), "no response")):
+        with pytest.raises(documents.LoadError, match=what):
+            extraction.replay(bad, back, strict=True)
+
+
+def test_extraction_end_to_end(spark):
+    docs = spark.createDataFrame([("d", "# H\n\nIt rains.\n\nStreets are wet.")], "doc_id string, text string")
+    statement = lambda text, slug: {"text": text, "mode": "is", "sources": ["p1"], "role": "stated", "note": "", "slug": slug}
+    argument = lambda p, c, slug: {"premises": p, "conclusions": c, "justification": "so", "rule": "", "sources": ["p2"], "slug": slug}
+    a = spark.createDataFrame([("d", 0, json.dumps({"statements": [statement("It rains", "rain"), statement("Rain falls", "falls"), statement("Streets are wet", "wet")]}))], "doc_id string, chunk int, response string")
+    b = spark.createDataFrame([("d", 0, json.dumps({"arguments": [argument(["falls"], ["Wet"], "x")]}))], "doc_id string, seq int, response string")
+    c = spark.createDataFrame([("d", 0, json.dumps({"arguments": [argument([], ["rain"], "y")]}))], "doc_id string, seq int, response string")
+    merges = spark.createDataFrame([("d", 0, 0, "rain", ["falls"])], "doc_id string, seq int, batch int, keep string, drop array<string>")
+    row = extraction.extract(docs, a, b, merges, c, budget=100, about={"tool": "t"}, header=lambda k: {"name": k}).first()
+    out = json.loads(row.json)
+    assert documents.problems_of(out) == []
+    assert [(x["id"], x["premises"], x["conclusions"], x["meta"].get("origin")) for x in out["arguments"]] == [("x", ["rain"], ["wet"], None), ("y", [], ["rain"], "link")]
+    told = out["meta"]["extraction"]
+    assert told["repairs"] == row.log == ["argument x: premise falls merged into rain", "argument x: conclusion Wet normalised to wet"]
+    assert told["merged"] == {"falls": "rain"} and told["link_pass"] and told["chunking"]["paragraphs"] == 2
 
 
 def test_assembly(spark):
