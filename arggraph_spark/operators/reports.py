@@ -238,6 +238,11 @@ def stats(corpus: Corpus, top: int = 5) -> DataFrame:
     return per_document(corpus.nested(), kernel, graph._schema(corpus, ", ".join(f"{k} long" for k in _COUNTS) + ", report string"))
 
 
+def longest_chains(corpus: Corpus) -> DataFrame:
+    """(doc_id, longest_chain): the most arguments in a row, a cycle counting as one step; one walk over a document."""
+    return per_document(corpus.nested(), lambda doc: iter([(doc["doc_id"], Net(doc).longest_chain())]), graph._schema(corpus, "longest_chain long"))
+
+
 _COUNTS = ("statements", "arguments", "foundations", "terminals", "unused", "ungrounded", "cycles", "largest_cycle", "statements_in_cycles", "zero_premise_arguments", "longest_chain")
 
 

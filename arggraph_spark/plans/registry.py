@@ -411,10 +411,10 @@ def mermaid_lines(spark, sf):
 # Extraction.
 
 
-@_query("select doc_id, greatest(1, ceil(length(text) / 3.5))::bigint as tokens from documents where text is not null", base="")
+@_query("select doc_id, greatest(1, ceil(length(coalesce(text, '')) / 3.5))::bigint as tokens from documents", base="")
 def tokens_estimate(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null")
-    return docs.select("doc_id", estimate_tokens(F.col("text")).alias("tokens"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select("doc_id", estimate_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 _LINES = """lines as (select doc_id, i, trim(string_split(text, chr(10))[i], ' ' || chr(9)) as line from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(i)),
@@ -437,11 +437,14 @@ def chunks(spark, sf):
     return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.size("keys").cast("long").alias("paragraphs"), F.col("keys")[0].alias("first_key"))
 
 
-@_query("""with c as (select conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from conversations where text is not null)
+@_query("""with c as (select conv_id, turn, role, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from conversations)
 select text, role, min(conv_id * 1000 + turn) as first, count(*) as n, string_agg(distinct conv_id::varchar, ',' order by conv_id::varchar) as sources from c where text <> '' group by 1, 2""", base="")
 def exact_candidates(spark, sf):
     """Turns as candidate statements: one for each canonical text and role."""
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").filter("text is not null")
-    rows = turns.select(F.lit("all").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.col("role").alias("mode"), F.array(F.col("conv_id").cast("string")).alias("sources"), F.array(F.lit(0)).alias("chunks"), F.lit("stated").alias("role"), F.lit("").alias("note"))
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = turns.select(F.lit("all").alias("doc_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("mode"), F.array(F.col("conv_id").cast("string")).alias("sources"), F.array(F.lit(0)).alias("chunks"), F.lit("stated").alias("role"), F.lit("").alias("note"))
     out = extraction.consolidate_exact(rows)
     return out.select(F.col("canon").alias("text"), "mode", F.col("seq").alias("first"), F.col("n"), _joined(F.array_sort("sources")).alias("sources")).withColumnRenamed("mode", "role")
+
+
+from . import more as _more  # noqa: E402, F401  registers further queries
