@@ -19,19 +19,19 @@ from pyspark.sql import types as T
 from .common import mapped, slices
 
 #: Chunks whose encoding a task holds at once.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 200_000
 #: Bytes of text handed to the tokenizer library in one call.
 CALL_BYTES = 1 << 18
 
 #: The one boundary inside a text that no sentencepiece token crosses: a space after something else. The next chunk
 #: gets that space back as the encoder's own prefix.
 _SAFE = re.compile(r"(?<=[^ ]) ")
-#: White space that the word tokenizer drops; no word crosses it.
-_BLANK = re.compile(r"[ \t\n\r]+")
-#: What str.split() takes for white space and the tokenizer doesn't.
-_CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Chunks that the word tokenizer cuts into one run of letters and one of other marks; letters that are NFC already.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+#: Where letters meet a run of marks before white space: no token of the word tokenizer crosses that boundary.
+_MARKS, _CUT = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|]+)([ \\t\\n\\r]|$)", "\\1 \\2\\3"
+#: White space that the word tokenizer drops; no token crosses it.
+_BLANK = "[ \\t\\n\\r]+"
+#: Letters that are NFC already.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def calls(chunks: list[str], limit: int = CALL_BYTES):
@@ -81,18 +81,19 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return mapped(docs.select(id_col, text_col), run, schema)
 
 
-def blank(text: str) -> list[str]:
-    """The chunks between white space."""
-    if any(c in text for c in _CONTROLS):
-        return [c for c in _BLANK.split(text) if c]
-    return text.split()
+def chunked(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts cut at white space and before final marks: the chunks as numbers, the distinct chunks, and the texts' offsets."""
+    cut = pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=_MARKS, replacement=_CUT)
+    cut = pc.split_pattern(pc.replace_substring_regex(cut, pattern=_BLANK, replacement=" "), " ")
+    coded = cut.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
 
 
 class Numbers(dict):
     """Numbers chunks as they are met; ``new`` has those not encoded yet, in order."""
 
     def __init__(self):
-        super().__init__({"": 0})  # chunk 0 ends a text
+        super().__init__({"": 0})
         self.new: list[str] = []
 
     def __missing__(self, chunk: str) -> int:
@@ -104,9 +105,9 @@ class Numbers(dict):
 class ChunkIds:
     """Token ids of chunks, held flat; ``gather`` gives the ids of many chunks in order.
 
-    The tokenizer drops white space, lower-cases, cuts letters from other marks and encodes each by itself. So a chunk
-    of letters and then marks is encoded from its parts, which are far fewer than the chunks; its letters go straight to
-    the BPE model. Other chunks go through the whole tokenizer.
+    The tokenizer drops white space, lower-cases, cuts letters from other marks and encodes each by itself. So chunks of
+    letters alone, which most are, go straight to the BPE model; others go through the whole tokenizer. Chunk 0 is
+    empty, chunk -1 ends a text.
     """
 
     def __init__(self, tokenizer, end_id: int):
@@ -116,10 +117,11 @@ class ChunkIds:
 
     def clear(self) -> None:
         self.number = Numbers()
-        self.parts: dict[str, list[int]] = {"": []}
-        self.flat, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
+        self.flat, self.lengths = np.array([self.end_id], np.uint32), np.array([0, 1])
+        self.starts = np.array([1, 0])
 
     def letters(self, word: str) -> list[int]:
+        word = word.lower()
         if not word.isascii():
             for c in word:
                 if ord(c) not in self.bytes:
@@ -127,30 +129,26 @@ class ChunkIds:
             word = word.translate(self.bytes)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
-    def catch_up(self) -> None:
-        """Encodes the chunks that were numbered since."""
+    def codes(self, distinct: list[str]) -> np.ndarray:
+        """The numbers of chunks; new ones are encoded."""
+        known = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
         chunks, self.number.new = self.number.new, []
         if not chunks:
-            return
-        parts, got, whole = self.parts, [], []
-        for c in chunks:
-            if m := _SIMPLE.fullmatch(c):
-                word, marks = m[1].lower(), m[2]
-                if (ids := parts.get(word)) is None:
-                    ids = parts[word] = self.letters(word)
-                if (more := parts.get(marks)) is None:
-                    more = parts[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
-                got.append(ids + more if more else ids)
-            else:
-                whole.append(len(got))
-                got.append(c)
-        for group in calls([got[i] for i in whole]):
+            return known
+        letters, match = self.letters, _LETTERS.fullmatch
+        got = [letters(c) if match(c) else None for c in chunks]
+        whole = [i for i, ids in enumerate(got) if ids is None]
+        for group in calls([chunks[i] for i in whole]):
             for i, e in zip(whole[: len(group)], self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
                 got[i] = e.ids
             whole = whole[len(group) :]
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), np.int64, len(got))])
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        starts = len(self.flat) + np.cumsum(n) - n
+        # The last entry stays that of the end, which chunk -1 names.
+        self.lengths = np.concatenate([self.lengths[:-1], n, [1]])
+        self.starts = np.concatenate([self.starts[:-1], starts, [0]])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        return known
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.lengths[codes]
@@ -175,16 +173,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
         from tokenizers import Tokenizer
 
         vocab = ChunkIds(Tokenizer.from_file(tokenizer), end_id)
-        for b in slices(batches, text_col, 1 << 19):
-            split = [blank(t) if t else [] for t in b.column(text_col).to_pylist()]
+        for b in slices(batches, text_col, 1 << 21):
             if len(vocab.number) > CACHE_CHUNKS:
                 vocab.clear()
-            for s in split:
-                s.append("")
-            codes = np.fromiter(map(vocab.number.__getitem__, chain.from_iterable(split)), np.int64)
-            vocab.catch_up()
-            ids, ends = vocab.gather(codes)
-            doc_ends = ends[np.cumsum([len(s) for s in split]) - 1]
+            indices, distinct, offs = chunked(b.column(text_col))
+            ids, ends = vocab.gather(np.insert(vocab.codes(distinct)[indices], offs[1:], -1))
+            doc_ends = ends[offs[1:] + np.arange(len(offs) - 1)]
             rows = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
             s = 0
             for r, e in enumerate(doc_ends.tolist()):
