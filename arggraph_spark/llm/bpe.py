@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mapped, materialize, slices
-from .tokens import Numbers
+from .tokens import Numbers, taken
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 32 << 20
@@ -201,13 +201,6 @@ def unpacked(data: bytes) -> np.ndarray:
     return codes
 
 
-def taken(flat: np.ndarray, offs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of ``flat`` that the codes name, one after another, and their offsets."""
-    n = offs[codes + 1] - offs[codes]
-    ends = np.append(0, np.cumsum(n))
-    return flat[np.repeat(offs[codes] - ends[:-1], n) + np.arange(ends[-1])], ends
-
-
 class Block:
     """Texts as numbers of the block's own words."""
 

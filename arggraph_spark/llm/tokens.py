@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import mapped, slices
 
 #: Chunks whose encoding a task holds at once.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 300_000
 #: Bytes of text handed to the tokenizer library in one call.
 CALL_BYTES = 1 << 18
 
@@ -27,7 +27,7 @@ CALL_BYTES = 1 << 18
 #: gets that space back as the encoder's own prefix.
 _SAFE = re.compile(r"(?<=[^ ]) ")
 #: Where letters meet a run of marks before white space: no token of the word tokenizer crosses that boundary.
-_MARKS, _CUT = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|]+)([ \\t\\n\\r]|$)", "\\1 \\2\\3"
+_MARKS, _CUT = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?|]+)$", "\\1 \\2"
 #: White space that the word tokenizer drops; no token crosses it.
 _BLANK = "[ \\t\\n\\r]+"
 #: Letters that are NFC already.
@@ -81,12 +81,25 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return mapped(docs.select(id_col, text_col), run, schema)
 
 
+def taken(flat: np.ndarray, offs: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``flat`` that the codes name, one after another, and their offsets."""
+    n = offs[codes + 1] - offs[codes]
+    ends = np.append(0, np.cumsum(n))
+    return flat[np.repeat(offs[codes] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+def coded(cut: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """A list of strings as numbers of distinct strings, these, and the lists' offsets."""
+    got = cut.flatten().dictionary_encode()
+    return got.indices.to_numpy(zero_copy_only=False), got.dictionary, np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
+
+
 def chunked(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Texts cut at white space and before final marks: the chunks as numbers, the distinct chunks, and the texts' offsets."""
-    cut = pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=_MARKS, replacement=_CUT)
-    cut = pc.split_pattern(pc.replace_substring_regex(cut, pattern=_BLANK, replacement=" "), " ")
-    coded = cut.flatten().dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
+    words, distinct, offs = coded(pc.split_pattern(pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=_BLANK, replacement=" "), " "))
+    parts, chunks, at = coded(pc.split_pattern(pc.replace_substring_regex(distinct, pattern=_MARKS, replacement=_CUT), " "))
+    codes, ends = taken(parts, at, words)
+    return codes, chunks.to_pylist(), ends[offs]
 
 
 class Numbers(dict):
