@@ -14,7 +14,8 @@ from ..sources.corpus import Corpus
 from ..sources.mapping import LAYERS_SQL, layers_corpus, orders_corpus
 from .registry import _DIFF, _DOT_SQL, _LINES, _MERGE, _PLAN, _SCC, _UP, ORACLE_SQL, _joined, _layered_sql, _layers_edited, _query, _sides
 
-_NULL = F.lit(None).cast("string")
+def _null():
+    return F.lit(None).cast("string")
 
 
 def _table(spark, sf, name: str) -> DataFrame:
@@ -166,12 +167,12 @@ def rings_corpus(spark, sf) -> Corpus:
     """A document for each order: customer c gives priority p, p and segment k give each other, and k gives status s."""
     rows = _table(spark, sf, "orders").join(_table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc_id"), "c_name", "o_orderpriority", "c_mktsegment", "o_orderstatus")
     said = [("c", "c_name", "is"), ("p", "o_orderpriority", "is"), ("k", "c_mktsegment", "ought"), ("s", "o_orderstatus", "is")]
-    null = {c: _NULL for c in ("meta_json", "ext_json")}
+    null = {c: _null() for c in ("meta_json", "ext_json")}
     s = rows.select("doc_id", F.posexplode(F.array(*(F.struct(F.lit(i).alias("id"), F.col(c).alias("text"), F.lit(m).alias("mode")) for i, c, m in said))).alias("ord", "s"))
     given = [("cp", "c", "p"), ("pk", "p", "k"), ("kp", "k", "p"), ("ks", "k", "s")]
     a = rows.select("doc_id", F.posexplode(F.array(*(F.struct(F.lit(i).alias("id"), F.array(F.lit(x)).alias("premises"), F.array(F.lit(y)).alias("conclusions"), F.lit(i).alias("justification")) for i, x, y in given))).alias("ord", "a"))
-    docs = rows.select("doc_id", _NULL.alias("source"), F.lit("0.1").alias("version"), F.lit("ring").alias("name"), _NULL.alias("description")).withColumns(null)
-    return Corpus(docs, s.select("doc_id", "ord", "s.*").withColumns(null), a.select("doc_id", "ord", "a.*", _NULL.alias("rule")).withColumns(null))
+    docs = rows.select("doc_id", _null().alias("source"), F.lit("0.1").alias("version"), F.lit("ring").alias("name"), _null().alias("description")).withColumns(null)
+    return Corpus(docs, s.select("doc_id", "ord", "s.*").withColumns(null), a.select("doc_id", "ord", "a.*", _null().alias("rule")).withColumns(null))
 
 
 def _h(head: str, *parts: str) -> str:
