@@ -24,6 +24,8 @@ from .common import WordHashes, buffers, digests, mapped, materialize, slices, w
 
 #: Different runs of one anchor beyond which its windows are spread by their own hashes.
 HOT_RUNS = 2048
+#: Parts in which equal runs are counted.
+SALTS = 64
 #: Symbols of one index.
 SHARD_SYMBOLS = 1 << 20
 #: Symbols of a long text that are handled at once.
@@ -154,9 +156,11 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
 
     found = materialize(mapped(rows, find, "_id string, _tx long, a long, h long, k long, s int, n int"))
     again = materialize(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
-    # The runs of an anchor are dealt anew by their content, so that the join may split an anchor of very many.
-    some = found.join(_met(again), "a", "left_semi").repartition("h", "k")
-    groups = materialize(some.groupBy("a", "h", "k").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_tx", "s", "n")).alias("at")))
+    # Dealt anew by their content and a salt, so that the join may split an anchor of very many runs and equal runs of
+    # very many copies are counted in parts.
+    some = found.join(_met(again), "a", "left_semi").withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS))).repartition("h", "k", "salt")
+    counted = some.groupBy("a", "h", "k", "salt").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_tx", "s", "n")).alias("at"))
+    groups = materialize(counted.groupBy("a", "h", "k").agg(F.sum("c").alias("c"), F.min("at").alias("at")))
     kinds = materialize(groups.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"))
     several = groups.join(_met(kinds), "a").select("a", "h", "k", F.col("d") > hot_runs, "at.*").toDF("a", "h", "k", "hot", "_id", "_tx", "s", "n")
     by_text = materialize(several.groupBy("_id", "_tx").agg(F.collect_list(F.struct("a", "h", "k", "hot", "s", "n")).alias("runs")))
