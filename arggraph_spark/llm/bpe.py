@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, free_names, mapped, materialize, release, slices
+from .common import buffers, free_names, mapped, release, slices
 from .tokens import Numbers, taken
 
 #: Bytes of text in a block.
@@ -35,7 +35,7 @@ STEP = 1 << 17
 #: Parts of a block's words, by hash; a block's commonest words that are numbered first.
 PARTS, COMMON = 512, 16384
 #: The literal rank map is a perfect hash with so many buckets and places; a pair's are sums of its ids by these factors.
-BUCKETS, PLACES = 65521, 524287
+BUCKETS, PLACES = 65521, 262139
 BUCKET, PLACE = (40503, 1), (130363, 271)
 
 #: A token never holds a space that stands after a visible character, other than at its start.
@@ -75,15 +75,17 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
         for i in range(1, len(piece)):
             if (left := ids.get(piece[:i])) is not None and (right := ids.get(piece[i:])) is not None:
                 buckets.setdefault((left * BUCKET[0] + right * BUCKET[1]) % BUCKETS, []).append(((left * PLACE[0] + right * PLACE[1]) % PLACES, left << 42 | right << 21 | rank))
-    if sum(map(len, buckets.values())) > PLACES // 2:
-        raise ValueError(f"the rank map holds {PLACES // 2} pairs")
-    shifts, table, free = [0] * BUCKETS, [1 << 62] * PLACES, bytearray(b"\1" * PLACES)
+    if sum(map(len, buckets.values())) > PLACES * 3 // 4:
+        raise ValueError(f"the rank map holds {PLACES * 3 // 4} pairs")
+    shifts, table, free = [0] * BUCKETS, [0] * PLACES, bytearray(b"\1" * PLACES)
     for at, pairs in sorted(buckets.items(), key=lambda x: -len(x[1])):
         if len({p for p, _ in pairs}) < len(pairs):
             raise ValueError("two pairs of this vocabulary have one place and bucket")
         shifts[at] = shift = next(s for s in range(PLACES) if all(free[(p + s) % PLACES] for p, _ in pairs))
         for p, entry in pairs:
             table[(p + shift) % PLACES], free[(p + shift) % PLACES] = entry, 0
+    if free[shifts[0]]:
+        table[shifts[0]] = 1 << 62  # a free place is 0, which differs from all pairs but that of two ids 0, whose place this is
     return literal({"singles": singles, "shifts": shifts, "table": table}, "singles array<bigint>, shifts array<int>, table array<bigint>")
 
 
@@ -373,7 +375,9 @@ def blocks_of(docs: DataFrame, pattern: str, id_col: str, text_col: str, size: i
 
     key = T.ArrayType(docs.schema[id_col].dataType)
     fields = [T.StructField("block", T.LongType()), T.StructField("keys", key), T.StructField("n", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("common", T.BinaryType()), T.StructField("parts", T.ArrayType(T.BinaryType()))]
-    return materialize(mapped(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")), run, T.StructType(fields)))
+    blocks = mapped(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")), run, T.StructType(fields))
+    # Both uses read all columns, so that they share this exchange and the blocks are written once.
+    return blocks.repartition("block")
 
 
 def dictionaries(blocks: DataFrame, ranks: dict[bytes, int], fold_bytes: int = FOLD_BYTES) -> DataFrame:
@@ -406,7 +410,9 @@ def dictionaries(blocks: DataFrame, ranks: dict[bytes, int], fold_bytes: int = F
                 blobs = [packed_lists(lists.take(pa.array(at[e - k : e]))) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([blocks_, pa.array([b.column("part")[i].as_py()] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["block", "part", "ids"])
 
-    at = blocks.select("block", F.posexplode("parts").alias("part", "words"))
+    # Read by a condition that always holds, so that no column is pruned and the exchange of the blocks is reused.
+    whole = F.length("codes") + F.length("common") + F.size("keys") + F.size("n") >= 0
+    at = blocks.select("block", F.posexplode(F.when(whole, F.col("parts"))).alias("part", "words"))
     words = at.groupBy(F.shiftright("block", 40), "part").applyInArrow(distinct, rows)
     folded = encode_words(words, ranks, "words", many=True).select("part", "blocks", "n", "at", "ids", "long_ids")
     return mapped(folded, spread, T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("ids", T.BinaryType())]))
@@ -444,4 +450,4 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     schema = T.StructType([T.StructField("key", key), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     coded = dictionaries(blocks, ranks, fold_bytes)
-    return blocks.select("block", "keys", "n", "codes", "common").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema).select(F.col("key").alias(id_col), "ids")
+    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema).select(F.col("key").alias(id_col), "ids")
