@@ -73,12 +73,12 @@ def sweep(spark: SparkSession, everything: bool = False) -> None:
 
 @atexit.register
 def _sweep_all() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _SCRATCH:
-        try:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _SCRATCH:
             sweep(spark, everything=True)
-        except Exception:  # the JVM may be gone at exit
-            pass
+    except Exception:  # the JVM may be gone at exit
+        pass
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -97,6 +97,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch_folder(df: DataFrame) -> str | None:
+    """The folder of a frame that ``materialize`` gave; None of any other."""
+    plan = df._jdf.queryExecution().analyzed()
+    for path, ref in _SCRATCH:
+        if plan.getClass().getSimpleName() == "LogicalRelation" and ref.get() is not None and ref.get().equals(plan.relation().location()):
+            return path
+    return None
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes at once the files of a materialized frame that nothing will read again; other frames are left alone."""
+    path = scratch_folder(df)
+    if path is not None:
+        _SCRATCH[:] = [e for e in _SCRATCH if e[0] != path]
+        _delete(df.sparkSession, path)
+
+
+def keep_with(df: DataFrame, folder: str) -> None:
+    """From now on ``folder`` is deleted when the materialized ``df`` is."""
+    path = scratch_folder(df)
+    _SCRATCH.append((folder, next(ref for p, ref in _SCRATCH if p == path)))
+
+
 def join_bounded(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
     """Joins with a materialized ``right``: broadcast where its counted rows stay under BROADCAST_BYTES, else shuffled."""
     if right.count() * row_bytes <= BROADCAST_BYTES:

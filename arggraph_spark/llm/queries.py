@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, sketches
+from . import bpe, centroids, langid, licenses, oracles, sketches, spelling, warc
 from .common import table
 from .exact import exact_dedup
 from .minhash import near_duplicates
@@ -81,6 +81,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, groups=3, seed="3")
+
+
+def op12_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_packages(table(spark, sf_dir, "pages"), least=0)
+    return warc.page_records(warc.read_packages(packages))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
@@ -92,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_yinyang_clusters": op11_yinyang_clusters,
+    "op12_zip_warc": op12_zip_warc,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,4 +118,7 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
        row_number() over (partition by norm order by doc_id desc) = 1 as kept, sha256(norm) as text_sha256
 from d window w as (partition by norm)
 """,
+    "op11_yinyang_clusters": oracles.clusters_sql(),
+    "op12_zip_warc": oracles.WARC_SQL,
+    "op13_spelling_variants": oracles.SPELLING_SQL,
 }
