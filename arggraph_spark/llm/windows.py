@@ -2,8 +2,9 @@
 
 Comparing every text with an index of every other text grows with the square of a corpus. Here a window goes to one
 shard only, chosen by its content: its anchor is the gram of least hash in it (the leftmost of equals), so all
-occurrences of a window have one anchor. Neighbouring windows of a text with one anchor form a run, which is handled
-as one piece of text. Anchors that occur once can't hold a repeated window. Runs that are equal as a whole are counted
+occurrences of a window have one anchor. Neighbouring windows of a text whose anchors are equal in content form a run,
+which is handled as one piece of text; in a periodic text the anchor moves on from one period to the next, and a run is
+cut after a number of windows. Anchors that occur at one place only can't hold a repeated window. Runs that are equal as a whole are counted
 where they are read and stand for each other, so copies of whole texts cost one run. What is left - different runs
 under one anchor - is settled by an index over the runs of a shard, which the caller brings as ``kernel``. Anchors with
 very many different runs would load one shard; their windows are spread by their own digests and counted. Runs and
@@ -28,6 +29,8 @@ HOT_RUNS = 2048
 SALTS = 64
 #: Symbols of one index.
 SHARD_SYMBOLS = 1 << 20
+#: Windows of a run, however far its anchor's content goes on.
+RUN_WINDOWS = 1024
 #: Symbols of a long text that are handled at once.
 SPLIT_BYTES = 1 << 20
 
@@ -68,24 +71,32 @@ def first_lane(symbols: np.ndarray) -> np.ndarray:
 
 
 def runs(symbols: np.ndarray, offs: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first window's start within the text, windows, anchor hash, content digest (n x 2)) of every run."""
+    """(text, first window's start within the text, windows, anchor hash, anchor places, content digest (n x 2)) of every run."""
     none = np.zeros(0, np.int64)
     n = np.maximum(np.diff(offs) - window + 1, 0)  # windows of each text
     if not n.sum():
-        return none, none, none, none, none.reshape(0, 2)
+        return none, none, none, none, none, none.reshape(0, 2)
     h = window_hash(first_lane(symbols), gram)
     at = leftmost_least((h >> np.uint64(32)).astype(np.uint32), window - gram + 1)
     text = np.repeat(np.arange(len(n)), n)
     first = np.cumsum(n) - n
     start = np.arange(len(text)) + np.repeat(offs[:-1] - first, n)
     anchor = at[start]
+    gram_of = h[anchor]
     new = np.empty(len(text), bool)
     new[0] = True
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (gram_of[1:] != gram_of[:-1]) | (text[1:] != text[:-1])
     lead = np.flatnonzero(new)
+    length = np.diff(np.append(lead, len(text)))
+    if length.max() > RUN_WINDOWS:
+        pieces = -(-length // RUN_WINDOWS)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lead = np.repeat(lead, pieces) + nth * RUN_WINDOWS
     count = np.diff(np.append(lead, len(text)))
+    moved = np.append(0, anchor[1:] != anchor[:-1])
+    moved[lead] = 1
     s = start[lead]
-    return text[lead], s - offs[text[lead]], count, h[anchor[lead]].view(np.int64), digests(symbols, s, s + count + window - 1)
+    return text[lead], s - offs[text[lead]], count, gram_of[lead].view(np.int64), np.add.reduceat(moved, lead), digests(symbols, s, s + count + window - 1)
 
 
 def parts_of(b: pa.RecordBatch, symbols: Symbols, window: int, size: int = SPLIT_BYTES) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
@@ -149,20 +160,21 @@ def repeated_windows(docs: DataFrame, symbols: Callable[[], Symbols], kernel: Ke
         cut_up = symbols()
         for rows_ in slices(batches, "_text", 1 << 18):
             for b, before, values, offs in parts_of(rows_, cut_up, window):
-                text, s, n, a, h = runs(values, offs, window, gram)
+                text, s, n, a, p, h = runs(values, offs, window, gram)
                 if len(text):
                     t = pa.array(text, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column("_id").take(t), b.column("_tx").take(t), pa.array(a, pa.int64()), *(pa.array(h[:, k].copy(), pa.int64()) for k in (0, 1)), pa.array(s + before, pa.int32()), pa.array(n, pa.int32())], ["_id", "_tx", "a", "h", "k", "s", "n"])
+                    yield pa.RecordBatch.from_arrays([b.column("_id").take(t), b.column("_tx").take(t), pa.array(a, pa.int64()), *(pa.array(h[:, k].copy(), pa.int64()) for k in (0, 1)), pa.array(s + before, pa.int32()), pa.array(n, pa.int32()), pa.array(p, pa.int32())], ["_id", "_tx", "a", "h", "k", "s", "n", "p"])
 
-    found = materialize(mapped(rows, find, "_id string, _tx long, a long, h long, k long, s int, n int"))
-    again = materialize(found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"))
+    found = materialize(mapped(rows, find, "_id string, _tx long, a long, h long, k long, s int, n int, p int"))
+    again = materialize(found.groupBy("a").agg(F.sum("p").alias("p")).filter("p > 1").select("a"))
     # Dealt anew by their content and a salt, so that the join may split an anchor of very many runs and equal runs of
     # very many copies are counted in parts.
     some = found.join(_met(again), "a", "left_semi").withColumn("salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS))).repartition("h", "k", "salt")
-    counted = some.groupBy("a", "h", "k", "salt").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_tx", "s", "n")).alias("at"))
+    counted = some.groupBy("a", "h", "k", "salt").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_tx", "s", "n", "p")).alias("at"))
     groups = materialize(counted.groupBy("a", "h", "k").agg(F.sum("c").alias("c"), F.min("at").alias("at")))
-    kinds = materialize(groups.groupBy("a").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"))
-    several = groups.join(_met(kinds), "a").select("a", "h", "k", F.col("d") > hot_runs, "at.*").toDF("a", "h", "k", "hot", "_id", "_tx", "s", "n")
+    # A run over several places of its anchor may repeat a window by itself.
+    kinds = materialize(groups.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.max("at.p").alias("p")).filter("d > 1 or p > 1").select("a", "d"))
+    several = groups.join(_met(kinds), "a").select("a", "h", "k", F.col("d") > hot_runs, *(f"at.{c}" for c in ("_id", "_tx", "s", "n"))).toDF("a", "h", "k", "hot", "_id", "_tx", "s", "n")
     by_text = materialize(several.groupBy("_id", "_tx").agg(F.collect_list(F.struct("a", "h", "k", "hot", "s", "n")).alias("runs")))
     n_symbols = by_text.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda x, r: x + r["n"] + window - 1))).first()[0]
 

@@ -141,12 +141,37 @@ def test_long_texts_are_taken_in_parts(documents):
     rng = random.Random(8)
     long_ = " ".join(str(rng.randrange(10**9)) for _ in range(400_000))  # about 4 MB
     passage = long_[1_048_400:1_048_900]
-    got = {r.doc_id: r for r in remove_repeated_bytes(documents([long_, "before " + passage + " after", "x" * 3_000_000]), 200).collect()}
+    got = {r.doc_id: r for r in remove_repeated_bytes(documents([long_, "before " + passage + " after", "x" * 3_000_000]), 200).select("doc_id", "n_removed", "removed").collect()}
     at = long_.index(passage)
     assert got[0].removed[0] in range(at - 9, at + 1) and got[0].n_removed in range(500, 520) and len(got[0].removed) == 2
     assert got[2].n_removed == 3_000_000
 
 
+@pytest.mark.parametrize("unit", ["x", "ab", "-=", "abcdefghij", "".join(chr(33 + i) for i in range(90)), "".join(chr(33 + i % 94) for i in range(170)) + "\n"])
+def test_periodic_texts_make_few_runs(unit):
+    text = np.frombuffer((unit * (3_000_000 // len(unit) + 1)).encode()[:3_000_000], np.uint8)
+    n = windows.runs(text, np.array([0, len(text)]), 200, 24)
+    assert len(n[0]) <= len(text) // 200
+    assert n[2].sum() == len(text) - 199
+
+
+def test_periodic_texts(documents):
+    """Texts of a short period, cut at other places, with something between; equal to brute force."""
+    texts = ["x" * 5000, "xy" * 2500, "y" + "xy" * 1300, "=" * 79 + "\n" + "=" * 2300, "abc" * 20 + "d" + "abc" * 900, "q" + "0" * 3000 + "q", "xyz " * 700, "".join("ab"[bin(i).count("1") % 2] for i in range(4096)), "z" * 41]
+    for run_windows in (1024, 50):
+        windows.RUN_WINDOWS, before = run_windows, windows.RUN_WINDOWS
+        try:
+            for hot_runs in (2048, 1):
+                got = {r.doc_id: r for r in remove_repeated_bytes(documents(texts), 40, gram=8, hot_runs=hot_runs).collect()}
+                for i, g in enumerate(brute([t.encode() for t in texts], 40)):
+                    assert got[i].removed == edges(g)
+        finally:
+            windows.RUN_WINDOWS = before
+    got = {r.doc_id: r for r in remove_repeated_words(documents([" ".join(t) for t in texts]), 12, gram=3).collect()}
+    for i, g in enumerate(brute([tuple(t.split()) for t in (" ".join(t) for t in texts)], 12)):
+        assert got[i].removed == edges(g)
+
+
 def test_any_names_of_columns(documents):
     docs = documents([None, "a b c " * 30]).selectExpr("*", "'i' as _id", "'t' as _tx", "'x' as _text", "'s' as spans")
     got = remove_repeated_bytes(docs, 20, columns=["doc_id", "_id", "_tx", "_text", "spans"], gram=8).collect()
