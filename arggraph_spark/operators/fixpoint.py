@@ -1,27 +1,71 @@
-"""Semi-naive iteration: each round joins only what the last one found, and its result is checkpointed."""
+"""Iteration: each round joins only what the last one found, and its rows are written to the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import inspect
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Rounds whose rows are gathered into one checkpoint.
+#: Rounds whose rows are gathered into one table.
 MERGED = 16
 
+#: (folder of a written table, weak reference to the file index of the frame that reads it)
+_WRITTEN: list[tuple] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints to the shared folder of spark.checkpoint.dir, so that lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
+
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arggraph-"))
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def _drop(spark: SparkSession, unused_only: bool) -> None:
+    if spark.sparkContext._jsc is None:
+        _WRITTEN.clear()
+        return
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for entry in list(_WRITTEN):
+        if not unused_only or entry[1].get() is None:
+            _WRITTEN.remove(entry)
+            p = path_of(entry[0])
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and _WRITTEN:
+            _drop(spark, unused_only=False)
+    except Exception:  # the JVM may be gone at exit
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder of spark.checkpoint.dir and reads it again, so that lost executors cost no recomputation.
+
+    A checkpoint would run the plan twice. The files go when nothing on the JVM's side refers to them any more.
+    """
+    spark = df.sparkSession
+    _drop(spark, unused_only=True)
+    path = f"{_shared(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _WRITTEN.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    return out
+
+
+def some(df: DataFrame) -> bool:
+    return not df.isEmpty()
 
 
 def fixpoint(start: DataFrame, step: Callable[..., DataFrame], keys: list[str], rounds: int | None = None, number: str | None = None) -> DataFrame:
@@ -34,7 +78,7 @@ def fixpoint(start: DataFrame, step: Callable[..., DataFrame], keys: list[str],
     new = start.select(*keys).distinct()
     new = cut(new.withColumn(number, F.lit(1)) if number else new)
     parts, all_, n = [new], new, 1
-    while (rounds is None or n < rounds) and new.limit(1).count():
+    while (rounds is None or n < rounds) and some(new):
         n += 1
         found = (step(new, all_) if wide else step(new)).select(*keys).distinct().join(all_.select(*keys), keys, "left_anti")
         new = cut(found.withColumn(number, F.lit(n)) if number else found)
