@@ -1,7 +1,7 @@
 """Edges, reachability and components over a corpus.
 
-Documents up to ``LARGE`` statements are handled one row each, in one pass without shuffles between steps; larger ones
-by semi-naive joins over all of them at once.
+``components``, ``closure_pairs`` and ``well_founded`` take documents up to ``LARGE`` statements one row each, in one pass
+without shuffles between steps, and larger ones by the joins of ``large``.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus, per_document
-from .fixpoint import fixpoint
+from . import large
+from .fixpoint import cut, fixpoint, some
 from .net import Net
 
 #: Statements of a document beyond which joins take over from the kernel.
 LARGE = 50_000
+#: Steps from seeds that are taken one by one before the rest of their ways is doubled.
+STEPS = 12
 
 
 def edges(corpus: Corpus) -> DataFrame:
@@ -37,17 +40,27 @@ def terminals(corpus: Corpus) -> DataFrame:
     return corpus.statements.join(used, ["doc_id", "id"], "left_anti").select("doc_id", "ord", "id", "text", "mode")
 
 
-def _sizes(corpus: Corpus) -> tuple[Corpus, DataFrame | None]:
-    large = corpus.statements.groupBy("doc_id").count().filter(F.col("count") > LARGE).select("doc_id")
-    return corpus, large if large.limit(1).count() else None
+def _divided(corpus: Corpus) -> tuple[Corpus, Corpus | None]:
+    """The corpus of documents up to ``LARGE`` statements and that of larger ones, if there are any."""
+    sizes = corpus.statements.groupBy("doc_id").count().filter(F.col("count") > LARGE).select("doc_id")
+    if not some(sizes):
+        return corpus, None
+    sizes = cut(sizes)
+    side = lambda how: Corpus(*(t.join(sizes, "doc_id", how) for t in (corpus.docs, corpus.statements, corpus.arguments)))
+    return side("left_anti"), side("left_semi")
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, stop: DataFrame | None = None, up: bool = True, rounds: int | None = None) -> DataFrame:
     """(doc_id, src, dst, hops): what each seed (doc_id, id; default: every end of an edge) reaches; by joins.
 
     The seed itself is reached only on a cycle. ``stop`` (doc_id, src, id: for a seed) is reached but not left.
-    ``hops`` is the least number of arguments between; ``rounds`` bounds it.
+    ``hops`` is the least number of arguments between; ``rounds`` bounds it. Without seeds distances are doubled, so a
+    chain of n takes log2(n) rounds. From seeds a round is a step, as long as few; then the rest of the way is doubled in
+    the documents that aren't done, unless ``stop`` tells where each seed's way ends.
     """
+    if seeds is None and stop is None:
+        pairs = large.closure(edges, rounds)
+        return pairs.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "hops") if up else pairs
     step = edges.select("doc_id", F.col("dst" if up else "src").alias("dst"), F.col("src" if up else "dst").alias("next"))
     seeds = seeds.select("doc_id", F.col("id").alias("src")) if seeds is not None else step.select("doc_id", F.col("dst").alias("src")).distinct()
     first = seeds.select("doc_id", "src", F.col("src").alias("dst")).join(step, ["doc_id", "dst"]).select("doc_id", "src", F.col("next").alias("dst")).distinct()
@@ -57,7 +70,18 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, stop: DataFrame |
             new = new.join(stop.select("doc_id", "src", F.col("id").alias("dst")), ["doc_id", "src", "dst"], "left_anti")
         return new.join(step, ["doc_id", "dst"]).select("doc_id", "src", F.col("next").alias("dst"))
 
-    return fixpoint(first, follow, ["doc_id", "src", "dst"], rounds, "hops")
+    keys = ["doc_id", "src", "dst"]
+    if stop is not None or (rounds is not None and rounds <= STEPS):
+        return fixpoint(first, follow, keys, rounds, "hops")
+    near = fixpoint(first, follow, keys, STEPS, "hops")
+    last = near.filter(F.col("hops") == STEPS)
+    if not some(last):
+        return near
+    rest = edges.join(last.select("doc_id").distinct(), "doc_id", "left_semi")
+    far = large.closure(rest if not up else rest.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst")), None if rounds is None else rounds - STEPS)
+    beyond = last.select("doc_id", "src", F.col("dst").alias("mid")).join(far.select("doc_id", F.col("src").alias("mid"), "dst", F.col("hops").alias("h")), ["doc_id", "mid"])
+    found = beyond.groupBy(*keys).agg((F.min("h") + STEPS).alias("hops"))
+    return near.unionByName(found.join(near.select(*keys), keys, "left_anti"))
 
 
 def closure_pairs(corpus: Corpus, up: bool = True) -> DataFrame:
@@ -70,12 +94,9 @@ def closure_pairs(corpus: Corpus, up: bool = True) -> DataFrame:
             for t in net.ids(net.reach(s, up)):
                 yield doc["doc_id"], src, t
 
-    _, large = _sizes(corpus)
-    schema = _schema(corpus, "src string, dst string")
-    if large is None:
-        return per_document(corpus.nested(), kernel, schema)
-    small = per_document(corpus.nested().join(large, "doc_id", "left_anti"), kernel, schema)
-    return small.unionByName(closure(corpus.edges.join(large, "doc_id", "left_semi"), up=up).drop("hops"))
+    small, rest = _divided(corpus)
+    out = per_document(small.nested(), kernel, _schema(corpus, "src string, dst string"))
+    return out if rest is None else out.unionByName(closure(rest.edges, up=up).drop("hops"))
 
 
 def _schema(corpus: Corpus, rest: str) -> str:
@@ -83,7 +104,10 @@ def _schema(corpus: Corpus, rest: str) -> str:
 
 
 def components(corpus: Corpus) -> DataFrame:
-    """(doc_id, comp, pos, id, cyclic): every component in topological order, members in file order."""
+    """(doc_id, comp, pos, id, cyclic): every component in topological order, members in file order.
+
+    Where several orders are possible that of documents beyond ``LARGE`` statements is another; see ``large.components``.
+    """
 
     def kernel(doc: dict):
         net = Net(doc)
@@ -91,18 +115,19 @@ def components(corpus: Corpus) -> DataFrame:
             for pos, s in enumerate(comp):
                 yield doc["doc_id"], k, pos, net.statements[s]["id"], net.cyclic(comp)
 
-    return per_document(corpus.nested(), kernel, _schema(corpus, "comp int, pos int, id string, cyclic boolean"))
+    small, rest = _divided(corpus)
+    out = per_document(small.nested(), kernel, _schema(corpus, "comp int, pos int, id string, cyclic boolean"))
+    return out if rest is None else out.unionByName(large.components(rest))
 
 
 def components_by_joins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, id, comp): membership alone, comp the least id; for documents too large for one task.
-
-    Two statements share a component if each reaches the other, so mutual pairs of the closure are enough.
-    """
-    forth = closure(edges).select("doc_id", "src", "dst")
-    both = forth.join(forth.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst")), ["doc_id", "src", "dst"])
-    least = both.groupBy("doc_id", F.col("src").alias("id")).agg(F.min("dst").alias("other"))
-    return nodes.join(least, ["doc_id", "id"], "left").select("doc_id", "id", F.coalesce(F.least("other", "id"), "id").alias("comp"))
+    """(doc_id, id, comp): membership alone, comp the least id; by forward and backward reachability, see ``large.strong``."""
+    numbers = cut(nodes.select("doc_id", "id").withColumn("v", F.monotonically_increasing_id()))
+    end = lambda old, new: numbers.select("doc_id", F.col("id").alias(old), F.col("v").alias(new))
+    found = large.strong(cut(edges.join(end("src", "s"), ["doc_id", "src"]).join(end("dst", "t"), ["doc_id", "dst"]).select("doc_id", "s", "t")))
+    members = numbers.join(found, ["doc_id", "v"], "left").withColumn("comp", F.coalesce("comp", "v"))
+    least = members.groupBy("doc_id", "comp").agg(F.min("id").alias("least"))
+    return members.join(least, ["doc_id", "comp"]).select("doc_id", "id", F.col("least").alias("comp"))
 
 
 def focus(corpus: Corpus, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
@@ -125,21 +150,16 @@ def well_founded(corpus: Corpus) -> DataFrame:
         for i, s in enumerate(net.statements):
             yield doc["doc_id"], s["ord"], s["id"], not net.incoming[i], i in done
 
-    return per_document(corpus.nested(), kernel, _schema(corpus, "ord long, id string, foundation boolean, grounded boolean"))
+    small, rest = _divided(corpus)
+    out = per_document(small.nested(), kernel, _schema(corpus, "ord long, id string, foundation boolean, grounded boolean"))
+    if rest is None:
+        return out
+    first = foundations(rest).select("doc_id", "id", F.lit(True).alias("f"))
+    done = large.grounded(rest).withColumn("g", F.lit(True))
+    rows = rest.statements.join(first, ["doc_id", "id"], "left").join(done, ["doc_id", "id"], "left")
+    return out.unionByName(rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "id", F.coalesce("f", F.lit(False)).alias("foundation"), F.coalesce("g", F.lit(False)).alias("grounded")))
 
 
 def grounded_by_joins(corpus: Corpus) -> DataFrame:
-    """(doc_id, id) of grounded statements by semi-naive rounds; for documents too large for one task."""
-    pending = corpus.arguments.select("doc_id", F.col("id").alias("arg"), F.array_distinct("premises").alias("premises"), "conclusions")
-    free = pending.filter(F.size("premises") == 0).select("doc_id", F.explode("conclusions").alias("id"))
-    start = foundations(corpus).select("doc_id", "id").unionByName(free).distinct()
-    needs = pending.select("doc_id", "arg", F.size("premises").alias("need"), F.explode("premises").alias("id"))
-    leads = pending.select("doc_id", "arg", F.explode("conclusions").alias("id"))
-
-    def step(new: DataFrame, all_: DataFrame) -> DataFrame:
-        touched = needs.join(new.select("doc_id", "id"), ["doc_id", "id"], "left_semi").select("doc_id", "arg").distinct()
-        met = needs.join(touched, ["doc_id", "arg"]).join(all_.select("doc_id", "id"), ["doc_id", "id"], "left_semi")
-        full = met.groupBy("doc_id", "arg", "need").agg(F.count(F.lit(1)).alias("k")).filter("k = need")
-        return full.join(leads, ["doc_id", "arg"]).select("doc_id", "id")
-
-    return fixpoint(start, step, ["doc_id", "id"])
+    """(doc_id, id) of grounded statements by counters of open premises; see ``large.grounded``."""
+    return large.grounded(corpus)

@@ -8,6 +8,8 @@ each step is said where it does.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,23 +201,31 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = several.unionByName(hanging.select("doc_id", "v", "floor"))
 
 
-def levelled(corpus: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members (``grouped`` with level), edges, edges between components)."""
+@dataclass(frozen=True)
+class Levelled:
+    """What the operators here start from; made once for a corpus by ``levelled`` and given to each."""
+
+    members: DataFrame  # ``grouped`` with level, the longest way to a component
+    edges: DataFrame
+    between: DataFrame  # edges between components
+
+
+def levelled(corpus: Corpus) -> Levelled:
     nodes, edges = numbered(corpus)
     members = grouped(nodes, edges)
     between = condensed(members, edges)
     level = levels(_of(members.filter("v = comp"), v="comp"), between)
-    return cut(members.join(_of(level, comp="v", level="level"), ["doc_id", "comp"])), edges, between
+    return Levelled(cut(members.join(_of(level, comp="v", level="level"), ["doc_id", "comp"])), edges, between)
 
 
-def components(corpus: Corpus) -> DataFrame:
+def components(corpus: Corpus, held: Levelled | None = None) -> DataFrame:
     """(doc_id, comp, pos, id, cyclic): components in topological order, members in file order.
 
     They are ordered by level, the most arguments in a row before one, then by their first statement. Of components that
     don't depend on each other ``graph.components`` puts that first which its walk meets last; such a walk can't be
     shared between tasks. Numbers within a document are given by sorting ranges, so no document is in one task.
     """
-    members, _, _ = levelled(corpus)
+    members = (held or levelled(corpus)).members
     leads = members.filter("v = comp")
     number = _dense(leads.select("doc_id", "level", "comp"), ["level", "comp"], "number")
     starts = number.groupBy("doc_id").agg(F.min("number").alias("from"))
@@ -237,9 +247,9 @@ def _dense(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     return ordered.join(F.broadcast(offsets), part == F.col("_p")).withColumn(name, within + F.col("_o")).drop("_m", "_p", "_o")
 
 
-def longest_chains(corpus: Corpus) -> DataFrame:
+def longest_chains(corpus: Corpus, held: Levelled | None = None) -> DataFrame:
     """(doc_id, longest_chain): the most arguments in a row, a cycle counting as one step; the greatest level."""
-    members, _, _ = levelled(corpus)
+    members = (held or levelled(corpus)).members
     most = members.groupBy("doc_id").agg(F.max("level").alias("longest_chain"))
     return corpus.docs.select("doc_id").join(most, "doc_id", "left").select("doc_id", F.coalesce("longest_chain", F.lit(0).cast("long")).alias("longest_chain"))
 
@@ -267,7 +277,7 @@ def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return known if rounds is None else known.filter(F.col("hops") <= rounds)
 
 
-def closure_sizes(corpus: Corpus, up: bool = False, block: int = BLOCK) -> DataFrame:
+def closure_sizes(corpus: Corpus, up: bool = False, block: int = BLOCK, held: Levelled | None = None) -> DataFrame:
     """(doc_id, id, n): how many statements each leads to (up: rests on), itself only if it is on a cycle; those with none left out.
 
     Rows of a component's reachability matrix are sets of 64 statements a long, numbered in the order of levels so that
@@ -275,18 +285,16 @@ def closure_sizes(corpus: Corpus, up: bool = False, block: int = BLOCK) -> DataF
     level. ``block`` statements are columns at a time, so what is held is components times the words of a block, not
     pairs; a round a level and block.
     """
-    nodes, edges = numbered(corpus)
-    if up:
-        edges = _of(edges, s="t", t="s")
-    members = grouped(nodes, edges)
-    between = condensed(members, edges)
-    # From the ends backwards: the level of a component is the longest way from it.
-    level = levels(_of(members.filter("v = comp"), v="comp"), _of(between, s="t", t="s"))
-    members = cut(_dense(members.join(_of(level, comp="v", level="level"), ["doc_id", "comp"]), ["level", "comp", "v"], "column"))
+    held = held or levelled(corpus)
+    between = _of(held.between, s="t", t="s") if up else held.between
+    members = cut(_dense(held.members, ["level", "comp", "v"], "column"))
     spans = members.groupBy("doc_id").agg(F.min("column").alias("first"), F.count(F.lit(1)).alias("n"))
-    members = cut(members.join(spans, "doc_id").withColumn("column", F.col("column") - F.col("first")).drop("first", "n"))
-    most = spans.agg(F.max("n")).first()[0] or 0
     deepest = members.agg(F.max("level")).first()[0] or 0
+    # What a component leads to has higher levels, so those go first unless the way is up.
+    turn = F.col("level") if up else F.lit(deepest) - F.col("level")
+    members = cut(members.join(spans, "doc_id").withColumns({"column": F.col("column") - F.col("first"), "level": turn}).drop("first", "n"))
+    level = _of(members.filter("v = comp"), v="comp", level="level")
+    most = spans.agg(F.max("n")).first()[0] or 0
     bits = F.bit_or(F.expr("shiftleft(1L, int(column % 64))")).alias("bits")
     ends = between.join(_of(level, s="v", level="level"), ["doc_id", "s"])
     total = None
@@ -345,7 +353,7 @@ def grounded(corpus: Corpus) -> DataFrame:
 # Identities.
 
 
-def identities(corpus: Corpus) -> tuple[DataFrame, DataFrame]:
+def identities(corpus: Corpus, held: Levelled | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, ord, id, prop_id, just_id, scc), (doc_id, id, arg_hash)) of documents of any size, with cycles of any lengths.
 
     Components are settled level by level, each with one aggregate of its arguments: an argument's hash needs the ids of
@@ -353,7 +361,7 @@ def identities(corpus: Corpus) -> tuple[DataFrame, DataFrame]:
     instead. Arguments' own hashes follow when all statements are known. A round a level, as each level's hashes are made
     of those before.
     """
-    members, _, _ = levelled(corpus)
+    members = (held or levelled(corpus)).members
     props = corpus.statements.select("doc_id", F.col("ord").cast("long").alias("v"), prop_id(F.col("text"), F.col("mode")).alias("prop"))
     nodes = cut(members.join(props, ["doc_id", "v"]).select("doc_id", "id", "v", "comp", "cyclic", "level", "prop"))
     ends = nodes.select("doc_id", "id", "comp", "cyclic", "level", "prop")
