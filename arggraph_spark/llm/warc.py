@@ -433,8 +433,10 @@ def read_packages(packages: DataFrame, stretch: int = STRETCH) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], k) for i, k in enumerate(kinds)], ["package", "filename", "offset", "length", "problem"])
 
     named = packages.select("package").filter("package is not null").distinct()
-    found = mapped(named, locate, "package string, filename string, offset long, length long, problem string")
-    dealt = found.withColumn("stretch", F.floor(F.col("offset") / stretch)).repartition(F.col("package"), F.col("stretch")).sortWithinPartitions("package", "offset")
+    found = materialize(mapped(named, locate, "package string, filename string, offset long, length long, problem string"))
+    # Rows are small here and what they point at isn't, so the number of tasks is given by the bytes.
+    tasks = max(packages.sparkSession.sparkContext.defaultParallelism, -(-(found.agg(F.sum("length")).first()[0] or 0) // stretch))
+    dealt = found.withColumn("stretch", F.floor(F.col("offset") / stretch)).repartition(tasks, "package", "stretch").sortWithinPartitions("package", "offset")
     return mapped(dealt.drop("stretch"), _read, RECORDS)
 
 
