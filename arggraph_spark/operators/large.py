@@ -3,13 +3,16 @@
 A graph is a table of edges (doc_id, s, t) between numbers, a statement's number being its place in the file; many
 documents of any sizes go through together. Rounds are few where a graph is wide or consists of long chains, which are
 what large documents are; each round's rows are written to the shared folder (``fixpoint.cut``). What takes a round for
-each step is said where it does.
+each step is said where it does. When no more than ``LOCAL`` edges of a document are left, one task finishes them by the
+same steps over arrays.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .fixpoint import cut, some
 
 #: Rounds of trimming before chains are looked for again.
 TRIMS = 2
+#: Edges of a document that are left to one task.
+LOCAL = 200_000
 #: Statements whose reachability is computed at once by ``closure_sizes``.
 BLOCK = 1 << 16
 
@@ -36,9 +41,49 @@ def _of(df: DataFrame, **names: str) -> DataFrame:
     return df.select("doc_id", *(F.col(old).alias(new) for new, old in names.items()))
 
 
+def _divided(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges of documents of which at most ``LOCAL`` are left, those of the others)."""
+    sizes = edges.groupBy("doc_id").count()
+    small = sizes.filter(F.col("count") <= LOCAL).select("doc_id")
+    large_ = sizes.filter(F.col("count") > LOCAL).select("doc_id")
+    return edges.join(small, "doc_id", "left_semi"), edges.join(large_, "doc_id", "left_semi")
+
+
+def _type(df: DataFrame) -> str:
+    return f"doc_id {dict(df.dtypes)['doc_id']}"
+
+
 # Components: forward and backward reachability with trimming.
 
 
+def _strong_arrays(rows: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, v, comp) of one document's edges, as ``strong``."""
+    names, ends = np.unique(np.concatenate([rows["s"], rows["t"]]), return_inverse=True)
+    s, t = ends[: len(rows)], ends[len(rows) :]
+    comp = np.arange(len(names))
+    while len(s):
+        colour = np.arange(len(names))
+        while True:
+            before = colour.copy()
+            np.maximum.at(colour, t, colour[s])
+            if (before == colour).all():
+                break
+        back = np.zeros(len(names), bool)
+        back[np.concatenate([s, t])] = True
+        back &= colour == np.arange(len(names))
+        same = colour[s] == colour[t]
+        s, t = s[same], t[same]
+        while True:
+            more = back[t] & ~back[s]
+            if not more.any():
+                break
+            back[s[more]] = True
+        comp[back] = colour[back]
+        left = ~back[s] & ~back[t]
+        s, t = s[left], t[left]
+    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "v": names, "comp": names[comp]})
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Without edges at statements that nothing leads to or that lead nowhere, as far as a few rounds take it."""
     for _ in range(TRIMS):
@@ -59,12 +104,12 @@ def _unary(edges: DataFrame) -> DataFrame:
 def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(edges, chains (doc_id, v, a, b), rings (doc_id, v, comp)): chains of statements with one edge in and out become one edge.
 
-    Each end of a chain is found by pointer jumping, so a chain of n takes log2(n) rounds. Where a jump never leaves
+    None where fewer than a tenth of the edges would go. Each end of a chain is found by pointer jumping, so a chain of n takes log2(n) rounds. Where a jump never leaves
     such statements they are a ring, named by its least.
     """
     jump = cut(_unary(edges).withColumn("least", F.col("v")))
     n = jump.count()
-    if not n:
+    if not n or 10 * n < edges.count():
         return None
     for _ in range(n.bit_length() + 1):
         forth = jump.select("doc_id", F.col("v").alias("on"), F.col("on").alias("on2"), F.col("least").alias("least2"))
@@ -100,15 +145,19 @@ def strong(edges: DataFrame) -> DataFrame:
     found = [_of(edges, v="s", comp="s").limit(0)]
     chains: list[DataFrame] = []
     edges = cut(edges.filter("s <> t").distinct())
-    while some(edges):
+    while True:
+        small, rest = _divided(edges)
+        if some(small):
+            found.append(cut(small.groupBy("doc_id").applyInPandas(_strong_arrays, f"{_type(small)}, v long, comp long")))
+            edges = cut(rest)
+        if not some(edges):
+            break
         edges = _trimmed(edges)
-        while some(edges) and (shorter := _contracted(edges)):
+        if shorter := _contracted(edges):
             edges, chain, ring = shorter
             chains.append(chain)
             found.append(ring)
-            edges = _trimmed(edges)
-        if not some(edges):
-            break
+            continue
         colour = _coloured(edges)
         within = edges.join(_of(colour, s="v", c="c"), ["doc_id", "s"]).join(_of(colour, t="v", d="c"), ["doc_id", "t"]).filter("c = d")
         within = cut(within.select("doc_id", "s", "t", "c"))
@@ -149,6 +198,19 @@ def condensed(members: DataFrame, edges: DataFrame) -> DataFrame:
 # Levels.
 
 
+def _level_arrays(rows: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, v, level) of one document's edges, as ``levels``."""
+    names, ends = np.unique(np.concatenate([rows["s"], rows["t"]]), return_inverse=True)
+    s, t = ends[: len(rows)], ends[len(rows) :]
+    level = np.zeros(len(names), np.int64)
+    for _ in range(len(names)):
+        before = level.copy()
+        np.maximum.at(level, t, level[s] + 1)
+        if (before == level).all():
+            break
+    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "v": names, "level": level})
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, v, level): the most edges on a way to each node (doc_id, v) of a graph without cycles.
 
@@ -159,7 +221,12 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     state = nodes.select("doc_id", "v", F.lit(0).cast("long").alias("floor"))
     edges = edges.select("doc_id", "s", "t", F.lit(1).cast("long").alias("w"))
+    small, rest = _divided(edges)
     done: DataFrame | None = None
+    if some(small):
+        done = cut(small.groupBy("doc_id").applyInPandas(_level_arrays, f"{_type(small)}, v long, level long"))
+        state = cut(state.join(_of(done, v="v"), ["doc_id", "v"], "left_anti"))
+        edges = cut(rest)
     n = 0
     while True:
         n += 1

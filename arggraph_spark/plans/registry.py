@@ -448,3 +448,4 @@ def exact_candidates(spark, sf):
 
 
 from . import more as _more  # noqa: E402, F401  registers further queries
+from . import wide as _wide  # noqa: E402, F401

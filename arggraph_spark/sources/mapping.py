@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .corpus import Corpus
@@ -87,3 +87,38 @@ incidence as (select p.arg, p.part, p.layer, t.top, case when p.layer = t.top th
 props as (select p_partkey as part, p_partkey % 4 as layer, p_name, case when p_size % 2 = 0 then 'is' else 'ought' end as mode from part where p_partkey in (select part from incidence)),
 prop_ids as (select part, layer, sha256('4:prop,' || strlen(p_name) || ':' || p_name || ',' || strlen(mode) || ':' || mode || ',') as prop from props)
 """
+
+
+def trade_corpus(spark: SparkSession, sf_dir: str, open_every: int | None = 3) -> Corpus:
+    """One document with a statement for each order, concluded from the same customer's order before and the first of its day.
+
+    A customer's first order is concluded from the last, which makes rings of any lengths, but for customers that
+    ``open_every`` divides, whose orders are chains. The first of a day is that of the least customer and counts where
+    its customer's number is lower, so rings of different customers don't meet.
+    """
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderdate").alias("d"), "o_orderpriority", "o_orderstatus")
+    mine = Window.partitionBy("c").orderBy("k")
+    ring = F.lit(True) if open_every is None else F.col("c") % open_every != 0
+    before = F.coalesce(F.lag("k").over(mine), F.when(ring, F.max("k").over(Window.partitionBy("c"))))
+    days = orders.groupBy("d").agg(F.min(F.struct("c", "k")).alias("first"))
+    linked = orders.withColumn("before", before).join(days, "d").withColumn("day", F.when(F.col("first.c") < F.col("c"), F.col("first.k")))
+    doc, null = F.lit("trade").alias("doc_id"), F.lit(None).cast("string")
+    named = lambda c: F.concat(F.lit("o"), c.cast("string"))
+    premises = F.transform(F.array_compact(F.array("before", "day")), named)
+    arguments = linked.filter("before is not null or day is not null").select(doc, F.col("k").alias("ord"), F.concat(F.lit("a"), F.col("k").cast("string")).alias("id"), premises.alias("premises"), F.array(named(F.col("k"))).alias("conclusions"), F.concat(F.lit("order "), F.col("k").cast("string")).alias("justification"), null.alias("rule"), null.alias("meta_json"), null.alias("ext_json"))
+    statements = orders.select(doc, F.col("k").alias("ord"), named(F.col("k")).alias("id"), F.concat(F.lit("Order of "), "o_orderpriority").alias("text"), F.when(F.col("o_orderstatus") == "O", "ought").otherwise("is").alias("mode"), null.alias("meta_json"), null.alias("ext_json"))
+    docs = spark.range(1).select(doc, null.alias("source"), F.lit("0.1").alias("version"), F.lit("trade").alias("name"), null.alias("description"), null.alias("meta_json"), null.alias("ext_json"))
+    return Corpus(docs, statements, arguments)
+
+
+#: Premises, components (by their first statement) and levels of the same document; ``{ring}`` tells which customers have rings.
+TRADE_SQL = """
+ords as (select o_orderkey as k, o_custkey as c, o_orderdate as d, 'Order of ' || o_orderpriority as text, case when o_orderstatus = 'O' then 'ought' else 'is' end as mode from orders),
+linked as (select *, coalesce(lag(k) over (partition by c order by k), case when {ring} then max(k) over (partition by c) end) as before from ords),
+days as (select d, min({{'c': c, 'k': k}}) as first from ords group by d),
+given as (select k as arg, before as s from linked where before is not null union all select l.k, y.first.k from linked l join days y on y.d = l.d where y.first.c < l.c),
+comps as materialized (select k, c, case when {ring} then min(k) over (partition by c) else k end as comp, {ring} as cyclic from ords),
+steps as materialized (select distinct a.comp as s, b.comp as t from given g join comps a on a.k = g.s join comps b on b.k = g.arg where a.comp <> b.comp),
+way(comp, n) as (select comp, 0 from comps union select t, n + 1 from way join steps on s = way.comp),
+level as materialized (select comp, max(n) as level from way group by comp)
+"""
