@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import H, canon, prop_id
 from ..sources.corpus import Corpus, per_document
+from .fixpoint import cut
 from .graph import _schema
 from .net import Net
 
@@ -46,29 +47,26 @@ def argument_hashes(corpus: Corpus) -> DataFrame:
 def layered_identities(corpus: Corpus, layer_of: DataFrame, layers: int) -> tuple[DataFrame, DataFrame]:
     """Justified ids and argument hashes of an acyclic corpus by one join and one aggregate a layer.
 
-    ``layer_of`` (doc_id, id, layer): every argument's premises lie in lower layers than its conclusions. For documents
-    too large for one task; hashes of arguments don't depend on ids of their conclusions, so each is made once.
+    ``layer_of`` (doc_id, id, layer): every argument's premises lie in lower layers than its conclusions; without it see
+    ``large.identities``. Arguments' hashes are a plan over all statements' ids, run only if they are asked for.
     """
-    statements = corpus.statements.select("doc_id", "id", prop_id(F.col("text"), F.col("mode")).alias("prop")).join(layer_of, ["doc_id", "id"]).persist()
-    concluded = corpus.conclusions.select("doc_id", F.col("arg_id").alias("arg"), F.col("stmt_id").alias("id")).join(statements, ["doc_id", "id"]).persist()
+    empty = F.array().cast("array<string>")
+    statements = corpus.statements.select("doc_id", "id", prop_id(F.col("text"), F.col("mode")).alias("prop")).join(layer_of, ["doc_id", "id"])
+    concluded = cut(corpus.conclusions.select("doc_id", F.col("arg_id").alias("arg"), F.col("stmt_id").alias("id")).join(statements, ["doc_id", "id"]))
     ends = concluded.groupBy("doc_id", "arg").agg(F.sort_array(F.collect_list("prop")).alias("props"), F.max("layer").alias("layer"))
-    why = corpus.arguments.select("doc_id", F.col("id").alias("arg"), canon(F.col("justification")).alias("why"))
-    args = why.join(ends, ["doc_id", "arg"]).persist()
-    premises = corpus.premises.select("doc_id", F.col("arg_id").alias("arg"), F.col("stmt_id").alias("id"))
-    from .fixpoint import cut
+    why = corpus.arguments.select("doc_id", F.col("id").alias("arg"), "premises", canon(F.col("justification")).alias("why"))
+    args = cut(why.join(ends, ["doc_id", "arg"]))
+    alone = statements.join(concluded.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
+    just = cut(alone.select("doc_id", "id", "prop", "layer", H("just", F.col("prop"), (empty,)).alias("just_id")))
+
+    def hashed(some: DataFrame, known: DataFrame) -> DataFrame:
+        met = some.select("doc_id", "arg", F.explode("premises").alias("id")).join(known.select("doc_id", "id", "just_id"), ["doc_id", "id"])
+        lists = met.groupBy("doc_id", "arg").agg(F.sort_array(F.collect_list("just_id")).alias("justs"))
+        used = some.join(lists, ["doc_id", "arg"], "left")
+        return used.select("doc_id", "arg", H("arg", F.col("why"), (F.coalesce("justs", empty),), (F.col("props"),)).alias("arg_hash"))
 
-    just = hashes = None
     for k in range(layers):
-        here = args.filter(F.col("layer") == k)
-        if just is None:
-            used = here.withColumn("justs", F.array().cast("array<string>"))
-        else:
-            met = premises.join(just, ["doc_id", "id"]).groupBy("doc_id", "arg").agg(F.sort_array(F.collect_list("just_id")).alias("justs"))
-            used = here.join(met, ["doc_id", "arg"], "left").withColumn("justs", F.coalesce("justs", F.array().cast("array<string>")))
-        new = cut(used.select("doc_id", "arg", H("arg", F.col("why"), (F.col("justs"),), (F.col("props"),)).alias("arg_hash")))
-        hashes = new if hashes is None else hashes.unionByName(new)
-        into = concluded.filter(F.col("layer") == k).select("doc_id", "id", "arg").join(new, ["doc_id", "arg"]).groupBy("doc_id", "id").agg(F.sort_array(F.collect_list("arg_hash")).alias("args"))
-        level = statements.filter(F.col("layer") == k).join(into, ["doc_id", "id"], "left")
-        level = cut(level.select("doc_id", "id", "prop", H("just", F.col("prop"), (F.coalesce("args", F.array().cast("array<string>")),)).alias("just_id")))
-        just = level if just is None else just.unionByName(level)
-    return just, hashes
+        here = hashed(args.filter(F.col("layer") == k), just)
+        level = concluded.filter(F.col("layer") == k).join(here, ["doc_id", "arg"]).groupBy("doc_id", "id").agg(F.first("prop").alias("prop"), F.first("layer").alias("layer"), F.sort_array(F.collect_list("arg_hash")).alias("args"))
+        just = just.unionByName(cut(level.select("doc_id", "id", "prop", "layer", H("just", F.col("prop"), (F.col("args"),)).alias("just_id"))))
+    return just.drop("layer"), hashed(args, just)

@@ -13,6 +13,7 @@ from ..functions.text import canon, netstring, netstrings
 from ..sources.corpus import Corpus, per_document
 from ..sources.documents import ARGUMENT_FIELDS, STATEMENT_FIELDS, as_item, to_json
 from . import identity
+from .fixpoint import cut
 from .graph import _schema
 
 
@@ -37,12 +38,26 @@ def _alone(t: DataFrame, status: str, side: str) -> DataFrame:
     return t.select("doc_id", F.lit(status).alias("status"), *ids, F.col("ord").cast("long").alias("seq"), F.lit(1).cast("long").alias("rank"))
 
 
+def both(a: Corpus, b: Corpus) -> Corpus:
+    """Two versions as one corpus whose documents are keyed by (version 0 or 1, doc_id), so that what is made of both is made in one pass."""
+    key = lambda t, n: t.withColumn("doc_id", F.struct(F.lit(n).alias("version"), F.col("doc_id").alias("doc_id")))
+    return Corpus(*(key(x, 0).unionByName(key(y, 1)) for x, y in ((a.docs, b.docs), (a.statements, b.statements), (a.arguments, b.arguments))))
+
+
+def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``both`` by version, with the documents' own ids."""
+    side = lambda n: rows.filter(F.col("doc_id.version") == n).withColumn("doc_id", F.col("doc_id.doc_id"))
+    return side(0), side(1)
+
+
 def diff_statements(a: Corpus, b: Corpus, ids_a: DataFrame | None = None, ids_b: DataFrame | None = None) -> DataFrame:
     """(doc_id, status, id_a, id_b, seq, rank): identical (same justified id), rejustified (same proposition), added, removed.
 
     Within a status the order is that of (seq, rank): of pairs, the place where their key first stands in ``a``.
     """
-    ia, ib = (x if x is not None else identity.statement_ids(c) for x, c in ((ids_a, a), (ids_b, b)))
+    if ids_a is None or ids_b is None:
+        ids_a, ids_b = apart(cut(identity.statement_ids(both(a, b))))
+    ia, ib = ids_a, ids_b
     same = _match(ia, ib, "just_id")
     ra, rb = _left(ia, same, "a"), _left(ib, same, "b")
     again = _match(ra, rb, "prop_id")
@@ -52,7 +67,7 @@ def diff_statements(a: Corpus, b: Corpus, ids_a: DataFrame | None = None, ids_b:
 
 def diff_arguments(a: Corpus, b: Corpus) -> DataFrame:
     """(doc_id, status, id_a, id_b, seq, rank): identical, added or removed, by argument hash."""
-    ha, hb = identity.argument_hashes(a), identity.argument_hashes(b)
+    ha, hb = apart(cut(identity.argument_hashes(both(a, b))))
     same = _match(ha, hb, "arg_hash")
     return _rows(same, "identical").unionByName(_alone(_left(hb, same, "b"), "added", "b")).unionByName(_alone(_left(ha, same, "a"), "removed", "a"))
 

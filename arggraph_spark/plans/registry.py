@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
 from ..operators import editing, extraction, graph, identity, rendering, reports, versions
+from ..operators.fixpoint import cut
 from ..sources import documents
 from ..sources.corpus import Corpus
 from ..sources.mapping import LAYERS_SQL, ORDERS_SQL, layers_corpus, orders_corpus
@@ -260,13 +261,12 @@ union all select 'removed', 'p' || part, null from la where part not in (select
 
 @_query(_DIFF, base=LAYERS_SQL)
 def diff_statements(spark, sf):
+    """Identities of both versions in one pass, layer by layer."""
     a = layers_corpus(spark, sf)
     b = _layers_edited(a)
-    ids = []
-    for c in (a, b):
-        just, _ = _layered(c)
-        ids.append(just.withColumnRenamed("prop", "prop_id").join(c.statements.select("doc_id", "id", "ord"), ["doc_id", "id"]))
-    return versions.diff_statements(a, b, *ids).select("status", "id_a", "id_b")
+    c = versions.both(a, b)
+    just = _layered(c)[0].withColumnRenamed("prop", "prop_id").join(c.statements.select("doc_id", "id", "ord"), ["doc_id", "id"])
+    return versions.diff_statements(a, b, *versions.apart(cut(just))).select("status", "id_a", "id_b")
 
 
 @_query("""+ size as (select doc_id, aid, count(*) filter (side = 'p') as p, count(*) filter (side = 'c') as c from incidence group by 1, 2),

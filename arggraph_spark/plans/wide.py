@@ -49,12 +49,12 @@ _ARG = "sha256('3:arg,' || strlen('order ' || arg) || ':order ' || arg || case w
 #: Level by level: each step keeps the rows so far and adds those of the next level.
 _RING_IDS = f"""+ props as materialized (select o.k, c.comp, level, sha256('4:prop,' || strlen(text) || ':' || text || ',' || strlen(mode) || ':' || mode || ',') as prop from ords o join comps c using (k) join level using (comp)),
 args as materialized (select l.k as arg, l.before, case when y.first.c < l.c then y.first.k end as day, p.prop, p.comp, p.level, b.prop as before_prop from linked l join days y on y.d = l.d join props p on p.k = l.k join props b on b.k = l.before),
-done(n, k, just, scc) as (select -1, null::bigint, null::varchar, null::varchar union all
+done(n, k, just, scc) as (select -1, null::bigint, null::varchar, null::varchar union all select * from (
   select n + 1, k, just, scc from done where n < (select max(level) from level) and (k is not null or n = -1)
   union all
   select x.n, p.k, sha256('7:justscc,64:' || scc || ',64:' || p.prop || ','), scc from (
     select n, comp, sha256('3:scc,' || strlen('#' || count(*)) || ':#' || count(*) || ',' || string_agg('64:' || prop || ',', '' order by prop) || strlen('#' || count(*)) || ':#' || count(*) || ',' || string_agg('64:' || h || ',', '' order by h)) as scc
-    from (select a.comp, a.prop, z.n, {_ARG.format("before_prop", "d.just")} as h from args a join (select max(n) + 1 as n from done) z on a.level = z.n left join done d on d.k = a.day) group by n, comp) x join props p using (comp)),
+    from (select a.comp, a.prop, z.n, {_ARG.format("before_prop", "d.just")} as h from args a join (select max(n) + 1 as n from done) z on a.level = z.n left join done d on d.k = a.day) group by n, comp) x join props p using (comp))),
 ids as materialized (select k, any_value(just) as just, any_value(scc) as scc from done where k is not null group by k)
 """
 
