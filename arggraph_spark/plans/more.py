@@ -569,7 +569,7 @@ def present_foundations(spark, sf):
 @_query("""with b as (select page_id, html from pages)
 select page_id as doc_id, len(regexp_extract_all(html, '(?i)<h[123][^>]*>[^<]*[^<\\s][^<]*</h[123]>')) as headings from b""", base="")
 def page_headings(spark, sf):
-    """Headings of every page that hold text alone."""
+    """How many headings with text every page has."""
     table = _table(spark, sf, "pages")
     counted = pages.tagged_blocks(table).groupBy("doc_id").agg(F.count_if(F.col("tag").startswith("h")).alias("headings"))
     return table.select(F.col("page_id").alias("doc_id")).join(counted, "doc_id", "left").select("doc_id", F.coalesce("headings", F.lit(0)).cast("long").alias("headings"))

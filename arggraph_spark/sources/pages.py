@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,41 +14,52 @@ from ..functions.text import collapse
 HEADINGS = ("h1", "h2", "h3")
 BLOCKS = (*HEADINGS, "p", "div", "pre")
 
+#: What a page is cut into: comments, scripts and styles as a whole, tags with quoted attributes, declarations, text.
+_PIECES = r"""(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|</?[a-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*>|[^<]+|<"""
+_VERBATIM = r"(?is)^<(?:script|style)\b[^>]*>(.*)</(?:script|style)\s*>$"
+_BLOCK = f"(?i)^</?({'|'.join(BLOCKS)})(?:[\\s/].*)?>$"
 
-class _Blocks(HTMLParser):
-    """The texts of block elements, each when it closes; text belongs to the innermost open block."""
 
-    def __init__(self):
-        super().__init__()
-        self.open: list[tuple[str, list[str]]] = []
-        self.found: list[tuple[str, str]] = []
+@F.pandas_udf(T.StringType())
+def _unescaped(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
 
-    def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
-            self.open.append((tag, []))
-        elif tag == "br":
-            self.handle_data(" ")
 
-    def handle_endtag(self, tag):
-        if self.open and self.open[-1][0] == tag:
-            self.found.append((tag, "".join(self.open.pop()[1])))
+def _events(page: Column) -> Column:
+    """The page as an array of (block, open, text): a block's start or end, or text, which has no block."""
+    piece = lambda x: F.regexp_replace(x, "\\s+", " ")  # noqa: E731  so that . meets every character of a tag
+    block = lambda x: F.lower(F.regexp_extract(piece(x), _BLOCK, 1))
+    said = lambda x: F.when(~x.startswith("<") | (x == "<"), x).when(x.rlike(r"(?i)^<br[\s/>]"), " ").when(x.rlike(_VERBATIM), F.regexp_extract(x, _VERBATIM, 1))
+    pieces = F.regexp_extract_all(F.coalesce(page, F.lit("")), F.lit(_PIECES), F.lit(0))
+    events = F.transform(pieces, lambda x: F.struct(block(x).alias("block"), (~x.startswith("</")).alias("open"), said(x).alias("text")))
+    return F.filter(events, lambda e: (e["block"] != "") | e["text"].isNotNull())
 
-    def handle_data(self, data):
-        if self.open:
-            self.open[-1][1].append(data)
 
+def blocks(page: Column) -> Column:
+    """The closed blocks of a page, an array of (tag, text) in the order they close; null has none.
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])))
-def blocks(html: pd.Series) -> pd.Series:
-    """The closed blocks of a page in order; null has none."""
+    Text counts for the innermost open block. An end that isn't that of the innermost open block is passed over. This is
+    a fold over the page's events in the plan; character references are resolved by the caller.
+    """
+    kind = "array<struct<tag:string,text:string>>"
+    none = F.array().cast(kind)
+
+    def step(state: Column, e: Column) -> Column:
+        held, n = state["held"], F.size(state["held"])
+        top = F.try_element_at(held, F.lit(-1))
+        below = F.slice(held, F.lit(1), F.greatest(n - 1, F.lit(0)))
+        entered = F.array_append(held, F.struct(e["block"].alias("tag"), F.lit("").alias("text")))
+        told = F.array_append(below, F.struct(top["tag"].alias("tag"), F.concat(top["text"], e["text"]).alias("text")))
+        ends = (e["block"] != "") & ~e["open"] & (top["tag"] == e["block"])
+        now = F.when((e["block"] != "") & e["open"], entered).when(ends, below).when((e["block"] == "") & (n > 0), told).otherwise(held)
+        return F.struct(now.alias("held"), F.when(ends, F.array_append(state["closed"], top)).otherwise(state["closed"]).alias("closed"))
+
+    return F.aggregate(_events(page), F.struct(none.alias("held"), none.alias("closed")), step, lambda s: s["closed"])
 
-    def parsed(x):
-        p = _Blocks()
-        p.feed(x or "")
-        p.close()
-        return [{"tag": t, "text": s} for t, s in p.found]
 
-    return html.map(parsed)
+def _resolved(text: Column) -> Column:
+    """Character references as characters; texts without any don't go to Python."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def tagged_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", part: Column | None = None) -> DataFrame:
@@ -58,7 +69,7 @@ def tagged_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     is its text alone. ``part`` (of ``text`` and ``nth``, the heading's number) names the part that a heading opens, or
     is null where it opens none; by default every heading opens one, named by its number.
     """
-    rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(blocks(F.col(html_col))).alias("n", "b")).select("doc_id", "n", "b.tag", collapse(F.col("b.text")).alias("text"))
+    rows = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(blocks(F.col(html_col))).alias("n", "b")).select("doc_id", "n", "b.tag", collapse(_resolved(F.col("b.text"))).alias("text"))
     rows = rows.filter((F.col("text") != "") & F.col("tag").isin(*HEADINGS, "p"))
     order = Window.partitionBy("doc_id").orderBy("n")
     title = F.col("tag").isin(*HEADINGS)

@@ -18,6 +18,9 @@ def test_pages_become_tagged_text(spark):
     got = {r.doc_id: r.text for r in pages.tagged_text(rows).collect()}
     assert got[1] == "before\n\n# Part One\n\n[1.1] a b & c\n\n[1.2] d\n\n# Note\n\n[2.1] f\n\n[2.2] e\n"
     assert got[2] == "" and got[3] == "# x\n"
+    odd = '<P CLASS="a > b">one<!-- <p>no</p> --> &lt;two&gt;</P>\n<p\nid=x>a<script>if (a<b) "</p>";</script>b</p><p/><pre>x</div></pre><p>1 < 2</p><p>&eacute;<BR/>z</p></p>'
+    rows_ = spark.createDataFrame([(1, odd)], "page_id long, html string")
+    assert [r.text for r in pages.tagged_blocks(rows_).orderBy("n").collect()] == ["one <two>", 'aif (a<b) "</p>";b', "1 < 2", "é z"]
     only = F.when(F.upper("text") == "PART ONE", "I")
     assert "[I.3] f" in {r.doc_id: r.text for r in pages.tagged_text(rows, part=only).collect()}[1]
     seg = extraction.segmentation(pages.tagged_text(rows)).collect()
