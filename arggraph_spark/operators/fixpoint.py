@@ -6,7 +6,8 @@ import atexit
 import inspect
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def shared_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder in the shared one, deleted at the end; what reads it must have been written elsewhere by then."""
+    path = f"{_shared(spark)}/folder-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def some(df: DataFrame) -> bool:
     return not df.isEmpty()
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import large
-from ..sources.mapping import LAYERS_SQL, TRADE_SQL, layers_corpus, trade_corpus
+from ..operators.fixpoint import shared_folder
+from ..sources import datasource, documents
+from ..sources.mapping import LAYERS_SQL, TRADE_SQL, layers_corpus, orders_corpus, trade_corpus
 from .more import _layered_sql
 from .registry import _query
 
@@ -68,3 +72,13 @@ def large_statement_ids(spark, sf):
 @_query(_RING_IDS + f"select 'a' || arg as id, {_ARG.format('b.just', 'd.just')} as arg_hash from args a join ids b on b.k = a.before left join ids d on d.k = a.day", base=_RINGS, recursive=True)
 def large_argument_hashes(spark, sf):
     return large.identities(trade_corpus(spark, sf, open_every=None))[1].select("id", "arg_hash")
+
+
+@_query("select doc_id::varchar as doc_id, id, text, mode from statements")
+def source_round_trip(spark, sf):
+    """Every document through the data source, written and read."""
+    datasource.register(spark)
+    with shared_folder(spark) as folder:
+        documents.to_json(orders_corpus(spark, sf), None).select(F.col("doc_id").cast("string").alias("doc_id"), "json").write.format(datasource.NAME).mode("overwrite").save(folder)
+        back = documents.parse(spark.read.format(datasource.NAME).load(folder))
+    return back.statements.select("doc_id", "id", "text", "mode")

@@ -201,7 +201,7 @@ _ROW = "doc_id string, kind string, ord int, id string, a string, b string, c st
 def parse(raw: DataFrame, id_col: str = "doc_id", json_col: str = "json", permissive: bool = False) -> Corpus:
     """A corpus from a column of JSON texts. Documents with problems have rows in ``problems`` only; ``permissive`` keeps their sound part.
 
-    Texts are parsed once; the tables are filters of that one result, which is cached.
+    Texts are parsed once; the tables are filters of that one result, which is written to the shared folder.
     """
 
     def text(o: dict, k: str):
@@ -225,7 +225,9 @@ def parse(raw: DataFrame, id_col: str = "doc_id", json_col: str = "json", permis
         for i, a in enumerate(d["arguments"]):
             yield key, "argument", i, a["id"], a["justification"], a.get("rule"), None, a["premises"], a["conclusions"], text(a, "meta"), text(a, "ext")
 
-    rows = per_document(raw.select(F.col(id_col).cast("string").alias("doc_id"), F.col(json_col).alias("json")), kernel, _ROW).persist()
+    from ..operators.fixpoint import cut
+
+    rows = cut(per_document(raw.select(F.col(id_col).cast("string").alias("doc_id"), F.col(json_col).alias("json")), kernel, _ROW))
     of = lambda kind: rows.filter(F.col("kind") == kind)
     null = F.lit(None).cast("string")
     docs = of("doc").select("doc_id", null.alias("source"), F.col("id").alias("version"), F.col("a").alias("name"), F.col("b").alias("description"), "meta_json", "ext_json")
