@@ -112,7 +112,7 @@ def downstream_closure(spark, sf):
 
 @_query(_UP + " select doc_id, src, dst from up", recursive=True)
 def upstream_closure_by_joins(spark, sf):
-    return graph.closure(orders_corpus(spark, sf).edges.persist(), up=True).select("doc_id", "src", "dst")
+    return graph.closure(orders_corpus(spark, sf).edges, up=True).select("doc_id", "src", "dst")
 
 
 @_query("""+ hop as (select doc_id, src, dst from edges union select doc_id, dst, src from edges),

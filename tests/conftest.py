@@ -11,6 +11,7 @@ sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve
 def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "2g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
