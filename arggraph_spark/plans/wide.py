@@ -82,3 +82,45 @@ def source_round_trip(spark, sf):
         documents.to_json(orders_corpus(spark, sf), None).select(F.col("doc_id").cast("string").alias("doc_id"), "json").write.format(datasource.NAME).mode("overwrite").save(folder)
         back = documents.parse(spark.read.format(datasource.NAME).load(folder))
     return back.statements.select("doc_id", "id", "text", "mode")
+
+
+# Structural faults.
+
+_S, _A = '[{"id": "s", "text": "S", "mode": "is"}]', '[{"id": "a", "premises": [], "conclusions": ["s"], "justification": "j"}]'
+
+
+def _text(head: str = '"version": "0.1"', statements: str = _S, arguments: str = _A, more: str = "") -> str:
+    return f'{{"format": "{documents.FORMAT}", {head}, "statements": {statements}, "arguments": {arguments}{more}}}'
+
+
+#: A document by the number of an order, and what is wrong with it.
+_CASES: list[tuple[str, list[str]]] = [
+    (_text(), []),
+    ("[1]", ["document: must be a JSON object"]),
+    (_text(head='"name": 1'), ["document: missing required field 'version'", "document: 'name' must be a string"]),
+    (_text(more=', "description": null'), ["document: 'description' must be a string"]),
+    (_text(more=', "meta": [], "ext": {"x": 1, "y": {}}'), ["document: 'meta' must be an object", "document: ext['x'] must be an object (each ext key is a namespace)"]),
+    (_text(statements="{}"), ["document: 'statements' must be an array"]),
+    (_text(statements='["s"]'), ["statements[0]: must be an object"]),
+    (_text(statements='[{"id": "a b", "text": "", "mode": "is"}]'), ["statements[0]: 'id' must be a non-empty string without whitespace, got 'a b'", "statements[0]: 'text' must be a non-empty string"]),
+    (_text(statements='[{"id": "s", "text": "S", "mode": "is"}, {"id": "s", "text": "T", "mode": "is"}]'), ["statements[1]: duplicate statement id 's'"]),
+    (_text(arguments='[{"id": "a", "premises": "s", "conclusions": [], "justification": null}]'), ["arguments[0] (a): 'premises' must be an array of statement ids", "arguments[0] (a): 'conclusions' must have at least 1 item(s)", "arguments[0] (a): 'justification' must be a string"]),
+    (_text(arguments='[{"id": "a", "premises": ["s", "s", 2], "conclusions": ["s"], "rule": 3, "justification": ""}]'), ["arguments[0] (a): premises[2] must be a statement id (non-empty string without whitespace), got 2", "arguments[0] (a): 'premises' contains duplicate ids", "arguments[0] (a): 'rule' must be a string"]),
+    (_text(arguments='[{"premises": [], "conclusions": ["s"], "justification": "j", "why": 1}]'), ["arguments[0]: unknown field 'why' (extensions belong under 'ext')", "arguments[0]: missing required field 'id'"]),
+    (_text(arguments='[{"id": "a", "premises": ["t"], "conclusions": ["u"], "justification": "j"}, {"id": "a", "premises": [], "conclusions": ["s"], "justification": "j"}]'), ["arguments[0] (a): premises references unknown statement 't'", "arguments[0] (a): conclusions references unknown statement 'u'", "arguments[1]: duplicate argument id 'a'"]),
+]
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_SAID = ", ".join(f"({i}, {j}, {_quoted(m)})" for i, (_, found) in enumerate(_CASES) for j, m in enumerate(found))
+
+
+@_query(f"select o_orderkey::varchar as doc_id, seq::bigint as seq, message from orders join (values {_SAID}) as said(fault, seq, message) on fault = o_orderkey % {len(_CASES)}", base="")
+def structural_faults(spark, sf):
+    """A document for each order, with a fault by its number."""
+    text = F.element_at(F.array(*(F.lit(t) for t, _ in _CASES)), (F.col("o_orderkey") % len(_CASES) + 1).cast("int"))
+    raw = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), text.alias("json"))
+    return documents.parse(raw).problems.select("doc_id", F.col("seq").cast("long").alias("seq"), "message")
