@@ -51,7 +51,7 @@ def layered_identities(corpus: Corpus, layer_of: DataFrame, layers: int) -> tupl
     ``large.identities``. Arguments' hashes are a plan over all statements' ids, run only if they are asked for.
     """
     empty = F.array().cast("array<string>")
-    statements = corpus.statements.select("doc_id", "id", prop_id(F.col("text"), F.col("mode")).alias("prop")).join(layer_of, ["doc_id", "id"])
+    statements = cut(corpus.statements.select("doc_id", "id", prop_id(F.col("text"), F.col("mode")).alias("prop")).join(layer_of, ["doc_id", "id"]))
     concluded = cut(corpus.conclusions.select("doc_id", F.col("arg_id").alias("arg"), F.col("stmt_id").alias("id")).join(statements, ["doc_id", "id"]))
     ends = concluded.groupBy("doc_id", "arg").agg(F.sort_array(F.collect_list("prop")).alias("props"), F.max("layer").alias("layer"))
     why = corpus.arguments.select("doc_id", F.col("id").alias("arg"), "premises", canon(F.col("justification")).alias("why"))
