@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
+from itertools import product
 from operator import or_
 
 from pyspark.sql import DataFrame
@@ -74,6 +75,62 @@ SENTENCES = {
     "spdx-isc": "SPDX-License-Identifier: ISC",
     "spdx-zlib": "SPDX-License-Identifier: Zlib",
     "spdx-cc0": "SPDX-License-Identifier: CC0-1.0",
+    "bsd-endorse-other": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "gpl2-only-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl3-only-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    "lgpl2-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "apache-title": "Apache License Version 2.0, January 2004",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl2-title": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "epl1-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "ofl-notice": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "artistic2-terms": "This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed",
+    "afl3-notice": "Licensed under the Academic Free License version 3.0",
+    "wtfpl-title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "cc-by-3-deed": "This work is licensed under a Creative Commons Attribution 3.0 Unported License",
+    "cc-by-sa-3-deed": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "cc-by-nc-3-deed": "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License",
+    "cc-by-nd-3-deed": "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License",
+    "cc-by-nc-sa-3-deed": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License",
+}
+
+#: Further forms of sentences. <a|b|> is one of these words or none, {n} up to n words of any kind (a holder's name).
+FORMS = {
+    "apache-notice": ["<Licensed|Released|Distributed|Available> under the Apache License <|Version|v> 2.0"],
+    "apache-notice-the": ['<This file is licensed|This software is licensed|This project is licensed|The ASF licenses this file to You> under the Apache License, Version 2.0 (the "License")'],
+    "apache-compliance": ["you may not use this <work|software|project> except in compliance with the License"],
+    "apache-copy": ["You may obtain a copy of the License at <http|https> www.apache.org/licenses/LICENSE-2.0 <|txt|html>"],
+    "mit-notice": ["<Distributed|Available|Published> under the MIT License"],
+    "mit-notice-licensed": ["This <project|software|code|package|library> is licensed under the MIT License"],
+    "mit-grant": [SENTENCES["mit-grant"].replace("the rights", "on the rights")],
+    "mit-condition": ["The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"],
+    "mit-as-is": [SENTENCES["mit-as-is"].replace("AND NONINFRINGEMENT", "<AND|> <NONINFRINGEMENT|NON-INFRINGEMENT> <|OF THIRD PARTY RIGHTS>")],
+    "mit-liability": [SENTENCES["mit-liability"].replace("THE AUTHORS OR COPYRIGHT HOLDERS", "{16}")],
+    "isc-grant": [SENTENCES["isc-grant"].replace("and/or", "and")],
+    "0bsd-grant": [SENTENCES["0bsd-grant"].replace("and/or", "and")],
+    "bsd-source": [SENTENCES["bsd-source"].replace("Redistributions", "<Redistribution|Redistributions>") + " <|in this position and unchanged>"],
+    "bsd-binary": [SENTENCES["bsd-binary"].replace("Redistributions", "Redistribution")],
+    "bsd-endorse": ["Neither the <name|names> of {16} nor the names of <its|their|the|> contributors may be used to endorse or promote products derived from this software without <specific|> prior written permission"],
+    "bsd-endorse-other": [
+        "The <name|names> of {16} may not be used to endorse or promote products derived from this software without <specific prior|prior|specific> written permission",
+        "Neither the <name|names> of {40} endorse or promote products derived from this software without <specific prior|prior|specific> written permission",
+    ],
+    "bsd-as-is": [SENTENCES["bsd-as-is"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "{16}")],
+    "bsd-liability": [SENTENCES["bsd-liability"].replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "{16}")],
+    "gpl2-grant": [SENTENCES["gpl2-grant"].replace("This program", "<This file|This software|It>")],
+    "gpl3-grant": [SENTENCES["gpl3-grant"].replace("This program", "<This file|This software|It>")],
+    "gpl2-only-grant": [SENTENCES["gpl2-only-grant"].replace("version 2", "version 2 only"), SENTENCES["gpl2-grant"].replace("either version 2 of the License, or (at your option) any later version", "version 2 of the License")],
+    "gpl3-only-grant": [SENTENCES["gpl3-only-grant"].replace("version 3", "version 3 only"), SENTENCES["gpl3-grant"].replace("either version 3 of the License, or (at your option) any later version", "version 3 of the License")],
+    "gpl-hope": [SENTENCES["gpl-hope"].replace("This program", "<This file|This software|It>")],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "epl1-notice": [SENTENCES["epl1-notice"].replace("http:", "https:")],
+    "epl2-notice": [SENTENCES["epl2-notice"].replace("https:", "http:")],
 }
 
 #: Rule name, licence, and the identifiers that must follow one another among a text's known sentences.
@@ -126,10 +183,44 @@ RULES = [
     ("cc-by-nc-deed", "CC-BY-NC-4.0", ["cc-by-nc-deed"]),
     ("cc-by-nd-deed", "CC-BY-ND-4.0", ["cc-by-nd-deed"]),
     ("cc-by-nc-sa-deed", "CC-BY-NC-SA-4.0", ["cc-by-nc-sa-deed"]),
+    ("mit-text-short", "MIT", ["mit-grant", "mit-condition"]),
+    ("bsd-3-text-other", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-other"]),
+    ("bsd-4-text", "BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"]),
+    ("bsd-4-text-other", "BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse-other"]),
+    ("0bsd-text", "0BSD", ["0bsd-grant"]),
+    ("gpl-2-grant", "GPL-2.0", ["gpl2-grant"]),
+    ("gpl-3-grant", "GPL-3.0", ["gpl3-grant"]),
+    ("gpl-2-only-grant", "GPL-2.0", ["gpl2-only-grant"]),
+    ("gpl-3-only-grant", "GPL-3.0", ["gpl3-only-grant"]),
+    ("lgpl-2-grant", "LGPL-2.0", ["lgpl2-grant"]),
+    ("lgpl-2.1-grant", "LGPL-2.1", ["lgpl2.1-grant"]),
+    ("lgpl-3-grant", "LGPL-3.0", ["lgpl3-grant"]),
+    ("agpl-3-grant", "AGPL-3.0", ["agpl3-grant"]),
+    ("apache-2.0-title", "Apache-2.0", ["apache-title"]),
+    ("gpl-2-title", "GPL-2.0", ["gpl2-title"]),
+    ("gpl-3-title", "GPL-3.0", ["gpl3-title"]),
+    ("lgpl-2-title", "LGPL-2.0", ["lgpl2-title"]),
+    ("lgpl-2.1-title", "LGPL-2.1", ["lgpl2.1-title"]),
+    ("lgpl-3-title", "LGPL-3.0", ["lgpl3-title"]),
+    ("agpl-3-title", "AGPL-3.0", ["agpl3-title"]),
+    ("epl-1-notice", "EPL-1.0", ["epl1-notice"]),
+    ("ofl-1.1-notice", "OFL-1.1", ["ofl-notice"]),
+    ("artistic-2-terms", "Artistic-2.0", ["artistic2-terms"]),
+    ("afl-3-notice", "AFL-3.0", ["afl3-notice"]),
+    ("wtfpl-title", "WTFPL", ["wtfpl-title"]),
+    ("cc-by-3-deed", "CC-BY-3.0", ["cc-by-3-deed"]),
+    ("cc-by-sa-3-deed", "CC-BY-SA-3.0", ["cc-by-sa-3-deed"]),
+    ("cc-by-nc-3-deed", "CC-BY-NC-3.0", ["cc-by-nc-3-deed"]),
+    ("cc-by-nd-3-deed", "CC-BY-ND-3.0", ["cc-by-nd-3-deed"]),
+    ("cc-by-nc-sa-3-deed", "CC-BY-NC-SA-3.0", ["cc-by-nc-sa-3-deed"]),
 ]
 
 _END = "[.;!?]+([ \\t\\r\\n]|$)"
 _STOP = "[.;:!?]+[ \\t\\r\\n]"
+#: A label of a list at a part's start: a short number, a letter or a small Roman number before a closing bracket.
+_LABEL = "\n[^A-Za-z0-9\n]*([0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4})[)]"
+#: Letters of a word that may stand for a placeholder, at most.
+WORD = 40
 
 
 def normalised(sentence: str) -> str:
@@ -137,9 +228,22 @@ def normalised(sentence: str) -> str:
     return " ".join(filter(None, (re.sub("[^A-Za-z0-9]+", " ", p).strip().lower() for p in parts)))
 
 
+@cache
+def variants() -> list[tuple[str, int, str, str]]:
+    """(head, most, tail, id) of every form, those with most fixed letters first; without a placeholder most is 0 and tail empty."""
+    out: dict[tuple[str, int, str], str] = {}
+    for key, form in [*SENTENCES.items(), *((k, f) for k, forms in FORMS.items() for f in forms)]:
+        for words in product(*(c.split("|") for c in re.findall("<([^>]*)>", form))):
+            rest = iter(words)
+            head, _, tail = re.sub("<[^>]*>", lambda _: next(rest), form).partition("{")  # noqa: B023
+            most, _, tail = tail.partition("}")
+            out.setdefault((normalised(head), int(most or 0), normalised(tail)), key)
+    return sorted(((*v, k) for v, k in out.items()), key=lambda v: (-len(v[0]) - len(v[2]), v))
+
+
 def telling_words() -> list[str]:
     """Few words of which every known sentence contains one; texts with none of them have no known sentence."""
-    left = {normalised(s) for s in SENTENCES.values()}
+    left = {f"{head} {tail}" for head, _, tail, _ in variants()}
     chosen = []
     while left:
         best = max(sorted({w for s in left for w in s.split()}), key=lambda w: (sum(w in s for s in left) if len(w) > 6 else 0, len(w)))
@@ -148,9 +252,14 @@ def telling_words() -> list[str]:
     return chosen
 
 
+def pattern(head: str, most: int, tail: str, between: str) -> str:
+    gap = f"(?:{between}[a-z0-9]{{1,{WORD}}}){{1,{most}}}?{between}{tail.replace(' ', between)}" if most else ""
+    return head.replace(" ", between) + gap
+
+
 def patterns() -> str:
     """A regular expression of all known sentences, the longest first; between words is a space, or a bar where a part ends."""
-    return "|".join(n.replace(" ", "[ |]") for n in sorted({normalised(s) for s in SENTENCES.values()}, key=lambda n: (-len(n), n)))
+    return "|".join(pattern(*v[:3], "[ |]") for v in variants())
 
 
 def longer(seq: list[str], rules: list) -> list[list[str]]:
@@ -166,23 +275,32 @@ def marked(seq: list[str]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list | None = None) -> DataFrame:
     """(id, n_sentences, sentence_ids, rules, licenses) for every row.
 
-    A text's parts end at [.;:!?] before white space and at line ends; a part is its letters and digits A-Z, a-z, 0-9 in
-    lower case, joined by spaces. Known sentences are found wherever they start and end with a part, over any number of
-    parts; sentence_ids are theirs in order, of those that start together the longest, and a rule matches if its
+    A text's parts end at [.;:!?] before white space and at line ends, and start after a list's label such as "(a)"; a part
+    is its letters and digits A-Z, a-z, 0-9 in lower case, joined by spaces. Known sentences are found wherever they start
+    and end with a part, over any number of parts, in any of their forms: a placeholder stands for one word up to its bound,
+    each of at most 40 letters. sentence_ids are theirs in order, of those that start together the one with most fixed
+    letters, and a rule matches if its
     identifiers follow one another there, other than inside a longer rule's. Lists are joined by commas, rules in the
     order of the table. Null and empty texts have none; repeated rows give repeated results; an empty table gives an
     empty one; other columns aren't read, so their names can't clash. A text takes few times its size, however long.
     """
     rules = RULES if rules is None else rules
-    known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normalised(s), k)))
+    known = F.create_map(*(F.lit(x) for head, most, _, k in variants() if not most for x in (head, k)))
+    gapped = [v for v in variants() if v[1]]
+
+    def named(found):
+        flat = F.translate(found, "|", " ")
+        of_form = reduce(lambda c, v: c.when(flat.rlike(f"^{pattern(*v[:3], ' ')}$"), F.lit(v[3])), gapped, F.when(F.lit(False), F.lit("")))
+        return F.coalesce(F.try_element_at(known, flat), of_form)
+
     # Words with a space between them, or a bar where a part ends.
-    lines = F.regexp_replace(F.concat(F.lit("\n"), F.col("_text"), F.lit("\n")), _STOP, "\n")
+    lines = F.regexp_replace(F.regexp_replace(F.concat(F.lit("\n"), F.col("_text"), F.lit("\n")), _STOP, "\n"), _LABEL, "\n")
     words = F.lower(F.regexp_replace(F.regexp_replace(lines, "[^A-Za-z0-9\n]+", " "), " ?\n[ \n]*", "|"))
     low = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
     telling = reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in telling_words()))
     rows = low.select("_key", F.when(telling, words).alias("_w"))
     found = F.regexp_extract_all("_w", F.lit(f"[|](?=({patterns()})[|])"), F.lit(1))
-    ids = F.transform(found, lambda f: F.element_at(known, F.translate(f, "|", " ")))
+    ids = F.transform(found, named)
     rows = rows.select("_key", F.coalesce(ids, F.array().cast("array<string>")).alias("_ids"))
     rows = rows.withColumn("_line", F.when(F.size("_ids") > 0, F.concat(F.lit("<"), F.array_join("_ids", "><"), F.lit(">"))).otherwise(""))
     matches = [F.when(F.contains(reduce(lambda c, s: F.replace(c, F.lit(marked(s)), F.lit("<>")), longer(seq, rules), F.col("_line")), F.lit(marked(seq))), F.struct(F.lit(name).alias("rule"), F.lit(key).alias("license"))) for name, key, seq in rules]
@@ -197,24 +315,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 
 def oracle_sql() -> str:
-    """The same over all texts: every part that starts like a sentence is compared with all sentences, as far as the longest reaches."""
+    """The same over all texts: every part that starts like a sentence is compared with all forms, as far as the longest reaches.
+
+    A placeholder is tried at every number of words, by lists of words.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    names = {normalised(s): k for k, s in SENTENCES.items()}
-    known = ", ".join(f"({quote(n)}, {quote(k)})" for n, k in names.items())
-    first, most = sorted({n.split()[0] for n in names}), max(map(len, names))
+    known = ", ".join(f"({i}, {quote(head)}, {gap}, {quote(tail)}, {quote(k)})" for i, (head, gap, tail, k) in enumerate(variants()))
+    first, most = sorted({v[0].split()[0] for v in variants()}), max(len(head) + len(tail) + gap * (WORD + 1) for head, gap, tail, _ in variants())
     tests = []
     for i, (name, key, seq) in enumerate(RULES):
         line = reduce(lambda c, s: f"replace({c}, {quote(marked(s))}, '<>')", longer(seq, RULES), "line")
         tests.append(f"select doc_id, {i} as nth, {quote(name)} as rule, {quote(key)} as license from seqs where contains({line}, {quote(marked(seq))})")
     return f"""
-with known(sentence, id) as (values {known}),
-texts as (select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(chr(10) || text || chr(10), '[.;:!?]+[ \\t\\r\\n]', chr(10), 'g'),
+with known(rank, head, gap, tail, id) as (values {known}),
+texts as (select doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(chr(10) || text || chr(10), '[.;:!?]+[ \\t\\r\\n]', chr(10), 'g'),
+  '\\n[^A-Za-z0-9\\n]*([0-9]{{1,3}}|[A-Za-z]|[ivxIVX]{{1,4}})[)]', chr(10), 'g'),
   '[^A-Za-z0-9\\n]+', ' ', 'g'), ' ?\\n[ \\n]*', '|', 'g')) as w from documents where text is not null),
 split as (select doc_id, w, unnest(string_split(w, '|')) as part, generate_subscripts(string_split(w, '|'), 1) as nth from texts),
 placed as (select doc_id, w, part, sum(length(part) + 1) over (partition by doc_id order by nth rows unbounded preceding) - length(part) as pos from split),
 starts as (select doc_id, pos, substr(w, pos::bigint, {most + 1}) as part from placed where split_part(part, ' ', 1) in ({", ".join(map(quote, first))})),
-hits as (select doc_id, pos, arg_max(id, length(sentence)) as id from starts join known
-  on starts_with(translate(part, '|', ' '), sentence) and substr(part, length(sentence) + 1, 1) = '|' group by 1, 2),
+near as (select doc_id, pos, part, rank, head, gap, tail, id from starts join known on starts_with(translate(part, '|', ' '), head)),
+plain as (select doc_id, pos, rank, id from near where gap = 0 and substr(part, length(head) + 1, 1) = '|'),
+words as (select doc_id, pos, part, rank, gap, tail, id, string_split(translate(substr(part, length(head) + 2), '|', ' '), ' ') as w from near where gap > 0 and substr(part, length(head) + 1, 1) in (' ', '|')),
+tried as (select * exclude (w), w[1:g] as between, array_to_string(w[g + 1:], ' ') as after from (select *, unnest(range(1, gap + 1)) as g from words)),
+gaps as (select doc_id, pos, rank, id from tried where starts_with(after, tail) and substr(part, length(part) - length(after) + length(tail) + 1, 1) = '|' and list_max(list_transform(between, lambda x: length(x))) <= {WORD}),
+hits as (select doc_id, pos, arg_min(id, rank) as id from (select * from plain union all select * from gaps) group by 1, 2),
 seqs as (select doc_id, count(*) as n, string_agg(id, ',' order by pos) as ids, string_agg('<' || id || '>', '' order by pos) as line from hits group by 1),
 found as ({" union all ".join(tests)}),
 matched as (select doc_id, string_agg(rule, ',' order by nth) as rules, array_to_string(list_sort(list(distinct license)), ',') as licenses from found group by 1)

@@ -178,3 +178,48 @@ def test_sql_agrees_on_layouts_and_odd_texts(documents, odd_texts):
     con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
     want = sorted(con.execute(licenses.oracle_sql()).fetchall())
     assert sorted(tuple(r) for r in licenses.scan(documents(texts)).collect()) == want
+
+
+def usual():
+    """Usual texts that name a holder or differ in small words, with the licence each has."""
+    s = licenses.SENTENCES
+    grant = f"{s['bsd-grant']}\n\n1. {s['bsd-source']}.\n2. {s['bsd-binary']}.\n"
+    endorse = "Neither the name of Example, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    sold = s["bsd-as-is"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS")
+    yield "BSD-3-Clause", f"{grant}3. {endorse}.\n\n{sold}."
+    yield "BSD-3-Clause", (f"{grant}(c) {endorse}.\n").replace("1.", "(a)").replace("2.", "(b)")
+    yield "BSD-3-Clause", f"{grant}3. The names of the Widget project's authors may not be used to endorse or promote products derived from this software without prior written permission."
+    yield "BSD-3-Clause", f"{grant}3. Neither the name of A nor that of any friend of theirs may be taken by anybody to endorse or promote products derived from this software without specific prior written permission."
+    yield "BSD-4-Clause", f"{grant}3. {s['bsd-advertising']}\n   This product includes software developed by Example.\n4. {endorse}."
+    yield "BSD-2-Clause", f"{grant}\n{sold}."
+    yield "BSD-2-Clause", f"{grant}3. Neither the name of {'word ' * 60}nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    condition = s["mit-condition"].replace("permission notice", "permission notice (including the next paragraph)")
+    yield "MIT", f"{s['mit-grant']}\n{condition}.\n{s['mit-as-is']}.\nIN NO EVENT SHALL Example BE LIABLE"
+    yield "MIT", f"{s['mit-grant']}\n{s['mit-condition']}."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     https://www.apache.org/licenses/LICENSE-2.0\n#\n'
+    yield "Apache-2.0", f"# {apache}# {s['apache-as-is']}.\n# {s['apache-see']}."
+    yield "GPL-2.0", s["gpl2-only-grant"] + "."
+    yield "GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright"
+    yield "", "The name of " + "x" * 41 + " may not be used to endorse or promote products derived from this software without prior written permission."
+
+
+def test_usual_forms_have_just_their_licence(documents):
+    cases = list(usual())
+    rows = sorted(licenses.scan(documents([t for _, t in cases])).collect())
+    assert [r.licenses for r in rows] == [name for name, _ in cases]
+    assert "apache-2.0-header" in rows[9].rules.split(",")
+
+
+def test_sql_agrees_on_usual_forms(documents):
+    import duckdb
+
+    forms = [f"{head} {'Some Holder, Inc. and' * bool(gap)} {tail}." for head, gap, tail, _ in licenses.variants()]
+    texts = [*(t for _, t in usual()), *forms, *(f.replace(" ", "\n// ") for f in forms)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = sorted(con.execute(licenses.oracle_sql()).fetchall())
+    got = sorted(tuple(r) for r in licenses.scan(documents(texts)).collect())
+    assert got == want
+    n = len(texts) - 2 * len(forms)
+    assert all(v[3] in r[2].split(",") for v, r in zip(licenses.variants(), got[n:]))
