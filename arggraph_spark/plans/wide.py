@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import large
+from ..functions.text import estimate_tokens
+from ..operators import large, rendering, reports, sequences
 from ..operators.fixpoint import shared_folder
 from ..sources import datasource, documents
 from ..sources.mapping import LAYERS_SQL, TRADE_SQL, layers_corpus, orders_corpus, trade_corpus
 from .more import _layered_sql
-from .registry import _query
+from .registry import ORACLE_SQL, _joined, _query
 
 _OPEN = TRADE_SQL.format(ring="c % 3 <> 0")
 _RINGS = TRADE_SQL.format(ring="true")
@@ -84,6 +85,78 @@ def source_round_trip(spark, sf):
     return back.statements.select("doc_id", "id", "text", "mode")
 
 
+@_query("""with recursive sized as (select row_number() over (order by doc_id) - 1 as i, greatest(1, ceil(length(coalesce(text, '')) / 3.5))::bigint as t, source is distinct from lag(source) over (order by doc_id) as turn from documents),
+pack(i, chunk, used) as (select i, 0, t from sized where i = 0 union all
+  select s.i, case when used + t > 6000 or (turn and used * 2 >= 6000) then chunk + 1 else chunk end, case when used + t > 6000 or (turn and used * 2 >= 6000) then t else used + t end
+  from pack p join sized s on s.i = p.i + 1)
+select i, chunk::bigint as chunk from pack""", base="")
+def chunks_by_joins(spark, sf):
+    """All documents as the paragraphs of one text, headed by their sources."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("all").alias("doc_id"), F.col("doc_id").alias("at"), estimate_tokens(F.coalesce("text", F.lit(""))).alias("t"), "source", F.lit(1).alias("one"))
+    rows = sequences.running(docs, "at", "one", "nth").withColumn("i", F.col("nth") - 1)
+    before = rows.select("doc_id", (F.col("i") + 1).alias("i"), F.col("source").alias("before"))
+    rows = rows.join(before, ["doc_id", "i"], "left").select("doc_id", "i", "t", (~F.col("source").eqNullSafe(F.col("before"))).alias("turn"))
+    return sequences.chunk_numbers(rows, 6000).select("i", F.col("chunk").cast("long").alias("chunk"))
+
+
+# Trees of any depth: SQL takes a node off a document's stack in each step.
+
+_WALK = """+ target as (select doc_id, arg_max(id, ord) as id from statements group by 1),
+sides as (select c.doc_id, c.sid, c.arg_key, p.slot, p.sid as leaf from incidence c left join incidence p on p.doc_id = c.doc_id and p.arg_key = c.arg_key and p.side = 'p' where c.side = 'c'),
+joint as (select c.doc_id, c.arg_key, c.sid, string_agg('`' || o.sid || '`', ', ' order by o.slot) as also from incidence c join incidence o on o.doc_id = c.doc_id and o.arg_key = c.arg_key and o.side = 'c' and o.sid <> c.sid where c.side = 'c' group by 1, 2, 3),
+below as (select doc_id, sid, arg_key, coalesce(slot, 0) as slot, leaf as s, 2 as up, '- *no premises*' as line from sides union all
+  select distinct doc_id, sid, arg_key, -1, null, 1, '- via `a' || arg_key || '`' || coalesce(' [' || rule || ']', '') || coalesce(' (jointly concludes ' || also || ')', '') || ': ' || case when trim(justification) = '' then '(no justification given)' else justification end
+  from sides s join (select doc_id, ord as arg_key, rule, justification from arguments) a using (doc_id, arg_key) left join joint using (doc_id, arg_key, sid)),
+kids as (select doc_id, sid, list({'s': s, 'v': 'a' || arg_key, 'up': up, 'line': line} order by arg_key desc, slot desc) as kids from below group by 1, 2),
+walk(doc_id, target, n, stack, met, top, again) as (
+  select doc_id, id, -1, [{'s': id, 'v': null::varchar, 'up': 0, 'line': null::varchar}], []::varchar[], null::struct(s varchar, v varchar, up integer, line varchar), false from target
+  union all select w.doc_id, target, n + 1,
+    list_concat(stack[:len(stack) - 1], case when stack[-1].s is null or list_contains(met, stack[-1].s) then [] else list_transform(coalesce(kids, []), lambda x: {'s': x.s, 'v': x.v, 'up': x.up + stack[-1].up, 'line': x.line}) end),
+    case when stack[-1].s is null or list_contains(met, stack[-1].s) then met else list_append(met, stack[-1].s) end, stack[-1], coalesce(list_contains(met, stack[-1].s), false)
+  from walk w left join kids k on k.doc_id = w.doc_id and k.sid = w.stack[-1].s where len(stack) > 0)
+"""
+
+
+def _lasts(c):
+    """The last statement of each document."""
+    return c.statements.groupBy("doc_id").agg(F.max_by("id", "ord").alias("id"))
+
+
+@_query(_WALK + """select doc_id, target, (row_number() over (partition by doc_id order by n) - 1)::integer as seq, (top.up // 2)::integer as depth, top.v as via_arg, top.s as stmt, again as seen
+from walk where top.s is not null""", recursive=True)
+def deep_tree_rows(spark, sf):
+    c = orders_corpus(spark, sf)
+    return reports.tree_rows(c, _lasts(c)).select("doc_id", "target", "seq", "depth", "via_arg", "stmt", "seen")
+
+
+@_query(_WALK + """, shown as (select w.doc_id, target, n, repeat('  ', top.up) || case when top.s is null then top.line
+  else '- **' || canon || '** (`' || top.s || '`, ' || mode || ')' || case when again then ' — *see above*' when k.sid is null then ' — *foundation*' else '' end end as line
+  from walk w left join statements s on s.doc_id = w.doc_id and s.id = w.top.s left join kids k on k.doc_id = w.doc_id and k.sid = w.top.s where top is not null)
+select doc_id, target as statement, string_agg(line, chr(10) order by n) as text from shown group by 1, 2""", recursive=True)
+def present_cases(spark, sf):
+    """The case for the last statement of each document, of any depth."""
+    c = orders_corpus(spark, sf)
+    case = F.regexp_extract("text", "(?s)## The case\n\n(.*?)\n\n## Foundations reached", 1)
+    return rendering.present(c, _lasts(c)).select("doc_id", "statement", case.alias("text"))
+
+
+_REPORT = "well_founded struct<foundations: array<string>, ungrounded: array<string>>, duplicates array<struct<prop_id: string, ids: array<string>>>, unused array<string>, empty_justifications array<string>, is_ought_gaps array<struct<argument: string>>"
+
+
+@_query(f"""+ well as ({ORACLE_SQL['well_founded']}), gaps as ({ORACLE_SQL['is_ought_gaps']}), twice as ({ORACLE_SQL['duplicates']}), blank as ({ORACLE_SQL['empty_justifications']}),
+w as (select w.doc_id, string_agg(id, ',' order by ord) filter (foundation) as foundations, string_agg(id, ',' order by ord) filter (not grounded) as ungrounded from well w join statements using (doc_id, id) group by 1),
+g as (select g.doc_id, string_agg(argument, ',' order by ord) as gaps from gaps g join arguments a on a.doc_id = g.doc_id and a.id = g.argument group by 1),
+t as (select doc_id, string_agg(prop_id || '=' || ids, ' ' order by ord) as duplicates from (select t.*, s.ord from twice t join statements s on s.doc_id = t.doc_id and s.id = split_part(t.ids, ',', 1)) group by 1),
+b as (select doc_id, string_agg(id, ',' order by ord) as blank from blank join arguments using (doc_id, id) group by 1)
+select doc_id, coalesce(foundations, '') as foundations, coalesce(ungrounded, '') as ungrounded, coalesce(duplicates, '') as duplicates, '' as unused, coalesce(blank, '') as empty_justifications, coalesce(gaps, '') as gaps
+from w left join g using (doc_id) left join t using (doc_id) left join b using (doc_id)""", recursive=True)
+def lint_reports(spark, sf):
+    """All lints of every document in one report; no statement of this corpus is unused."""
+    rows = reports.lint_all(orders_corpus(spark, sf)).withColumn("r", F.from_json("report", _REPORT))
+    twice = F.transform("r.duplicates", lambda d: F.concat(d["prop_id"], F.lit("="), _joined(d["ids"])))
+    return rows.select("doc_id", _joined("r.well_founded.foundations").alias("foundations"), _joined("r.well_founded.ungrounded").alias("ungrounded"), F.array_join(twice, " ").alias("duplicates"), _joined("r.unused").alias("unused"), _joined("r.empty_justifications").alias("empty_justifications"), _joined("r.is_ought_gaps.argument").alias("gaps"))
+
+
 # Structural faults.
 
 _S, _A = '[{"id": "s", "text": "S", "mode": "is"}]', '[{"id": "a", "premises": [], "conclusions": ["s"], "justification": "j"}]'
