@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from .fixpoint import cut, some
 
 #: Rows of a document whose running aggregate is made by one window.
 BLOCK = 4096
+#: Jumps of a document that one task follows.
+LOCAL = 200_000
 
 
 def running(rows: DataFrame, order: str, value: str, name: str, most: bool = False) -> DataFrame:
@@ -63,25 +66,44 @@ def next_starts(rows: DataFrame, budget: int) -> DataFrame:
     return out.join(last, "doc_id").withColumn("next", F.least("full", "half")).filter(F.col("next") <= F.col("last")).select("doc_id", "i", "next")
 
 
-def chunk_numbers(rows: DataFrame, budget: int) -> DataFrame:
-    """(doc_id, i, chunk) of rows (doc_id, i, t, turn) packed in order: the chain of starts from 0 is followed by doubling, in
-    rounds as the logarithm of the number of chunks."""
-    rows = cut(rows)
-    jump = cut(next_starts(rows, budget))
-    # Of the jumps only those matter that start at 0 or where another one ends.
-    ends = jump.select("doc_id", F.col("next").alias("i")).distinct()
-    jump = cut(jump.join(ends, ["doc_id", "i"], "left_semi").unionByName(jump.filter("i = 0")))
-    starts = cut(rows.filter("i = 0").select("doc_id", "i", F.lit(0).cast("long").alias("chunk")))
+def _followed(jumps: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, i, chunk) of the starts after 0 of one document, by its jumps."""
+    to = dict(zip(jumps["i"], jumps["next"], strict=True))
+    met, at = [], 0
+    while (at := to.get(at)) is not None:
+        met.append(at)
+    return pd.DataFrame({"doc_id": jumps["doc_id"].iloc[[0] * len(met)].to_numpy(), "i": met, "chunk": range(1, len(met) + 1)})
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    """The same by doubling, in rounds as the logarithm of the number of chunks."""
+    starts = jump.filter("i = 0").select("doc_id", "i", F.lit(0).cast("long").alias("chunk"))
     step = 1
     while True:
         more = cut(starts.join(jump, ["doc_id", "i"]).select("doc_id", F.col("next").alias("i"), (F.col("chunk") + step).alias("chunk")))
         if not some(more):
-            break
+            return starts.filter("i > 0")
         starts = cut(starts.unionByName(more))
         onward = jump.select("doc_id", F.col("i").alias("next"), F.col("next").alias("after"))
         jump = cut(jump.join(onward, ["doc_id", "next"]).select("doc_id", "i", F.col("after").alias("next")))
         step *= 2
-    marked = rows.select("doc_id", "i").join(starts, ["doc_id", "i"], "left")
+
+
+def chunk_numbers(rows: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, i, chunk) of rows (doc_id, i, t, turn) packed in order: the chain of starts from 0, by doubling or, where no
+    more than ``LOCAL`` jumps of a document are left, in one task."""
+    rows = cut(rows)
+    jump = cut(next_starts(rows, budget))
+    # Of the jumps only those matter that start at 0 or where another one ends.
+    ends = jump.select("doc_id", F.col("next").alias("i")).distinct()
+    jump = cut(jump.join(ends, ["doc_id", "i"], "left_semi").unionByName(jump.filter("i = 0")))
+    many = cut(jump.groupBy("doc_id").count().filter(F.col("count") > LOCAL).select("doc_id"))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, i long, chunk long"
+    starts = rows.filter("i = 0").select("doc_id", "i", F.lit(0).cast("long").alias("chunk"))
+    starts = starts.unionByName(jump.join(many, "doc_id", "left_anti").groupBy("doc_id").applyInPandas(_followed, schema))
+    if some(many):
+        starts = starts.unionByName(_doubled(cut(jump.join(many, "doc_id", "left_semi"))))
+    marked = cut(rows.select("doc_id", "i").join(starts, ["doc_id", "i"], "left"))
     return running(marked, "i", "chunk", "number", most=True).select("doc_id", "i", F.col("number").alias("chunk"))
 
 

@@ -17,9 +17,11 @@ def packed(items, budget):
         yield number
 
 
+@pytest.mark.parametrize("local", [0, 20, 200_000])
 @pytest.mark.parametrize("budget, most", [(1, 3), (7, 9), (50, 12), (64, 300)])
-def test_chunk_numbers_equal_the_fold(spark, monkeypatch, budget, most):
+def test_chunk_numbers_equal_the_fold(spark, monkeypatch, budget, most, local):
     monkeypatch.setattr(sequences, "BLOCK", 16)
+    monkeypatch.setattr(sequences, "LOCAL", local)
     rng = random.Random(budget)
     docs = {d: [(i, rng.randint(1, most), rng.random() < p) for i in range(n)] for d, (n, p) in enumerate([(1, 0.5), (2, 1.0), (150, 0.0), (150, 0.2), (90, 1.0), (40, 0.01)])}
     rows = spark.createDataFrame([(d, *x) for d, items in docs.items() for x in items], "doc_id long, i long, t long, turn boolean")
