@@ -66,3 +66,11 @@ def test_unique_names_equal_the_walk(spark):
     got = {(r.doc_id, r.seq): r.unique for r in extraction.unique_names(rows, "name", ["seq"]).collect()}
     assert all(got[d, i] == x for d, names in docs.items() if d < 9 for i, x in enumerate(walked(names)))
     assert [got[9, i] for i in range(30_000)] == ["x", *(f"x-{i}" for i in range(2, 30_001))]
+
+
+def test_chains_of_merges_end_in_few_rounds(spark):
+    links = [("d", f"s{i}", f"s{i + 1}") for i in range(300)]
+    links += [("e", "x", "a"), ("e", "a", "b"), ("e", "b", "a"), ("e", "y", "z"), ("e", "s3", "q"), ("e", "o", "o")]
+    got = {(r.doc_id, r.ref): r.end for r in extraction.chain_ends(spark.createDataFrame(links, "doc_id string, dropped string, kept string")).collect()}
+    want = {("d", f"s{i}"): "s300" for i in range(300)}
+    assert got == want | {("e", "x"): "a", ("e", "a"): "a", ("e", "b"): "b", ("e", "y"): "z", ("e", "s3"): "q", ("e", "o"): "o"}
