@@ -6,6 +6,8 @@ without shuffles between steps, and larger ones by the joins of ``large``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,24 @@ def terminals(corpus: Corpus) -> DataFrame:
     return corpus.statements.join(used, ["doc_id", "id"], "left_anti").select("doc_id", "ord", "id", "text", "mode")
 
 
-def _divided(corpus: Corpus) -> tuple[Corpus, Corpus | None]:
-    """The corpus of documents up to ``LARGE`` statements and that of larger ones, if there are any."""
+def _divided(corpus: Corpus) -> tuple[Corpus | None, Corpus | None]:
+    """The corpus of documents up to ``LARGE`` statements and that of larger ones, each if there are any; of two, the larger ones' is written."""
     sizes = corpus.statements.groupBy("doc_id").count().filter(F.col("count") > LARGE).select("doc_id")
     if not some(sizes):
         return corpus, None
     sizes = cut(sizes)
-    side = lambda how: Corpus(*(t.join(sizes, "doc_id", how) for t in (corpus.docs, corpus.statements, corpus.arguments)))
-    return side("left_anti"), side("left_semi")
+    side = lambda how: [t.join(sizes, "doc_id", how) for t in (corpus.docs, corpus.statements, corpus.arguments)]
+    large_ = Corpus(*map(cut, side("left_semi")))
+    return (Corpus(*side("left_anti")) if some(corpus.docs.join(sizes, "doc_id", "left_anti")) else None), large_
+
+
+def divided(corpus: Corpus, kernel: Callable[[dict], Iterator[tuple]], rest: str, beyond: Callable[[Corpus], DataFrame]) -> DataFrame:
+    """Rows (doc_id, ``rest``) by ``kernel`` and, for documents of more than ``LARGE`` statements, those of ``beyond``."""
+    small, large_ = _divided(corpus)
+    if large_ is None:
+        return per_document(small.nested(), kernel, _schema(corpus, rest))
+    out = beyond(large_)
+    return out if small is None else per_document(small.nested(), kernel, _schema(corpus, rest)).unionByName(out)
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, stop: DataFrame | None = None, up: bool = True, rounds: int | None = None) -> DataFrame:
@@ -94,9 +106,7 @@ def closure_pairs(corpus: Corpus, up: bool = True) -> DataFrame:
             for t in net.ids(net.reach(s, up)):
                 yield doc["doc_id"], src, t
 
-    small, rest = _divided(corpus)
-    out = per_document(small.nested(), kernel, _schema(corpus, "src string, dst string"))
-    return out if rest is None else out.unionByName(closure(rest.edges, up=up).drop("hops"))
+    return divided(corpus, kernel, "src string, dst string", lambda c: closure(c.edges, up=up).drop("hops"))
 
 
 def _schema(corpus: Corpus, rest: str) -> str:
@@ -115,9 +125,7 @@ def components(corpus: Corpus) -> DataFrame:
             for pos, s in enumerate(comp):
                 yield doc["doc_id"], k, pos, net.statements[s]["id"], net.cyclic(comp)
 
-    small, rest = _divided(corpus)
-    out = per_document(small.nested(), kernel, _schema(corpus, "comp int, pos int, id string, cyclic boolean"))
-    return out if rest is None else out.unionByName(large.components(rest))
+    return divided(corpus, kernel, "comp int, pos int, id string, cyclic boolean", large.components)
 
 
 def components_by_joins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -150,14 +158,13 @@ def well_founded(corpus: Corpus) -> DataFrame:
         for i, s in enumerate(net.statements):
             yield doc["doc_id"], s["ord"], s["id"], not net.incoming[i], i in done
 
-    small, rest = _divided(corpus)
-    out = per_document(small.nested(), kernel, _schema(corpus, "ord long, id string, foundation boolean, grounded boolean"))
-    if rest is None:
-        return out
-    first = foundations(rest).select("doc_id", "id", F.lit(True).alias("f"))
-    done = large.grounded(rest).withColumn("g", F.lit(True))
-    rows = rest.statements.join(first, ["doc_id", "id"], "left").join(done, ["doc_id", "id"], "left")
-    return out.unionByName(rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "id", F.coalesce("f", F.lit(False)).alias("foundation"), F.coalesce("g", F.lit(False)).alias("grounded")))
+    def beyond(c: Corpus) -> DataFrame:
+        first = foundations(c).select("doc_id", "id", F.lit(True).alias("f"))
+        done = large.grounded(c).withColumn("g", F.lit(True))
+        rows = c.statements.join(first, ["doc_id", "id"], "left").join(done, ["doc_id", "id"], "left")
+        return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "id", F.coalesce("f", F.lit(False)).alias("foundation"), F.coalesce("g", F.lit(False)).alias("grounded"))
+
+    return divided(corpus, kernel, "ord long, id string, foundation boolean, grounded boolean", beyond)
 
 
 def grounded_by_joins(corpus: Corpus) -> DataFrame:

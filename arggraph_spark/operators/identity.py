@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import H, canon, prop_id
-from ..sources.corpus import Corpus, per_document
+from ..sources.corpus import Corpus
+from . import large
 from .fixpoint import cut
-from .graph import _schema
+from .graph import divided
 from .net import Net
 
 
@@ -17,10 +18,6 @@ def prop_ids(corpus: Corpus) -> DataFrame:
     return corpus.statements.select("doc_id", "ord", "id", prop_id(F.col("text"), F.col("mode")).alias("prop_id"))
 
 
-def _identities(corpus: Corpus, kernel, rest: str) -> DataFrame:
-    return per_document(corpus.nested(), kernel, _schema(corpus, rest))
-
-
 def statement_ids(corpus: Corpus) -> DataFrame:
     """(doc_id, ord, id, prop_id, just_id, scc): scc is the hash of the statement's cyclic component, or null."""
 
@@ -30,7 +27,7 @@ def statement_ids(corpus: Corpus) -> DataFrame:
         for i, s in enumerate(net.statements):
             yield doc["doc_id"], s["ord"], s["id"], prop[i], just[i], cycles.get(net.comp_of[i])
 
-    return _identities(corpus, kernel, "ord long, id string, prop_id string, just_id string, scc string")
+    return divided(corpus, kernel, "ord long, id string, prop_id string, just_id string, scc string", lambda c: large.identities(c)[0])
 
 
 def argument_hashes(corpus: Corpus) -> DataFrame:
@@ -41,7 +38,10 @@ def argument_hashes(corpus: Corpus) -> DataFrame:
         for a, h in zip(net.arguments, net.identities()[2], strict=True):
             yield doc["doc_id"], a["ord"], a["id"], h
 
-    return _identities(corpus, kernel, "ord long, id string, arg_hash string")
+    def beyond(c: Corpus) -> DataFrame:
+        return c.arguments.select("doc_id", F.col("ord").cast("long").alias("ord"), "id").join(large.identities(c)[1], ["doc_id", "id"]).select("doc_id", "ord", "id", "arg_hash")
+
+    return divided(corpus, kernel, "ord long, id string, arg_hash string", beyond)
 
 
 def layered_identities(corpus: Corpus, layer_of: DataFrame, layers: int) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canon, collapse, mean3, prop_id
 from ..sources.corpus import Corpus, UnknownIdError, per_document
-from . import graph
+from . import graph, large
 from .net import Net
 
 
@@ -239,8 +239,8 @@ def stats(corpus: Corpus, top: int = 5) -> DataFrame:
 
 
 def longest_chains(corpus: Corpus) -> DataFrame:
-    """(doc_id, longest_chain): the most arguments in a row, a cycle counting as one step; one walk over a document."""
-    return per_document(corpus.nested(), lambda doc: iter([(doc["doc_id"], Net(doc).longest_chain())]), graph._schema(corpus, "longest_chain long"))
+    """(doc_id, longest_chain): the most arguments in a row, a cycle counting as one step; one walk over a document, or by joins."""
+    return graph.divided(corpus, lambda doc: iter([(doc["doc_id"], Net(doc).longest_chain())]), "longest_chain long", large.longest_chains)
 
 
 _COUNTS = ("statements", "arguments", "foundations", "terminals", "unused", "ungrounded", "cycles", "largest_cycle", "statements_in_cycles", "zero_premise_arguments", "longest_chain")
