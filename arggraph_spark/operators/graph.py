@@ -53,13 +53,13 @@ def _divided(corpus: Corpus) -> tuple[Corpus | None, Corpus | None]:
     return (Corpus(*side("left_anti")) if some(corpus.docs.join(sizes, "doc_id", "left_anti")) else None), large_
 
 
-def divided(corpus: Corpus, kernel: Callable[[dict], Iterator[tuple]], rest: str, beyond: Callable[[Corpus], DataFrame]) -> DataFrame:
-    """Rows (doc_id, ``rest``) by ``kernel`` and, for documents of more than ``LARGE`` statements, those of ``beyond``."""
+def divided(corpus: Corpus, kernel: Callable[[dict], Iterator[tuple]], rest: str, beyond: Callable[[Corpus], DataFrame], nested: Callable[[Corpus], DataFrame] = Corpus.nested) -> DataFrame:
+    """Rows (doc_id, ``rest``) by ``kernel`` over the rows that ``nested`` makes and, for documents of more than ``LARGE`` statements, those of ``beyond``."""
     small, large_ = _divided(corpus)
     if large_ is None:
-        return per_document(small.nested(), kernel, _schema(corpus, rest))
+        return per_document(nested(small), kernel, _schema(corpus, rest))
     out = beyond(large_)
-    return out if small is None else per_document(small.nested(), kernel, _schema(corpus, rest)).unionByName(out)
+    return out if small is None else per_document(nested(small), kernel, _schema(corpus, rest)).unionByName(out)
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, stop: DataFrame | None = None, up: bool = True, rounds: int | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def closure_pairs(corpus: Corpus, up: bool = True) -> DataFrame:
             for t in net.ids(net.reach(s, up)):
                 yield doc["doc_id"], src, t
 
-    return divided(corpus, kernel, "src string, dst string", lambda c: closure(c.edges, up=up).drop("hops"))
+    return divided(corpus, kernel, "src string, dst string", lambda c: closure(c.edges, up=up).drop("hops"), Corpus.outlines)
 
 
 def _schema(corpus: Corpus, rest: str) -> str:
@@ -125,7 +125,7 @@ def components(corpus: Corpus) -> DataFrame:
             for pos, s in enumerate(comp):
                 yield doc["doc_id"], k, pos, net.statements[s]["id"], net.cyclic(comp)
 
-    return divided(corpus, kernel, "comp int, pos int, id string, cyclic boolean", large.components)
+    return divided(corpus, kernel, "comp int, pos int, id string, cyclic boolean", large.components, Corpus.outlines)
 
 
 def components_by_joins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def well_founded(corpus: Corpus) -> DataFrame:
         rows = c.statements.join(first, ["doc_id", "id"], "left").join(done, ["doc_id", "id"], "left")
         return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "id", F.coalesce("f", F.lit(False)).alias("foundation"), F.coalesce("g", F.lit(False)).alias("grounded"))
 
-    return divided(corpus, kernel, "ord long, id string, foundation boolean, grounded boolean", beyond)
+    return divided(corpus, kernel, "ord long, id string, foundation boolean, grounded boolean", beyond, Corpus.outlines)
 
 
 def grounded_by_joins(corpus: Corpus) -> DataFrame:

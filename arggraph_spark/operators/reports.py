@@ -28,11 +28,11 @@ def cycles(corpus: Corpus) -> DataFrame:
             yield doc["doc_id"], k, c["members"], c["self_loops"], c["internal_arguments"], c["boundary_arguments"]
 
     lists = ", ".join(f"{c} array<string>" for c in ("members", "self_loops", "internal_arguments", "boundary_arguments"))
-    return per_document(corpus.nested(), kernel, graph._schema(corpus, f"comp int, {lists}"))
+    return per_document(corpus.outlines(), kernel, graph._schema(corpus, f"comp int, {lists}"))
 
 
-def _with_targets(corpus: Corpus, targets: DataFrame | None, given: DataFrame | None) -> DataFrame:
-    frame = corpus.nested()
+def _with_targets(corpus: Corpus, targets: DataFrame | None, given: DataFrame | None, texts: bool = True) -> DataFrame:
+    frame = corpus.nested() if texts else corpus.outlines()
     if targets is not None:
         frame = frame.join(targets.groupBy("doc_id").agg(F.collect_list("id").alias("targets")), "doc_id")
     else:
@@ -50,39 +50,47 @@ def _places(net: Net, ids: list[str]) -> list[int]:
     return [net.at[i] for i in ids]
 
 
-def _report(corpus: Corpus, targets: DataFrame | None, up: bool, depth: int | None) -> DataFrame:
+def _report(corpus: Corpus, targets: DataFrame | None, up: bool, depth: int | None, report: bool) -> DataFrame:
     def kernel(doc: dict):
         net = Net(doc)
         for t in _places(net, doc["targets"]):
-            r = net.report(t, up, depth)
-            yield doc["doc_id"], r["statement"], r["closure"]["statements"], r["closure"]["arguments"], r["sccs"], _dump(r)
+            r = net.report(t, up, depth, tree=report)
+            row = doc["doc_id"], r["statement"], r["closure"]["statements"], r["closure"]["arguments"], r["sccs"]
+            yield (*row, _dump(r)) if report else row
+
+    rest = "statement string, closure_statements array<string>, closure_arguments array<string>, sccs array<array<string>>"
+    return per_document(_with_targets(corpus, targets, None, report), kernel, graph._schema(corpus, rest + ", report string" * report))
 
-    rest = "statement string, closure_statements array<string>, closure_arguments array<string>, sccs array<array<string>>, report string"
-    return per_document(_with_targets(corpus, targets, None), kernel, graph._schema(corpus, rest))
 
+def rests_on(corpus: Corpus, targets: DataFrame | None = None, depth: int | None = None, report: bool = True) -> DataFrame:
+    """What each target (doc_id, id; default: every statement) rests on; ``report`` is the whole report as JSON.
 
-def rests_on(corpus: Corpus, targets: DataFrame | None = None, depth: int | None = None) -> DataFrame:
-    """What each target (doc_id, id; default: every statement) rests on; ``report`` is the whole report as JSON."""
-    return _report(corpus, targets, True, depth)
+    Trees and JSON are most of the work, and texts most of the rows: without ``report`` neither is made.
+    """
+    return _report(corpus, targets, True, depth, report)
 
 
-def supports(corpus: Corpus, targets: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+def supports(corpus: Corpus, targets: DataFrame | None = None, depth: int | None = None, report: bool = True) -> DataFrame:
     """What each target supports."""
-    return _report(corpus, targets, False, depth)
+    return _report(corpus, targets, False, depth, report)
 
 
-def plan(corpus: Corpus, targets: DataFrame | None = None, given: DataFrame | None = None) -> DataFrame:
+def plan(corpus: Corpus, targets: DataFrame | None = None, given: DataFrame | None = None, report: bool = True) -> DataFrame:
     """(doc_id, statement, given, must_establish, must_grant, arguments, sccs, report) for an audience that accepts ``given`` (doc_id, id)."""
 
     def kernel(doc: dict):
         net = Net(doc)
         accepted = _places(net, doc["given"])
+        if not report:
+            for t in _places(net, doc["targets"]):
+                yield doc["doc_id"], net.statements[t]["id"], *net.needs(t, set(accepted)).values()
+            return
         for t in _places(net, doc["targets"]):
             r = net.plan(t, accepted)
             yield doc["doc_id"], r["statement"], r["given"], [s["id"] for s in r["must_establish"]], [s["id"] for s in r["must_grant"]], r["arguments"], r["sccs"], _dump(r)
 
-    rest = "statement string, given array<string>, must_establish array<string>, must_grant array<string>, arguments array<string>, sccs array<array<string>>, report string"
-    return per_document(_with_targets(corpus, targets, given), kernel, graph._schema(corpus, rest))
+    rest = "statement string, given array<string>, must_establish array<string>, must_grant array<string>, arguments array<string>, sccs array<array<string>>"
+    return per_document(_with_targets(corpus, targets, given, report), kernel, graph._schema(corpus, rest + ", report string" * report))
 
 
 def tree_rows(corpus: Corpus, targets: DataFrame | None = None, up: bool = True, depth: int | None = None) -> DataFrame:
@@ -240,7 +248,7 @@ def stats(corpus: Corpus, top: int = 5) -> DataFrame:
 
 def longest_chains(corpus: Corpus) -> DataFrame:
     """(doc_id, longest_chain): the most arguments in a row, a cycle counting as one step; one walk over a document, or by joins."""
-    return graph.divided(corpus, lambda doc: iter([(doc["doc_id"], Net(doc).longest_chain())]), "longest_chain long", large.longest_chains)
+    return graph.divided(corpus, lambda doc: iter([(doc["doc_id"], Net(doc).longest_chain())]), "longest_chain long", large.longest_chains, Corpus.outlines)
 
 
 _COUNTS = ("statements", "arguments", "foundations", "terminals", "unused", "ungrounded", "cycles", "largest_cycle", "statements_in_cycles", "zero_premise_arguments", "longest_chain")

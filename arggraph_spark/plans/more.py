@@ -35,20 +35,20 @@ from mine m join incidence i on i.doc_id = m.doc_id and i.sid = m.dst and side =
 
 @_query(_DOWN_ARGS, recursive=True)
 def supported_arguments(spark, sf):
-    out = reports.supports(orders_corpus(spark, sf)).filter(F.size("closure_arguments") > 0)
+    out = reports.supports(orders_corpus(spark, sf), report=False).filter(F.size("closure_arguments") > 0)
     return out.select("doc_id", "statement", _sorted("closure_arguments").alias("arguments"))
 
 
 @_query(_UP + " select doc_id, src as statement, count(*) as n, string_agg(dst, ',' order by dst) as closure from up group by 1, 2", recursive=True)
 def rests_on_statements(spark, sf):
-    out = reports.rests_on(orders_corpus(spark, sf)).filter(F.size("closure_statements") > 0)
+    out = reports.rests_on(orders_corpus(spark, sf), report=False).filter(F.size("closure_statements") > 0)
     return out.select("doc_id", "statement", F.size("closure_statements").cast("long").alias("n"), _sorted("closure_statements").alias("closure"))
 
 
 @_query(_SCC + """, mine as (select doc_id, src, dst from up union select doc_id, id, id from statements)
 select distinct m.doc_id, m.src as statement, r.members from mine m join ring r on r.doc_id = m.doc_id and r.id = m.dst""", recursive=True)
 def rests_on_cycles(spark, sf):
-    out = reports.rests_on(orders_corpus(spark, sf)).select("doc_id", "statement", F.explode("sccs").alias("ring"))
+    out = reports.rests_on(orders_corpus(spark, sf), report=False).select("doc_id", "statement", F.explode("sccs").alias("ring"))
     return out.select("doc_id", "statement", _sorted("ring").alias("members"))
 
 
@@ -75,7 +75,7 @@ where not exists (select 1 from given s where s.doc_id = n.doc_id and s.id = n.s
 union all select doc_id, id, id from given""", recursive=True)
 def plan_given(spark, sf):
     c = orders_corpus(spark, sf)
-    out = reports.plan(c, given=c.statements.filter(F.col("ord") % 7 == 0).select("doc_id", "id"))
+    out = reports.plan(c, given=c.statements.filter(F.col("ord") % 7 == 0).select("doc_id", "id"), report=False)
     return out.filter(F.size("given") > 0).select("doc_id", "statement", _sorted("given").alias("given"))
 
 

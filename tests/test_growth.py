@@ -24,7 +24,31 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_items_of_a_document_meet_in_one_shuffle(spark):
+    plan = _plan(_corpus(spark).nested())
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_corpora_are_made_of_the_tables_once(spark):
+    assert "lineitem.parquet" not in "".join(orders_corpus(spark, "/root/testdata/sf0.001").nested().inputFiles())
+
+
+def test_arrow_values_by_columns():
+    rows = [{"a": [{"b": "x", "c": 1, "d": ["p", None]}, None], "e": None}, {"a": None, "e": 2}, {"a": [], "e": 3}, {"a": [{"b": None, "c": 4, "d": None}], "e": 4}]
+    t = pa.RecordBatch.from_pylist(rows).to_struct_array()
+    assert corpora._values(t) == rows and corpora._values(t[1:3]) == rows[1:3] and corpora._values(t[3:]) == rows[3:] and corpora._values(t[:0]) == []
+
+
 def test_components_of_many_documents_at_once():
     rows = pd.DataFrame({"doc_id": ["x", "x", "y", "y"], "s": [1, 2, 1, 2], "t": [2, 1, 2, 3], "key": ["x", "x", "y", "y"]})
     out = large._strong_arrays(rows)
     assert {tuple(r) for r in out.itertuples(index=False)} == {("x", 1, 2), ("x", 2, 2), ("y", 1, 1), ("y", 2, 2), ("y", 3, 3)}
+
+
+def test_walks_without_reports_are_the_same(spark):
+    c = _corpus(spark)
+    given = c.statements.filter("ord = 2").select("doc_id", "id")
+    pairs = [(f(c), f(c, report=False)) for f in (reports.rests_on, reports.supports)] + [(reports.plan(c, given=given), reports.plan(c, given=given, report=False))]
+    for told, bare in pairs:
+        assert "report" not in bare.columns
+        assert sorted(map(str, told.drop("report").collect())) == sorted(map(str, bare.collect()))
