@@ -23,7 +23,7 @@ def statement_ids(corpus: Corpus) -> DataFrame:
 
     def kernel(doc: dict):
         net = Net(doc)
-        prop, just, _, cycles = net.identities()
+        prop, just, _, cycles = net.identities(hashes=False)
         for i, s in enumerate(net.statements):
             yield doc["doc_id"], s["ord"], s["id"], prop[i], just[i], cycles.get(net.comp_of[i])
 

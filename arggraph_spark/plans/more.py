@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import editing, extraction, graph, identity, prompts, rendering, reports, versions
+from ..operators.fixpoint import cut
 from ..sources import documents, pages
 from ..sources.corpus import Corpus
 from ..sources.mapping import LAYERS_SQL, layers_corpus, orders_corpus
@@ -166,6 +167,7 @@ def kernel_arg_hashes(spark, sf):
 def rings_corpus(spark, sf) -> Corpus:
     """A document for each order: customer c gives priority p, p and segment k give each other, and k gives status s."""
     rows = _table(spark, sf, "orders").join(_table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc_id"), "c_name", "o_orderpriority", "c_mktsegment", "o_orderstatus")
+    rows = cut(rows)
     said = [("c", "c_name", "is"), ("p", "o_orderpriority", "is"), ("k", "c_mktsegment", "ought"), ("s", "o_orderstatus", "is")]
     null = {c: _null() for c in ("meta_json", "ext_json")}
     s = rows.select("doc_id", F.posexplode(F.array(*(F.struct(F.lit(i).alias("id"), F.col(c).alias("text"), F.lit(m).alias("mode")) for i, c, m in said))).alias("ord", "s"))
