@@ -17,11 +17,18 @@ from .fixpoint import cut
 from .graph import _schema
 
 
-def _match(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs rows of equal key by their rank in file order: (doc_id, id_a, id_b, ord_a, ord_b, first, rank)."""
-    rank = lambda t, s: t.select("doc_id", F.col(key).alias("k"), F.col("ord").alias(f"ord_{s}"), F.col("id").alias(f"id_{s}"), F.row_number().over(Window.partitionBy("doc_id", key).orderBy("ord")).alias("rank"))
-    left = rank(a, "a").withColumn("first", F.min("ord_a").over(Window.partitionBy("doc_id", "k")))
-    return left.join(rank(b, "b"), ["doc_id", "k", "rank"])
+def _matched(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (doc_id, side 'a' or 'b', id, ord, ``key``, ...) of both sides, paired by equal key and rank in file order: (doc_id, rank, first, a, b).
+
+    ``a`` and ``b`` are the rows as structs, null on the side that has none; ``first`` is the key's first place in a.
+    What has no key stays alone. All is dealt by (doc_id, key) once, or by (doc_id, key, rank).
+    """
+    on_a = F.col("side") == "a"
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "doc_id", "side").orderBy("ord")))
+    ranked = ranked.withColumn("first", F.min(F.when(on_a, F.col("ord"))).over(Window.partitionBy(key, "doc_id")))
+    whole = F.struct(*(c for c in rows.columns if c not in ("doc_id", "side")))
+    met = ranked.groupBy(key, "doc_id", "rank", F.when(F.col(key).isNull(), F.col("side")).alias("alone"))
+    return met.agg(F.min("first").alias("first"), F.first(F.when(on_a, whole), ignorenulls=True).alias("a"), F.first(F.when(~on_a, whole), ignorenulls=True).alias("b")).select("doc_id", "rank", "first", "a", "b")
 
 
 def _left(t: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -32,10 +39,13 @@ def _rows(pairs: DataFrame, status: str) -> DataFrame:
     return pairs.select("doc_id", F.lit(status).alias("status"), "id_a", "id_b", F.col("first").cast("long").alias("seq"), F.col("rank").cast("long").alias("rank"))
 
 
-def _alone(t: DataFrame, status: str, side: str) -> DataFrame:
-    null = F.lit(None).cast("string")
-    ids = [F.col("id").alias("id_a"), null.alias("id_b")] if side == "a" else [null.alias("id_a"), F.col("id").alias("id_b")]
-    return t.select("doc_id", F.lit(status).alias("status"), *ids, F.col("ord").cast("long").alias("seq"), F.lit(1).cast("long").alias("rank"))
+def _status(pairs: DataFrame, paired: str, rest: bool) -> DataFrame:
+    """(doc_id, status, id_a, id_b, seq, rank) of pairs and, with ``rest``, of what has no partner: added or removed."""
+    both_ = F.col("a").isNotNull() & F.col("b").isNotNull()
+    status = F.when(both_, paired).when(F.col("a").isNotNull(), "removed").otherwise("added").alias("status")
+    seq = F.when(both_, F.col("first")).otherwise(F.coalesce("a.ord", "b.ord")).cast("long").alias("seq")
+    rank = F.when(both_, F.col("rank")).otherwise(1).cast("long").alias("rank")
+    return (pairs if rest else pairs.filter(both_)).select("doc_id", status, F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), seq, rank)
 
 
 def both(a: Corpus, b: Corpus) -> Corpus:
@@ -57,19 +67,15 @@ def diff_statements(a: Corpus, b: Corpus, ids_a: DataFrame | None = None, ids_b:
     """
     if ids_a is None or ids_b is None:
         ids_a, ids_b = apart(cut(identity.statement_ids(both(a, b))))
-    ia, ib = ids_a, ids_b
-    same = _match(ia, ib, "just_id")
-    ra, rb = _left(ia, same, "a"), _left(ib, same, "b")
-    again = _match(ra, rb, "prop_id")
-    out = [_rows(same, "identical"), _rows(again, "rejustified"), _alone(_left(rb, again, "b"), "added", "b"), _alone(_left(ra, again, "a"), "removed", "a")]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    same = cut(_matched(_sided(ids_a, ids_b, "just_id", "prop_id"), "just_id"))
+    again = _matched(_rest(same), "prop_id")
+    return _status(same, "identical", rest=False).unionByName(_status(again, "rejustified", rest=True))
 
 
 def diff_arguments(a: Corpus, b: Corpus) -> DataFrame:
     """(doc_id, status, id_a, id_b, seq, rank): identical, added or removed, by argument hash."""
     ha, hb = apart(cut(identity.argument_hashes(both(a, b))))
-    same = _match(ha, hb, "arg_hash")
-    return _rows(same, "identical").unionByName(_alone(_left(hb, same, "b"), "added", "b")).unionByName(_alone(_left(ha, same, "a"), "removed", "a"))
+    return _status(_matched(_sided(ha, hb, "arg_hash"), "arg_hash"), "identical", rest=True)
 
 
 def diff_summary(rows: DataFrame) -> DataFrame:

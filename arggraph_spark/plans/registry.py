@@ -229,8 +229,7 @@ ju{t}{k} as (select p.part, p.layer, prop, sha256('4:just,64:' || prop || ',' ||
 
 
 def _layered(c: Corpus):
-    layer = c.statements.select("doc_id", "id", (F.col("ord") % 4).cast("int").alias("layer"))
-    return identity.layered_identities(c, layer, 4)
+    return identity.layered_identities(c, (F.col("ord") % 4).cast("int"), 4)
 
 
 @_query("+" + _layered_sql() + " select 'p' || part as id, just as just_id from just", base=LAYERS_SQL)
@@ -265,8 +264,8 @@ def diff_statements(spark, sf):
     a = layers_corpus(spark, sf)
     b = _layers_edited(a)
     c = versions.both(a, b)
-    just = _layered(c)[0].withColumnRenamed("prop", "prop_id").join(c.statements.select("doc_id", "id", "ord"), ["doc_id", "id"])
-    return versions.diff_statements(a, b, *versions.apart(cut(just))).select("status", "id_a", "id_b")
+    just = _layered(c)[0].withColumnRenamed("prop", "prop_id")
+    return versions.diff_statements(a, b, *versions.apart(just)).select("status", "id_a", "id_b")
 
 
 @_query("""+ size as (select doc_id, aid, count(*) filter (side = 'p') as p, count(*) filter (side = 'c') as c from incidence group by 1, 2),

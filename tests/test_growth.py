@@ -52,3 +52,26 @@ def test_walks_without_reports_are_the_same(spark):
     for told, bare in pairs:
         assert "report" not in bare.columns
         assert sorted(map(str, told.drop("report").collect())) == sorted(map(str, bare.collect()))
+
+
+def test_versions_are_matched_without_joins(spark):
+    c = _corpus(spark)
+    ids = identity.statement_ids(c)
+    found = versions.diff_statements(c, c, ids, ids)
+    assert "Join" not in _plan(found)
+    assert found.filter("status <> 'identical' or id_a is null").count() == 0 and found.count() == c.statements.count()
+
+
+def test_what_has_no_key_is_matched_with_nothing(spark):
+    t = spark.createDataFrame([("x", "s", 0, None), ("x", "t", 1, "k")], "doc_id string, id string, ord int, k string")
+    out = versions._status(versions._matched(versions._sided(t, t, "k"), "k"), "same", rest=True)
+    assert sorted((r.status, r.id_a, r.id_b) for r in out.collect()) == [("added", None, "s"), ("removed", "s", None), ("same", "t", "t")]
+
+
+def test_layers_by_a_column(spark):
+    d = {"statements": [{"id": f"s{i}", "text": f"T{i}", "mode": "is"} for i in range(6)], "arguments": [{"id": "a", "premises": ["s0", "s1"], "conclusions": ["s2", "s3"], "justification": " j"}, {"id": "b", "premises": ["s2"], "conclusions": ["s4"], "justification": ""}, {"id": "c", "premises": [], "conclusions": ["s1"], "justification": "k"}]}
+    c = corpora.corpus_of(spark, {"x": d})
+    just, hashes = identity.layered_identities(c, F.floor(F.col("ord") / 2).cast("int"), 3)
+    assert {(r.id, r.ord, r.just_id) for r in just.collect()} == {(r.id, r.ord, r.just_id) for r in identity.statement_ids(c).collect()}
+    assert {(r.arg, r.arg_hash) for r in hashes.collect()} == {(r.id, r.arg_hash) for r in identity.argument_hashes(c).collect()}
+    assert "Join" not in _plan(hashes)
