@@ -140,6 +140,32 @@ def components_by_joins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def focus(corpus: Corpus, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
     """(doc_id, src, dst, hops): statements within ``depth`` arguments of each seed (doc_id, id), itself at 0."""
+
+    def kernel(doc: dict):
+        near: dict[str, set[str]] = {}
+        for a in doc["arguments"] or []:
+            for there, back in (("conclusions", "premises"), ("premises", "conclusions")):
+                if direction == "both" or (direction == "up") == (back == "premises"):
+                    for x in a[there]:
+                        near.setdefault(x, set()).update(a[back])
+        for s in doc["seeds"]:
+            seen, last = {s: 0}, [s]
+            for hops in range(1, depth + 1):
+                last = [y for y in {y for x in last for y in near.get(x, ())} if y not in seen]
+                seen.update(dict.fromkeys(last, hops))
+            for t, hops in seen.items():
+                yield doc["doc_id"], s, t, hops
+
+    _, large_ = _divided(corpus)
+    few = seeds if large_ is None else seeds.join(large_.docs.select("doc_id"), "doc_id", "left_anti")
+    frame = few.groupBy("doc_id").agg(F.collect_set("id").alias("seeds")).join(corpus.outlines(), "doc_id", "left")
+    found = per_document(frame.select("doc_id", "seeds", "arguments"), kernel, _schema(corpus, "src string, dst string, hops int"))
+    if large_ is None:
+        return found
+    return found.unionByName(_focus_by_joins(large_, seeds.join(large_.docs.select("doc_id"), "doc_id", "left_semi"), depth, direction))
+
+
+def _focus_by_joins(corpus: Corpus, seeds: DataFrame, depth: int, direction: str) -> DataFrame:
     own = seeds.select("doc_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("hops"))
     if direction == "both":
         reverse = corpus.edges.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -54,6 +54,15 @@ def test_walks_without_reports_are_the_same(spark):
         assert sorted(map(str, told.drop("report").collect())) == sorted(map(str, bare.collect()))
 
 
+def test_focus_by_the_kernel_equals_joins(spark):
+    c = _corpus(spark)
+    seeds = c.statements.select("doc_id", "id").union(spark.createDataFrame([("none", "lost")], "doc_id string, id string"))
+    for direction in ("up", "down", "both"):
+        for depth in (0, 1, 3):
+            found = graph.focus(c, seeds, depth, direction)
+            assert sorted(found.collect()) == sorted(graph._focus_by_joins(c, seeds, depth, direction).collect())
+
+
 def test_versions_are_matched_without_joins(spark):
     c = _corpus(spark)
     ids = identity.statement_ids(c)
