@@ -31,12 +31,15 @@ def _matched(rows: DataFrame, key: str) -> DataFrame:
     return met.agg(F.min("first").alias("first"), F.first(F.when(on_a, whole), ignorenulls=True).alias("a"), F.first(F.when(~on_a, whole), ignorenulls=True).alias("b")).select("doc_id", "rank", "first", "a", "b")
 
 
-def _left(t: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    return t.join(pairs.select("doc_id", F.col(f"id_{side}").alias("id")), ["doc_id", "id"], "left_anti")
+def _sided(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    side = lambda t, s: t.select("doc_id", F.lit(s).alias("side"), "id", "ord", *keys)
+    return side(a, "a").unionByName(side(b, "b"))
 
 
-def _rows(pairs: DataFrame, status: str) -> DataFrame:
-    return pairs.select("doc_id", F.lit(status).alias("status"), "id_a", "id_b", F.col("first").cast("long").alias("seq"), F.col("rank").cast("long").alias("rank"))
+def _rest(pairs: DataFrame) -> DataFrame:
+    """What ``_matched`` found no partner for, as rows of its kind."""
+    alone = pairs.filter("a is null or b is null")
+    return alone.select("doc_id", F.when(F.col("a").isNotNull(), "a").otherwise("b").alias("side"), F.inline(F.array(F.coalesce("a", "b"))))
 
 
 def _status(pairs: DataFrame, paired: str, rest: bool) -> DataFrame:
@@ -152,7 +155,9 @@ def _three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, kind: str, p
     """One row for each id with what each side has, which is chosen ('o', 't' or null) and whether the sides conflict."""
     body = [c for c in base.columns if c not in ("doc_id", "id", "ord")]
     side = lambda t, s: t.select("doc_id", "id", F.col("ord").alias(f"ord_{s}"), _key(kind, plain).alias(f"k_{s}"), F.struct(*body).alias(f"row_{s}"))
-    all_ = side(base, "b").join(side(ours, "o"), ["doc_id", "id"], "full_outer").join(side(theirs, "t"), ["doc_id", "id"], "full_outer")
+    # The sides' rows meet in one shuffle; dealt out before, they are sorted once, as nothing is gained by gathering on both sides of it.
+    rows = side(base, "b").unionByName(side(ours, "o"), allowMissingColumns=True).unionByName(side(theirs, "t"), allowMissingColumns=True)
+    all_ = rows.repartition("doc_id", "id").groupBy("doc_id", "id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in (f"{c}_{s}" for s in "bot" for c in ("ord", "k", "row"))))
     b, o, t = F.col("k_b"), F.col("k_o"), F.col("k_t")
     agree = o.eqNullSafe(t) | t.eqNullSafe(b)
     take_theirs = ~o.eqNullSafe(t) & o.eqNullSafe(b)
@@ -196,6 +201,9 @@ def dangling(statements: DataFrame, arguments: DataFrame) -> DataFrame:
 def conflicts(statements: DataFrame, arguments: DataFrame) -> DataFrame:
     """(doc_id, kind, id, resolution, seq, missing) in the order kind_rank, seq: statements, arguments, dangling."""
     none = F.lit(None).cast("array<string>").alias("missing")
+    kept = ("doc_id", "id", "k_o", "chosen", "conflict", "seq")
+    statements = cut(statements.select(*kept))
+    arguments = cut(arguments.select(*kept, F.struct("row.premises", "row.conclusions").alias("row")))
     rows = []
     for n, (kind, items) in enumerate((("statement", statements), ("argument", arguments))):
         how = F.when(F.col("k_o").isNotNull(), "kept ours").otherwise("kept theirs")

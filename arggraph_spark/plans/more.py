@@ -290,7 +290,7 @@ def _with_meta(c: Corpus, on, meta: str) -> Corpus:
   false as conflict from statements""")
 def merge_meta(spark, sf):
     """Metas that differ in the order of keys, or in true, 1 and 1.0, are equal."""
-    c = _with_meta(orders_corpus(spark, sf), F.lit(True), '{"n": #}')
+    c = _with_meta(orders_corpus(spark, sf).written(), F.lit(True), '{"n": #}')
     ours = _with_meta(c, F.col("ord") % 4 == 0, '{"x": 1, "n": #}')
     theirs = _with_meta(c, F.col("ord") % 6 == 0, '{"n": #.0, "x": true}')
     s, _ = versions.merge_items(c, ours, theirs)
@@ -300,7 +300,7 @@ def merge_meta(spark, sf):
 @_query("""+ touch as (select i.doc_id, i.aid, row_number() over (partition by i.doc_id, i.aid order by side desc, i.slot) as pos, i.slot from incidence i)
 select doc_id, aid as id, string_agg('s11', ',') as missing from touch t where slot = 11 and substr(aid, 2)::bigint % 5 = 1 group by 1, 2""")
 def merge_dangling(spark, sf):
-    c = orders_corpus(spark, sf)
+    c = orders_corpus(spark, sf).written()
     return versions.dangling(*versions.merge_items(c, *_sides(c), plain=True)).select("doc_id", "id", _joined("missing").alias("missing"))
 
 
@@ -557,7 +557,7 @@ _DOT_LINES = _DOT_SQL.format(node="""' [shape=box, style=rounded, label="' || id
 @_query(f"""+ body as ({_DOT_LINES})
 select doc_id, sha256({" || chr(10) || ".join("'" + h.replace("{}", "LR") + "'" for h in rendering.DOT_HEAD)} || chr(10) || '  label="customer ' || doc_id || '"; labelloc=t;' || chr(10) || string_agg(line, chr(10) order by section, ord, pos) || chr(10) || '}}' || chr(10)) as sha from body group by 1""")
 def dot_documents(spark, sf):
-    return rendering.to_dot(orders_corpus(spark, sf)).select("doc_id", F.sha2("text", 256).alias("sha"))
+    return rendering.to_dot(orders_corpus(spark, sf).written()).select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
 @_query("""+ f as (select s.* from statements s where not exists (select 1 from incidence i where i.doc_id = s.doc_id and i.sid = s.id and side = 'c'))

@@ -63,6 +63,12 @@ def test_focus_by_the_kernel_equals_joins(spark):
             assert sorted(found.collect()) == sorted(graph._focus_by_joins(c, seeds, depth, direction).collect())
 
 
+def test_sides_of_a_merge_meet_without_joins(spark):
+    c = _corpus(spark)
+    for items in versions.merge_items(c, c, c, plain=True):
+        assert "Join" not in _plan(items)
+
+
 def test_versions_are_matched_without_joins(spark):
     c = _corpus(spark)
     ids = identity.statement_ids(c)
