@@ -58,9 +58,11 @@ def dot_lines(corpus: Corpus, ids: bool = True, width: int = 36) -> DataFrame:
 
 
 def _gathered(corpus: Corpus, lines: DataFrame, head: Column, foot: Column) -> DataFrame:
-    body = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section", "ord", "pos", "line"))).alias("rows"))
-    text = F.array_join(F.concat(head, F.coalesce(F.col("rows.line"), F.array().cast("array<string>")), foot), "\n")
-    return corpus.docs.join(body, "doc_id", "left").select("doc_id", F.concat(text, F.lit("\n")).alias("text"))
+    heads = corpus.docs.select("doc_id", F.struct(head.alias("head"), foot.alias("foot")).alias("doc"))
+    rows = heads.unionByName(lines.select("doc_id", F.struct("section", "ord", "pos", "line").alias("row")), allowMissingColumns=True)
+    body = rows.repartition("doc_id").groupBy("doc_id").agg(F.first("doc", ignorenulls=True).alias("doc"), F.sort_array(F.collect_list("row")).alias("rows")).filter("doc is not null")
+    text = F.array_join(F.concat("doc.head", F.col("rows.line"), F.col("doc.foot")), "\n")
+    return body.select("doc_id", F.concat(text, F.lit("\n")).alias("text"))
 
 
 def to_dot(corpus: Corpus, ids: bool = True, width: int = 36, rankdir: str = "LR") -> DataFrame:

@@ -90,3 +90,10 @@ def test_layers_by_a_column(spark):
     assert {(r.id, r.ord, r.just_id) for r in just.collect()} == {(r.id, r.ord, r.just_id) for r in identity.statement_ids(c).collect()}
     assert {(r.arg, r.arg_hash) for r in hashes.collect()} == {(r.id, r.arg_hash) for r in identity.argument_hashes(c).collect()}
     assert "Join" not in _plan(hashes)
+
+
+def test_lines_of_a_drawing_meet_without_joins(spark):
+    c = _corpus(spark)
+    lines = rendering.dot_lines(c).localCheckpoint()
+    assert "Join" not in _plan(rendering._gathered(c, lines, F.array(F.lit("head")), F.array(F.lit("foot"))))
+    assert rendering.to_dot(c).count() == 3
