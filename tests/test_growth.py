@@ -92,6 +92,15 @@ def test_layers_by_a_column(spark):
     assert "Join" not in _plan(hashes)
 
 
+def test_statements_near_a_chunk_need_no_distinct(spark):
+    s = spark.createDataFrame([("x", "s", [0, 1, 1]), ("x", "t", [5]), ("x", "u", [])], "doc_id string, id string, chunks array<int>")
+    chunks = spark.createDataFrame([("x", k) for k in range(9)], "doc_id string, chunk int")
+    out = extraction.visible(s, chunks, 2)
+    assert not [x for x in _plan(out).splitlines() if "Aggregate" in x and "chunk" in x]
+    everything = {(k, i) for k in (3, 7, 8) for i in "stu"}
+    assert sorted((r.chunk, r.id) for r in out.collect()) == sorted({(0, "s"), (1, "s"), (2, "s"), (4, "t"), (5, "t"), (6, "t")} | everything)
+
+
 def test_lines_of_a_drawing_meet_without_joins(spark):
     c = _corpus(spark)
     lines = rendering.dot_lines(c).localCheckpoint()
