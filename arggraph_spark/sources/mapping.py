@@ -65,9 +65,9 @@ edges as (select distinct p.doc_id, p.sid as src, c.sid as dst from incidence p
 
 def layers_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """One document without cycles: an order argues from its parts below its top layer (l_partkey % 4) to those in it."""
-    pairs = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     layer = lambda p: p % 4
-    sides = pairs.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("parts"), F.max(F.col("l_partkey") % 4).alias("top"), F.min(F.col("l_partkey") % 4).alias("low")).filter("top > low")
+    sides = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"), F.max(F.col("l_partkey") % 4).alias("top"), F.min(F.col("l_partkey") % 4).alias("low")).filter("top > low")
     sides = cut(sides)
     named = lambda c: F.transform(c, lambda s: F.concat(F.lit("p"), s.cast("string")))
     null = F.lit(None).cast("string")
