@@ -65,6 +65,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def is_cut(df: DataFrame) -> bool:
+    """Whether ``df`` is a frame that ``cut`` gave, so that writing it once more gains nothing."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and any(ref.get() is not None and ref.get().equals(plan.relation().location()) for _, ref in _WRITTEN)
+
+
 @contextmanager
 def shared_folder(spark: SparkSession) -> Iterator[str]:
     """A new folder in the shared one, deleted at the end; what reads it must have been written elsewhere by then."""

@@ -40,10 +40,7 @@ def argument_hashes(corpus: Corpus) -> DataFrame:
         for a, h in zip(net.arguments, net.identities()[2], strict=True):
             yield doc["doc_id"], a["ord"], a["id"], h
 
-    def beyond(c: Corpus) -> DataFrame:
-        return c.arguments.select("doc_id", F.col("ord").cast("long").alias("ord"), "id").join(large.identities(c)[1], ["doc_id", "id"]).select("doc_id", "ord", "id", "arg_hash")
-
-    return divided(corpus, kernel, "ord long, id string, arg_hash string", beyond)
+    return divided(corpus, kernel, "ord long, id string, arg_hash string", lambda c: large.identities(c)[1])
 
 
 def layered_identities(corpus: Corpus, layer_of: DataFrame | Column, layers: int) -> tuple[DataFrame, DataFrame]:
