@@ -21,9 +21,10 @@ def _matched(rows: DataFrame, key: str) -> DataFrame:
     """Rows (doc_id, side 'a' or 'b', id, ord, ``key``, ...) of both sides, paired by equal key and rank in file order: (doc_id, rank, first, a, b).
 
     ``a`` and ``b`` are the rows as structs, null on the side that has none; ``first`` is the key's first place in a.
-    What has no key stays alone. All is dealt by (doc_id, key) once, or by (doc_id, key, rank).
+    What has no key stays alone. All is dealt by (doc_id, key) once.
     """
     on_a = F.col("side") == "a"
+    rows = rows.repartition(key, "doc_id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key, "doc_id", "side").orderBy("ord")))
     ranked = ranked.withColumn("first", F.min(F.when(on_a, F.col("ord"))).over(Window.partitionBy(key, "doc_id")))
     whole = F.struct(*(c for c in rows.columns if c not in ("doc_id", "side")))
@@ -31,6 +32,11 @@ def _matched(rows: DataFrame, key: str) -> DataFrame:
     return met.agg(F.min("first").alias("first"), F.first(F.when(on_a, whole), ignorenulls=True).alias("a"), F.first(F.when(~on_a, whole), ignorenulls=True).alias("b")).select("doc_id", "rank", "first", "a", "b")
 
 
+def _sides(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``both`` for ``_matched``."""
+    return rows.select(F.col("doc_id.doc_id").alias("doc_id"), F.when(F.col("doc_id.version") == 0, "a").otherwise("b").alias("side"), "id", "ord", *keys)
+
+
 def _sided(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     side = lambda t, s: t.select("doc_id", F.lit(s).alias("side"), "id", "ord", *keys)
     return side(a, "a").unionByName(side(b, "b"))
@@ -68,17 +74,16 @@ def diff_statements(a: Corpus, b: Corpus, ids_a: DataFrame | None = None, ids_b:
 
     Within a status the order is that of (seq, rank): of pairs, the place where their key first stands in ``a``.
     """
-    if ids_a is None or ids_b is None:
-        ids_a, ids_b = apart(cut(identity.statement_ids(both(a, b))))
-    same = cut(_matched(_sided(ids_a, ids_b, "just_id", "prop_id"), "just_id"))
+    keys = ("just_id", "prop_id")
+    rows = _sides(identity.statement_ids(both(a, b)), *keys) if ids_a is None or ids_b is None else _sided(ids_a, ids_b, *keys)
+    same = cut(_matched(rows, "just_id"))
     again = _matched(_rest(same), "prop_id")
     return _status(same, "identical", rest=False).unionByName(_status(again, "rejustified", rest=True))
 
 
 def diff_arguments(a: Corpus, b: Corpus) -> DataFrame:
     """(doc_id, status, id_a, id_b, seq, rank): identical, added or removed, by argument hash."""
-    ha, hb = apart(cut(identity.argument_hashes(both(a, b))))
-    return _status(_matched(_sided(ha, hb, "arg_hash"), "arg_hash"), "identical", rest=True)
+    return _status(_matched(_sides(identity.argument_hashes(both(a, b)), "arg_hash"), "arg_hash"), "identical", rest=True)
 
 
 def diff_summary(rows: DataFrame) -> DataFrame:
