@@ -213,7 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                 got = bands([u[:, 0] for u in shingle_hashes(*known.rows(words), size, words)], LONG_BANDS, LONG_ROWS, seed)
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(list(got.view(np.int64)), pa.list_(pa.int64()))], ["node", "bands"])
 
-        longer = mapped(texts.join(left.select("node"), "node", "left_semi").select("node", "_text"), again, "node long, bands array<long>")
+        # Written, as buckets are read for their numbers and for their members: texts are hashed once a round.
+        longer = materialize(mapped(texts.join(left.select("node"), "node", "left_semi").select("node", "_text"), again, "node long, bands array<long>"))
         meeting = shared_buckets(longer.select("node", F.explode("bands").alias("band")))
         sizes = left.groupBy("comp").agg(F.count(F.lit(1)).alias("of"))
         meeting = meeting.join(left.join(sizes, "comp"), "node")

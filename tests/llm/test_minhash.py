@@ -76,6 +76,15 @@ def thue_morse(n, a="a", b="b"):
     return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
 
 
+def test_texts_are_hashed_once_a_round(documents, monkeypatch):
+    plans, real = [], minhash.shared_buckets
+    monkeypatch.setattr(minhash, "shared_buckets", lambda members: plans.append(members._jdf.queryExecution().optimizedPlan().toString()) or real(members))
+    texts = [f"{' '.join(f'w{k}' for k in range(40))} {' '.join(f'x{i}y{k}' for k in range(20))}" for i in range(60)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(texts), size=4).collect()}
+    assert got == {i: i for i in range(60)}
+    assert len(plans) > 1 and not any("MapInArrow" in p for p in plans)  # buckets are read twice, what makes them only once
+
+
 def test_words_whose_polynomial_hashes_agree(documents):
     # Sums over places modulo 2**64 can't tell these two words apart, whatever the base.
     rows = minhash.near_duplicates(documents([thue_morse(1024), thue_morse(1024, "b", "a"), thue_morse(1024)], ids=[1, 2, 3]), 4).collect()
